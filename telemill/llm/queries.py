@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from telemill.llm.langid import op1_language_id
+from telemill.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op6_toxicity": op6_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
