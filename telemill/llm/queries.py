@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from telemill.llm.langid import op1_language_id
+from telemill.llm.packing import op9_packing
 from telemill.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op6_toxicity": op6_toxicity,
+    "op9_packing": op9_packing,
 }
 
 ORACLES: dict[str, str] = {}
