@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from telemill.llm.langid import op1_language_id
+from telemill.llm.mixing import OP2_SQL, op2_mixing
 from telemill.llm.packing import op9_packing
+from telemill.llm.quality import OP10_SQL, op10_quality_rules
 from telemill.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_mixing": op2_mixing,
     "op6_toxicity": op6_toxicity,
     "op9_packing": op9_packing,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": OP2_SQL,
+    "op10_quality_rules": OP10_SQL,
+}
