@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from telemill.llm.chat import OP4_SQL, op4_chat_formatting
 from telemill.llm.langid import op1_language_id
 from telemill.llm.mixing import OP2_SQL, op2_mixing
 from telemill.llm.packing import op9_packing
@@ -11,6 +12,7 @@ from telemill.llm.toxicity import op6_toxicity
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
+    "op4_chat_formatting": op4_chat_formatting,
     "op6_toxicity": op6_toxicity,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
@@ -18,5 +20,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2_SQL,
+    "op4_chat_formatting": OP4_SQL,
     "op10_quality_rules": OP10_SQL,
 }
