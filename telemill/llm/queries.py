@@ -7,6 +7,7 @@ from telemill.llm.langid import op1_language_id
 from telemill.llm.mixing import OP2_SQL, op2_mixing
 from telemill.llm.packing import op9_packing
 from telemill.llm.quality import OP10_SQL, op10_quality_rules
+from telemill.llm.secrets import op7_secret_scan
 from telemill.llm.toxicity import op6_toxicity
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_toxicity": op6_toxicity,
+    "op7_secret_scan": op7_secret_scan,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
