@@ -6,6 +6,7 @@ from telemill.llm.chat import OP4_SQL, op4_chat_formatting
 from telemill.llm.langid import op1_language_id
 from telemill.llm.mixing import OP2_SQL, op2_mixing
 from telemill.llm.packing import op9_packing
+from telemill.llm.pii import op3_pii
 from telemill.llm.quality import OP10_SQL, op10_quality_rules
 from telemill.llm.secrets import op7_secret_scan
 from telemill.llm.toxicity import op6_toxicity
@@ -13,6 +14,7 @@ from telemill.llm.toxicity import op6_toxicity
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
+    "op3_pii": op3_pii,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
