@@ -5,6 +5,7 @@ from __future__ import annotations
 from telemill.llm.chat import OP4_SQL, op4_chat_formatting
 from telemill.llm.langid import op1_language_id
 from telemill.llm.mixing import OP2_SQL, op2_mixing
+from telemill.llm.neighbours import op5_nearest
 from telemill.llm.packing import op9_packing
 from telemill.llm.pii import op3_pii
 from telemill.llm.quality import OP10_SQL, op10_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_nearest": op5_nearest,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op9_packing": op9_packing,
