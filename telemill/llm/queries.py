@@ -10,6 +10,7 @@ from telemill.llm.packing import op9_packing
 from telemill.llm.pii import op3_pii
 from telemill.llm.quality import OP10_SQL, op10_quality_rules
 from telemill.llm.secrets import op7_secret_scan
+from telemill.llm.setjoin import op8_ngram_join
 from telemill.llm.toxicity import op6_toxicity
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_nearest": op5_nearest,
     "op6_toxicity": op6_toxicity,
     "op7_secret_scan": op7_secret_scan,
+    "op8_ngram_join": op8_ngram_join,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
 }
