@@ -16,11 +16,20 @@ U64 = np.uint64
 SLICE_BYTES = 2_000_000
 
 
-def checkpointed(df):
-    """Cut lineage with checkpoint() in the folder the session names; a temporary one only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark) -> str:
+    """The folder that the session names in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="telemill-shared-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="telemill-ckpt-"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def checkpointed(df):
+    """Cut lineage with checkpoint() in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -104,7 +104,8 @@ def mix(docs: DataFrame, max_repeats: int = 3, weights: list[int] | None = None)
     part = F.col("taken") - whole * F.col("size")
     d = d.withColumn("_copy", F.explode(F.sequence(F.lit(0), whole + F.when(part > 0, 0).otherwise(-1))))
     words = F.when(F.col("_copy") < whole, F.col("size")).otherwise(part)
-    cut = F.regexp_extract(F.col("text"), F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), part.cast("string"), F.lit("}")), 0)
+    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
+    cut = F.array_join(F.slice(pieces, 1, part.cast("int")), "")
     d = d.withColumn("text", F.when(F.col("_copy") < whole, F.col("text")).otherwise(cut))
     share = (F.col("_start") + F.col("_copy") * F.col("source_size") + words / 2) / F.col("target")
     d = d.withColumn("position", curriculum_time(share, F.col("source_rank") % 2 == 1))
