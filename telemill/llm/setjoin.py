@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm._text import U64, checkpointed, mix, slices, word_hashes
+from telemill.llm._text import U64, checkpointed, flat, mix, slices, word_hashes
 
 SHINGLE = 5
 SKETCH_BITS = 1024
@@ -44,7 +44,7 @@ _STEPS = [pow(0xD1342543DE82EF95, i, 1 << 64) for i in range(SHINGLE)]
 
 def shingle_sets(column) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes, sorted in each text; offsets a text)."""
-    h, off = word_hashes(*_flat(column))
+    h, off = word_hashes(*flat(column))
     sets: list[np.ndarray] = []
     with np.errstate(over="ignore"):
         steps = [U64(s) for s in _STEPS]
@@ -65,12 +65,6 @@ def shingle_sets(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.zeros(0, U64)), np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)])
 
 
-def _flat(column):
-    from telemill.llm._text import flat
-
-    return flat(column)
-
-
 def class_ids(tok: np.ndarray, off: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each set (0 for the empty set)."""
     total = np.zeros(len(tok) + 1, U64)
@@ -187,7 +181,11 @@ def _index(percent):
 
 
 def _stars(batches):
-    """Sorted (sig, cid) to (sig, pivot, cid): each further class of a signature with its first."""
+    """Sorted (sig, cid) to (sig, pivot, cid, lone): each further class of a signature with its first.
+
+    A signature of two classes wholly inside a batch is `lone`: its one pair says
+    all. Others also give a row of the pivot with itself.
+    """
     last_sig = last_cid = pivot = None
     for batch in batches:
         sig, cid = batch.column("sig").to_numpy(), batch.column("cid").to_numpy()
@@ -198,10 +196,13 @@ def _stars(batches):
         again = np.empty(len(sig), bool)
         again[0], again[1:] = not new[0] and cid[0] == last_cid, cid[1:] == cid[:-1]
         again &= ~new
-        start = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-        first = np.where(start >= 0, cid[np.maximum(start, 0)], pivot if pivot is not None else 0)
-        keep = ~new & ~again
-        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(first[keep]), pa.array(cid[keep])], ["sig", "pivot", "cid"])
+        run = np.cumsum(new)  # 0: the run that the batch before began
+        first = np.where(run > 0, cid[np.maximum(np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1)), 0)], pivot if pivot is not None else 0)
+        kinds = np.bincount(run, weights=~again)
+        lone, single = kinds == 2, kinds == 1
+        lone[[0, run[-1]]] = single[[0, run[-1]]] = False
+        keep = np.where(new, ~lone[run] & ~single[run], ~again)
+        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(first[keep]), pa.array(cid[keep]), pa.array(lone[run][keep])], ["sig", "pivot", "cid", "lone"])
         last_sig, last_cid, pivot = sig[-1], cid[-1], first[-1]
 
 
@@ -229,7 +230,7 @@ def _texts_of(shared):
                 sk = sketches(*_take(tok, off, rows))
                 blobs = [pack.compress(part.column("text")[i].as_py().encode()) for i in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[rows].view(np.int64)), pa.array(np.diff(off)[rows]), pa.array([x.tobytes() for x in sk], pa.binary()), pa.array(blobs, pa.binary())],
+                    [pa.array(ids[rows].view(np.int64)), pa.array(np.diff(off)[rows]), pa.array(list(sk.view(np.int64)), pa.list_(pa.int64())), pa.array(blobs, pa.binary())],
                     ["cid", "n", "sketch", "blob"],
                 )
 
@@ -296,24 +297,58 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.union(e.select(F.col("v").alias("cid"), F.col("v").alias("label")).distinct())
 
 
+def plausible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (pivot, cid) that sizes and sketches do not rule out; without false refusals."""
+    slim = texts.select("cid", "n", "sketch")
+    p = pairs.join(slim, "cid").join(slim.select(F.col("cid").alias("pivot"), F.col("n").alias("m"), F.col("sketch").alias("other")), "pivot")
+    apart = F.aggregate(F.zip_with("sketch", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
+    return p.filter(fits).select("pivot", "cid")
+
+
 def _across(percent):
-    def run(t: pa.Table) -> pa.Table:
-        """Pairs of one signature's classes in different components that size and sketch allow."""
-        n, label, cid = t.column("n").to_numpy(), t.column("label").to_numpy(), t.column("cid").to_numpy()
-        sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), U64).reshape(len(n), -1)
-        order = np.argsort(n, kind="stable")
-        n, label, cid, sk = n[order], label[order], cid[order], sk[order]
-        a, b = [], []
-        for i in range(len(n) - 1):
-            to = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
-            js = np.arange(i + 1, to)
-            js = js[label[js] != label[i]]
-            apart = np.bitwise_count(sk[js] ^ sk[i]).sum(1)
-            js = js[apart * (100 + percent) <= (n[js] + n[i]) * (100 - percent)]
-            a += [cid[i]] * len(js)
-            b += cid[js].tolist()
-        x, y = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.table({"pivot": np.minimum(x, y), "cid": np.maximum(x, y)})
+    def scan(sig, n, label, cid, sk):
+        """Pairs at distance 1, 2, ... within runs of equal signature, all runs at once."""
+        out = []
+        run = np.cumsum(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        at = np.arange(len(sig))
+        step = 0
+        while True:
+            step += 1
+            at = at[at + step < len(sig)]
+            at = at[run[at + step] == run[at]]
+            if not len(at):
+                return out
+            to = at + step
+            fine = (label[at] != label[to]) & (100 * np.minimum(n[at], n[to]) >= percent * np.maximum(n[at], n[to]))
+            x, y = at[fine], to[fine]
+            near = np.bitwise_count(sk[x] ^ sk[y]).sum(1, dtype=np.int64) * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+            out.append((cid[x[near]], cid[y[near]]))
+
+    def run(batches):
+        """Rows (sig, n, label, cid, sketch) in order of sig; pairs of a signature's classes in different components that size and sketch allow."""
+        held: list[pa.RecordBatch] = []
+
+        def done(t: pa.Table):
+            cols = [t.column(c).to_numpy() for c in ("sig", "n", "label", "cid")]
+            sk = t.column("sketch").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).view(U64)
+            seen: set[tuple[int, int]] = set()
+            for a, b in scan(*cols, sk):
+                seen.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+            x = list(zip(*seen, strict=True)) if seen else [[], []]
+            return pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64())], ["pivot", "cid"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = batch.column("sig").to_numpy()
+            cut = int(np.searchsorted(sig, sig[-1]))  # rows of the last signature wait for the next batch
+            if cut or (held and held[-1].column("sig")[-1].as_py() != sig[-1]):
+                yield done(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield done(pa.Table.from_batches(held))
 
     return run
 
@@ -336,29 +371,25 @@ def links(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(a, b): verified links between classes that connect every component (not every link within one)."""
     text = docs.select("text")
     sigs = text.mapInArrow(_index(percent), "sig long, cid long")
-    live = checkpointed(sigs.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_stars, "sig long, pivot long, cid long"))
-    pairs = live.select("pivot", "cid").distinct()
+    live = checkpointed(sigs.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_stars, "sig long, pivot long, cid long, lone boolean"))
+    pairs = checkpointed(live.filter("pivot <> cid").select("pivot", "cid").distinct())
     ends = pairs.select("cid").union(pairs.select(F.col("pivot").alias("cid"))).distinct()
     marks = docs.sparkSession.sparkContext.broadcast(_class_map(ends))
-    found = text.mapInArrow(_texts_of(marks), "cid long, n long, sketch binary, blob binary")
+    found = text.mapInArrow(_texts_of(marks), "cid long, n long, sketch array<long>, blob binary")
     texts = checkpointed(found.groupBy("cid").agg(F.min(F.struct("n", "sketch", "blob")).alias("x")).select("cid", "x.*"))
-    first = checkpointed(verified(pairs, texts, percent))
-    label = checkpointed(components(first))
-    mine = label.select("cid", F.col("label").alias("lc"))
-    rows = live.join(mine, "cid", "left").join(mine.select(F.col("cid").alias("pivot"), F.col("lc").alias("lp")), "pivot", "left")
-    rows = rows.withColumns({"lc": F.coalesce("lc", "cid"), "lp": F.coalesce("lp", "pivot")})
-    split = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("lc", "lp")).alias("lo"), F.max(F.greatest("lc", "lp")).alias("hi"), F.first("pivot").alias("pivot"), F.first("lp").alias("lp"))
-    split = checkpointed(split.filter("k > 1 and lo < hi").select("sig", "pivot", "lp"))
-    members = rows.select("sig", "cid", F.col("lc").alias("label")).join(split.select("sig"), "sig", "left_semi")
-    members = members.join(texts.select("cid", "n", "sketch"), "cid")
-    more = members.groupBy("sig").applyInArrow(_across(percent), "pivot long, cid long").distinct()
-    return first.union(verified(more, texts, percent))
+    first = checkpointed(verified(checkpointed(plausible(pairs, texts, percent)), texts, percent))
+    label = components(first)
+    rows = live.filter("not lone").select("sig", "cid").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    split = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("k > 2 and lo < hi").select("sig")
+    members = rows.join(split, "sig", "left_semi").join(texts.select("cid", "n", "sketch"), "cid")
+    more = members.repartition("sig").sortWithinPartitions("sig").select("sig", "n", "label", "cid", "sketch").mapInArrow(_across(percent), "pivot long, cid long").distinct()
+    return first.union(verified(checkpointed(more.join(first.select(F.col("a").alias("pivot"), F.col("b").alias("cid")), ["pivot", "cid"], "left_anti")), texts, percent))
 
 
 def cluster(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns (doc_id among them) with n_shingles and component_id."""
-    label = checkpointed(components(links(docs, percent)))
-    each = classes(docs, keep)
+    label = components(links(docs, percent))
+    each = checkpointed(classes(docs, keep))
     least = each.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("least"))
     named = least.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     groups = named.groupBy("label").agg(F.min("least").alias("component_id"))
