@@ -15,6 +15,7 @@ from telemill.operators import alerts, history, logs, metrics, stats, stream, ti
 from telemill.operators.history import Search
 from telemill.plans.sql import ANSWERS, FIN, GAUGES, INV, LOGS, RUNS, SAMPLES
 from telemill.sources import tables
+from telemill.streaming import twins
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -659,3 +660,36 @@ def lg_probe_labels(spark, d):
 def fn_metric_label(spark, d):
     c = tables.table(spark, d, "customer")
     return c.select(F.col("c_custkey").alias("id"), text.metric_label(F.concat("c_name", F.lit('\\\n"'))).alias("label"))
+
+
+# --- streaming twins ----------------------------------------------------------
+
+
+class _Streamed:
+    """Gives the bridge views a streaming `events`."""
+
+    def __init__(self, spark, d):
+        self.schema = spark.read.parquet(f"{d}/events.parquet").schema
+        self.read = self
+        self.spark = spark
+
+    def parquet(self, path: str) -> DataFrame:
+        return twins.source(self.spark, path.replace("/events.parquet", "/[e]vents.parquet"), self.schema)
+
+
+@query(f"WITH {INV} SELECT model, endpoint, CAST(status AS VARCHAR) AS status, count(*) AS requests FROM inv GROUP BY ALL")
+def str_requests(spark, d):
+    return twins.collected(twins.request_counts(tables.invocations(_Streamed(spark, d), d)), "str_requests", "complete")
+
+
+@query(f"""WITH {LOGS}, v AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS t, coalesce(container, '') AS container, count(*) AS value FROM logs GROUP BY ALL)
+  SELECT epoch_us(t) AS "at", container, value FROM v WHERE t + INTERVAL 6 HOUR <= (SELECT max(ts) FROM logs)""")
+def str_volume(spark, d):
+    lines = tables.log_lines(_Streamed(spark, d), d)
+    return micros(twins.collected(twins.log_volume(lines, 21600, "container", 0), "str_volume", "append"), "at")
+
+
+@query(f"WITH {INV} SELECT id, CASE WHEN status >= 400 THEN 'error' ELSE 'completed' END AS state, started, status FROM inv WHERE status IS NOT NULL")
+def str_lifecycle(spark, d):
+    t = twins.transitions(tables.invocations(_Streamed(spark, d), d))
+    return twins.collected(twins.lifecycle(t), "str_lifecycle", "append").select("id", "state", "started", "status")
