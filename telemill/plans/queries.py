@@ -10,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.functions import measures, text
-from telemill.operators import alerts, history, logs, metrics, stats, stream, timeseries
+from telemill.functions import measures, moments, text
+from telemill.operators import alerts, history, logs, metrics, sinks, stats, stream, timeseries
 from telemill.operators.history import Search
+from telemill.plans.dashboards import PANELS, evaluate
 from telemill.plans.sql import ANSWERS, FIN, GAUGES, INV, LOGS, RUNS, SAMPLES
 from telemill.sources import tables
 from telemill.streaming import twins
@@ -693,3 +694,79 @@ def str_volume(spark, d):
 def str_lifecycle(spark, d):
     t = twins.transitions(tables.invocations(_Streamed(spark, d), d))
     return twins.collected(twins.lifecycle(t), "str_lifecycle", "append").select("id", "state", "started", "status")
+
+
+# --- sinks, moments and panels ------------------------------------------------
+
+
+@query()
+def inv_download(spark, d):
+    return sinks.download(tables.invocations(spark, d).drop("finish_seq"), "42")
+
+
+@query(f"WITH {INV} SELECT id, id || ':' || state || ':' || coalesce(CAST(CAST(round(duration) AS BIGINT) AS VARCHAR), '') || ':' || length(coalesce(response, '')) AS key, strftime(make_timestamp(CAST(round(started * 1e6) AS BIGINT)), '%Y-%m-%dT%H:%M:%S+00:00') AS at_utc FROM inv")
+def fn_change_key(spark, d):
+    c = F.col
+    whole = F.round(c("duration")).cast("bigint")
+    return tables.invocations(spark, d).select("id", moments.change_key(c("id"), c("state"), whole, c("response")).alias("key"), moments.iso_utc(moments.moment(c("started"))).alias("at_utc"))
+
+
+@query("SELECT s_suppkey AS target, CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 1 END AS up FROM supplier")
+def met_up(spark, d):
+    s = tables.table(spark, d, "supplier").withColumns({"version": F.when(F.col("s_suppkey") % 3 != 0, "1"), "state": F.lit("{}")})
+    return sinks.up_rows(s.withColumnRenamed("s_suppkey", "target"))
+
+
+@query(f"WITH {FIN} SELECT model, count(*) AS requests, CASE WHEN model IN ('m1', 'm2') THEN 1 ELSE 0 END AS loaded FROM fin GROUP BY model")
+def met_state_join(spark, d):
+    loaded = spark.createDataFrame([("m1", 1), ("m2", 1)], "model string, loaded int")
+    return sinks.with_state(finished(spark, d).groupBy("model").agg(F.count(F.lit(1)).alias("requests")), loaded)
+
+
+def panel_samples(spark, d) -> DataFrame:
+    """Samples under the panels' names: counters as request totals, gauges as memory."""
+    c = tables.counter_samples(spark, d)
+    status = F.when(F.col("metric") == "error", "500").otherwise("200")
+    requests = c.select(F.lit("ollama_requests_total").alias("metric"), F.create_map(F.lit("model"), F.concat(F.lit("m"), "instance"), F.lit("status"), status, F.lit("kind"), F.col("metric")).alias("labels"), "ts", "value")
+    g = tables.gauge_samples(spark, d).filter("metric in ('click', 'view')")
+    name = F.when(F.col("metric") == "click", "nvidia_smi_memory_used_bytes").otherwise("nvidia_smi_memory_total_bytes")
+    gauges = g.select(name.alias("metric"), F.create_map(F.lit("gpu"), F.col("instance")).alias("labels"), "ts", "value")
+    return requests.unionByName(gauges)
+
+
+def _panel(title: str):
+    return next(p for p in PANELS if p.title == title)
+
+
+NOON = "2024-01-15 12:00:00"
+
+
+def squeezed(df: DataFrame) -> DataFrame:
+    """Times 144 times as dense around noon: a five-minute window then holds half a day of driver samples."""
+    t0 = F.unix_micros(F.lit(NOON).cast("timestamp"))
+    return df.withColumn("ts", F.timestamp_micros(t0 + F.floor((F.unix_micros("ts") - t0) / 144)))
+
+
+PANEL_RATES = f"""{SAMPLES}, q AS (SELECT metric, instance, value, to_timestamp_us AS ts FROM (SELECT *, epoch_us(TIMESTAMP '{NOON}') + CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{NOON}')) / 144.0::DOUBLE) AS BIGINT) AS to_timestamp_us FROM samples)),
+  w AS (SELECT metric, instance, CASE WHEN value < lag(value) OVER s THEN value ELSE value - lag(value) OVER s END AS step FROM q
+        WHERE ts > epoch_us(TIMESTAMP '{NOON}') - 300000000 AND ts <= epoch_us(TIMESTAMP '{NOON}') WINDOW s AS (PARTITION BY metric, instance ORDER BY ts)),
+  rates AS (SELECT metric, instance, sum(step) / 300 AS value FROM w GROUP BY metric, instance HAVING count(*) >= 2)"""
+
+
+@query(f"WITH {PANEL_RATES} SELECT 'm' || instance AS model, round(sum(value), 6) AS value FROM rates GROUP BY instance")
+def pan_request_rate(spark, d):
+    return r6(evaluate(_panel("Request rate by model"), squeezed(panel_samples(spark, d)), NOON), "value")
+
+
+@query(f"WITH {PANEL_RATES} SELECT round(coalesce(sum(value) FILTER (metric = 'error'), 0) / greatest(sum(value), 0.001), 6) AS value FROM rates")
+def pan_error_share(spark, d):
+    return r6(evaluate(_panel("Error share"), squeezed(panel_samples(spark, d)), NOON), "value")
+
+
+@query(
+    f"""WITH g AS (SELECT event_type, user_id % 3 AS gpu, value, epoch_us(TIMESTAMP '{NOON}') + CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '{NOON}')) / 144.0::DOUBLE) AS BIGINT) AS t FROM events WHERE event_type IN ('click', 'view')),
+    n AS (SELECT event_type, gpu, arg_max(value, t) AS v FROM g WHERE t > epoch_us(TIMESTAMP '{NOON}') - 300000000 AND t <= epoch_us(TIMESTAMP '{NOON}') GROUP BY ALL)
+    SELECT round(a.v / greatest(b.v, 1), 6) AS value FROM n a JOIN n b USING (gpu) WHERE a.event_type = 'click' AND b.event_type = 'view'"""
+)
+def pan_vram_share(spark, d):
+    return r6(evaluate(_panel("VRAM share"), squeezed(panel_samples(spark, d)), NOON), "value")

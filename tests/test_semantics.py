@@ -217,3 +217,37 @@ def test_tool_calls_and_shown_text(spark):
     t = stream.texts(df).filter("seq = 2").first()
     assert (t["content"], t["thinking"]) == ("c", "r")
     assert events.FIELDS[0] == ("prompt_tokens", "prompt_eval_count")
+
+
+def test_every_panel_shape(spark):
+    from telemill.plans import dashboards
+
+    shapes = {p.shape: p for p in dashboards.PANELS}
+    rows = []
+    for p in shapes.values():
+        for name, rising in ((p.metric, 1.0), (p.other, 2.0)):
+            for i in range(4):
+                labels = {"mode": "idle", "mountpoint": "/", "device": "nvme0", "model": "m", "status": "200", "le": "+Inf"} if p.shape in ("quantile", "rate", "errors", "busy", "load_cost") or name.endswith("total") else {"mountpoint": "/", "model": "m", "mode": "idle"}
+                rows.append((name, labels, f"2024-01-01 00:0{i}:00", rising * (i + 1)))
+    df = spark.createDataFrame([r for r in rows if r[0]], "metric string, labels map<string,string>, t string, value double").withColumn("ts", F.to_timestamp("t")).drop("t").dropDuplicates(["metric", "ts"])
+    for p in shapes.values():
+        assert dashboards.evaluate(p, df, "2024-01-01 00:04:00").count() == 1, p.shape
+
+
+def test_readers(spark, tmp_path):
+    from telemill.sources import readers
+
+    (tmp_path / "a.ndjson").write_text('{"response":"x"}\n{"done":true}')
+    assert readers.ndjson_lines(spark, str(tmp_path)).count() == 2
+    mem = spark.createDataFrame([("MemTotal:  2097152 kB",), ("junk",)], "value string")
+    assert [tuple(r) for r in readers.meminfo(mem).collect()] == [("MemTotal", 2.0)]
+    assert readers.card_rows(spark.createDataFrame([("RTX, 1.2, 12288, 350",)], "value string")).first()["memory_total"] == "12288"
+    v = spark.createDataFrame([("[1]",), ('{"model":""}',), ('{"model":"q"}',)], "c string").select(readers.model_of(readers.request_payload(F.col("c"))).alias("m"))
+    assert [r["m"] for r in v.collect()] == ["unknown", "unknown", "q"]
+
+
+def test_partitioned_sinks(spark, tmp_path):
+    from telemill.operators import sinks
+
+    sinks.write_history(invocations(spark), str(tmp_path / "h"))
+    assert spark.read.parquet(str(tmp_path / "h")).filter("started_date = '1970-01-01'").count() == 3
