@@ -220,28 +220,17 @@ def _texts_of(shared):
         marks, seen, pack = shared.value, set(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part in slices(batch, "text"):
-                tok, off = shingle_sets(part.column("text"))
-                ids = class_ids(tok, off)
+                ids = class_ids(*shingle_sets(part.column("text")))
                 slot = ids % U64(MAP_BITS)
                 hit = np.flatnonzero(((marks[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1)).astype(bool) & (ids != 0))
                 rows = [i for i in hit.tolist() if not (int(ids[i]) in seen or seen.add(int(ids[i])))]
-                if not rows:
-                    continue
-                sk = sketches(*_take(tok, off, rows))
-                blobs = [pack.compress(part.column("text")[i].as_py().encode()) for i in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[rows].view(np.int64)), pa.array(np.diff(off)[rows]), pa.array(list(sk.view(np.int64)), pa.list_(pa.int64())), pa.array(blobs, pa.binary())],
-                    ["cid", "n", "sketch", "blob"],
-                )
+                if rows:
+                    blobs = [pack.compress(part.column("text")[i].as_py().encode()) for i in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows].view(np.int64)), pa.array(blobs, pa.binary())], ["cid", "blob"])
 
     return run
 
 
-def _take(tok, off, rows):
-    parts = [tok[off[i] : off[i + 1]] for i in rows]
-    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-
-
 def _verify(percent):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         """left: (pivot, cid, blob) of one pivot, right: its own text; linked pairs."""
@@ -268,13 +257,20 @@ def _verify(percent):
 GROUP = 256
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Linked pairs (a, b) of distinct pairs (pivot, cid); the pivot's partners are dealt to groups by a hash of their number."""
+def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Linked pairs (a, b) of distinct pairs (pivot, cid); the pivot's partners are dealt to groups by a hash of their number.
+
+    Texts of the pairs' classes are read again; only theirs are shuffled.
+    """
+    ends = pairs.select("cid").union(pairs.select(F.col("pivot").alias("cid"))).distinct()
+    marks = docs.sparkSession.sparkContext.broadcast(_class_map(ends))
+    texts = docs.select("text").mapInArrow(_texts_of(marks), "cid long, blob binary").groupBy("cid").agg(F.min("blob").alias("blob"))
+    texts = checkpointed(texts)
     n = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("k")).withColumn("parts", F.ceil(F.col("k") / GROUP).cast("int"))
     with_parts = pairs.join(n, "pivot").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    left = with_parts.join(texts.select("cid", "blob"), "cid").select("pivot", "part", "cid", "blob")
+    left = with_parts.join(texts, "cid").select("pivot", "part", "cid", "blob")
     mine = n.join(texts.select(F.col("cid").alias("pivot"), "blob"), "pivot").select(F.col("pivot").alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"), F.col("blob").alias("own"))
-    return left.groupBy("pivot", "part").cogroup(mine.groupBy("p", "q")).applyInArrow(_verify(percent), "a long, b long")
+    return checkpointed(left.groupBy("pivot", "part").cogroup(mine.groupBy("p", "q")).applyInArrow(_verify(percent), "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -297,9 +293,8 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.union(e.select(F.col("v").alias("cid"), F.col("v").alias("label")).distinct())
 
 
-def plausible(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def plausible(pairs: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs (pivot, cid) that sizes and sketches do not rule out; without false refusals."""
-    slim = texts.select("cid", "n", "sketch")
     p = pairs.join(slim, "cid").join(slim.select(F.col("cid").alias("pivot"), F.col("n").alias("m"), F.col("sketch").alias("other")), "pivot")
     apart = F.aggregate(F.zip_with("sketch", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
     fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (apart * (100 + percent) <= (F.col("n") + F.col("m")) * (100 - percent))
@@ -354,7 +349,7 @@ def _across(percent):
 
 
 def classes(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """The kept columns with n_shingles and cid (null for the empty set)."""
+    """The kept columns with n_shingles, cid and sketch (both null for the empty set)."""
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
@@ -362,34 +357,54 @@ def classes(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
             for part in slices(batch, "text"):
                 tok, off = shingle_sets(part.column("text"))
                 ids = class_ids(tok, off)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(np.diff(off)), pa.array(ids.view(np.int64), mask=ids == 0)], [*keep, "n_shingles", "cid"])
+                sk = pa.array(list(sketches(tok, off).view(np.int64)), pa.list_(pa.int64()))
+                own = [*[part.column(c) for c in keep], pa.array(np.diff(off)), pa.array(ids.view(np.int64), mask=ids == 0), sk]
+                yield pa.RecordBatch.from_arrays(own, [*keep, "n_shingles", "cid", "sketch"])
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, n_shingles long, cid long")
+    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, n_shingles long, cid long, sketch array<long>")
 
 
-def links(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(a, b): verified links between classes that connect every component (not every link within one)."""
-    text = docs.select("text")
-    sigs = text.mapInArrow(_index(percent), "sig long, cid long")
+def links(docs: DataFrame, slim: DataFrame, percent: int = 80) -> DataFrame:
+    """(a, b): verified links between classes that connect every component (not every link within one). slim: (cid, n, sketch), a row a class.
+
+    Pivots are tried first, then in signatures that still hold several
+    components the class with most links so far, then all pairs across
+    components that sizes and sketches allow.
+    """
+    sigs = docs.select("text").mapInArrow(_index(percent), "sig long, cid long")
     live = checkpointed(sigs.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_stars, "sig long, pivot long, cid long, lone boolean"))
-    pairs = checkpointed(live.filter("pivot <> cid").select("pivot", "cid").distinct())
-    ends = pairs.select("cid").union(pairs.select(F.col("pivot").alias("cid"))).distinct()
-    marks = docs.sparkSession.sparkContext.broadcast(_class_map(ends))
-    found = text.mapInArrow(_texts_of(marks), "cid long, n long, sketch array<long>, blob binary")
-    texts = checkpointed(found.groupBy("cid").agg(F.min(F.struct("n", "sketch", "blob")).alias("x")).select("cid", "x.*"))
-    first = checkpointed(verified(checkpointed(plausible(pairs, texts, percent)), texts, percent))
-    label = components(first)
-    rows = live.filter("not lone").select("sig", "cid").join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    split = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("k > 2 and lo < hi").select("sig")
-    members = rows.join(split, "sig", "left_semi").join(texts.select("cid", "n", "sketch"), "cid")
-    more = members.repartition("sig").sortWithinPartitions("sig").select("sig", "n", "label", "cid", "sketch").mapInArrow(_across(percent), "pivot long, cid long").distinct()
-    return first.union(verified(checkpointed(more.join(first.select(F.col("a").alias("pivot"), F.col("b").alias("cid")), ["pivot", "cid"], "left_anti")), texts, percent))
+    tried = checkpointed(plausible(live.filter("pivot <> cid").select("pivot", "cid").distinct(), slim, percent))
+    found = verified(docs, tried, percent)
+    members = live.filter("not lone").select("sig", "cid")
+    for last in (False, True):
+        label = components(found)
+        rows = members.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+        split = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("k > 2 and lo < hi").select("sig")
+        rows = checkpointed(rows.join(split, "sig", "left_semi"))
+        members = rows.select("sig", "cid")
+        if last:
+            wide = rows.join(slim, "cid").repartition("sig").sortWithinPartitions("sig").select("sig", "n", "label", "cid", "sketch")
+            more = wide.mapInArrow(_across(percent), "pivot long, cid long").distinct()
+        else:
+            degree = found.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("degree"))
+            known = rows.join(degree, "cid", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+            hub = known.groupBy("sig").agg(F.max(F.struct("degree", "cid", "label")).alias("hub"))
+            near = rows.join(hub, "sig").filter("label <> hub.label").select(F.least("cid", "hub.cid").alias("pivot"), F.greatest("cid", "hub.cid").alias("cid"))
+            more = plausible(near.distinct(), slim, percent)
+        more = checkpointed(more.join(tried, ["pivot", "cid"], "left_anti"))
+        if more.isEmpty():
+            continue
+        tried = tried.union(more)
+        found = found.union(verified(docs, more, percent))
+    return found
 
 
 def cluster(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns (doc_id among them) with n_shingles and component_id."""
-    label = components(links(docs, percent))
     each = checkpointed(classes(docs, keep))
+    slim = each.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    label = components(links(docs, checkpointed(slim), percent))
+    each = each.drop("sketch")
     least = each.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("least"))
     named = least.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     groups = named.groupBy("label").agg(F.min("least").alias("component_id"))
