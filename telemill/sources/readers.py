@@ -38,3 +38,15 @@ def request_payload(c):
 
 def model_of(payload):
     return F.coalesce(F.nullif(F.try_variant_get(payload, "$.model", "string"), F.lit("")), F.lit("unknown"))
+
+
+def quality_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Scored cases (case_id, category, prompt, expected, scorer) from JSON lines; expected is text or JSON text."""
+    return spark.read.schema("case_id string, category string, prompt string, expected string, scorer string").json(path)
+
+
+def samples(spark: SparkSession, path: str) -> DataFrame:
+    """Metric samples (metric, labels, ts, value), partitioned by job where they were written so."""
+    from telemill.schemas import SAMPLE
+
+    return spark.read.schema(SAMPLE).parquet(path)
