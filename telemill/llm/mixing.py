@@ -69,22 +69,27 @@ def curriculum_time(share, rising, early: float = 1.5, late: float = 0.5):
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2 * share / (start + F.sqrt(start * start + 4 * slope * share))))
 
 
+def _source_key():
+    """A key of the source that is never null."""
+    return F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
+
+
 def plan(docs: DataFrame, max_repeats: int = 3, weights: list[int] | None = None) -> DataFrame:
     """All columns of docs with size, source_size, target, taken (words), and first_position (null if nothing is taken).
 
     Added columns replace those of the same name.
     """
     d = docs.withColumn("size", word_count(F.col("text"))).withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    d = d.withColumn("_cell", F.substring("_key", 1, DIGITS))
-    cells = d.groupBy("source", "_cell").agg(F.sum("size").alias("_cell_size"))
-    per_source = cells.groupBy("source").agg(F.sum("_cell_size").alias("source_size"))
-    goal = targets(per_source, max_repeats, weights)
-    upto = Window.partitionBy("source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_cell_start", F.coalesce(F.sum("_cell_size").over(upto), F.lit(0)))
-    cells = cells.join(goal, cells["source"].eqNullSafe(goal["source"])).select(cells["source"].alias("_s"), cells["_cell"].alias("_c"), "_cell_start", "source_size", "source_rank", "target")
-    d = d.drop("source_size", "source_rank", "target", "_cell_start")
-    d = d.join(cells, d["source"].eqNullSafe(cells["_s"]) & (d["_cell"] == cells["_c"])).drop("_s", "_c")
-    inside = Window.partitionBy("source", "_cell").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_cell", F.substring("_key", 1, DIGITS)).withColumn("_sk", _source_key()).drop("source_size", "source_rank", "target", "_cell_start")
+    cells = d.groupBy("_sk", "_cell").agg(F.sum("size").alias("_cell_size"))
+    per_source = cells.groupBy("_sk").agg(F.sum("_cell_size").alias("source_size"))
+    per_source = per_source.select(F.when(F.col("_sk").startswith("0"), F.expr("substring(_sk, 2)")).alias("source"), "source_size")
+    goal = targets(per_source, max_repeats, weights).withColumn("_sk", _source_key()).drop("source")
+    upto = Window.partitionBy("_sk").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_cell_start", F.coalesce(F.sum("_cell_size").over(upto), F.lit(0))).drop("_cell_size").join(goal, "_sk")
+    # one exchange by (source, cell) serves this join and the window
+    d = d.join(cells, ["_sk", "_cell"])
+    inside = Window.partitionBy("_sk", "_cell").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_start", F.col("_cell_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     want = F.round("target").cast("long")
     laps = F.when(F.col("source_size") > 0, F.floor(want / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -93,7 +98,7 @@ def plan(docs: DataFrame, max_repeats: int = 3, weights: list[int] | None = None
     d = d.withColumn("taken", (laps * F.col("size") + last).cast("long"))
     share = (F.col("_start") + F.least(F.col("size"), F.col("taken")) / 2) / F.col("target")
     d = d.withColumn("first_position", F.when(F.col("taken") > 0, curriculum_time(share, F.col("source_rank") % 2 == 1)))
-    return d.drop("_key", "_cell", "_cell_start")
+    return d.drop("_key", "_sk", "_cell", "_cell_start")
 
 
 def mix(docs: DataFrame, max_repeats: int = 3, weights: list[int] | None = None) -> DataFrame:
