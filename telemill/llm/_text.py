@@ -6,7 +6,9 @@ offsets; no Python object is made per word or character.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,14 @@ def checkpointed(df):
     return df.checkpoint()
 
 
+def release(spark) -> None:
+    """Lets the session remove shuffle files that checkpoints have made unreachable; the driver's second collection finds what the first set free."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def strings(column) -> pa.Array:
     """A plain string array; null becomes the empty text."""
     if isinstance(column, pa.ChunkedArray):

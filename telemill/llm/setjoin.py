@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm._text import U64, checkpointed, flat, mix, slices, word_hashes
+from telemill.llm._text import U64, checkpointed, flat, mix, release, slices, word_hashes
 
 SHINGLE = 5
 SKETCH_BITS = 1024
@@ -373,6 +373,7 @@ def links(docs: DataFrame, slim: DataFrame, percent: int = 80) -> DataFrame:
     """
     sigs = docs.select("text").mapInArrow(_index(percent), "sig long, cid long")
     live = checkpointed(sigs.repartition("sig").sortWithinPartitions("sig", "cid").mapInArrow(_stars, "sig long, pivot long, cid long, lone boolean"))
+    release(docs.sparkSession)  # the signatures, the largest shuffle, are read
     tried = checkpointed(plausible(live.filter("pivot <> cid").select("pivot", "cid").distinct(), slim, percent))
     found = verified(docs, tried, percent)
     members = live.filter("not lone").select("sig", "cid")
@@ -404,6 +405,7 @@ def cluster(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] = ("doc_id
     each = checkpointed(classes(docs, keep))
     slim = each.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     label = components(links(docs, checkpointed(slim), percent))
+    release(docs.sparkSession)
     each = each.drop("sketch")
     least = each.filter(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("least"))
     named = least.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
