@@ -293,6 +293,38 @@ def components(edges: DataFrame) -> DataFrame:
     return ends.union(e.select(F.col("v").alias("cid"), F.col("v").alias("label")).distinct())
 
 
+def _hubs(batches):
+    """Rows (sig, label, degree, cid), best linked first in each sig, to (sig, pivot, cid) of signatures in several components: each class, with the best-linked one if that is in another component, else with itself."""
+    held: list[pa.RecordBatch] = []
+
+    def done(t: pa.Table):
+        sig, label, cid = (t.column(c).to_numpy() for c in ("sig", "label", "cid"))
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(sig))))
+        other = label != label[first][run]
+        split = np.bincount(run, weights=other, minlength=len(first)) > 0
+        keep = split[run] & (np.bincount(run, minlength=len(first)) > 2)[run]
+        pivot = np.where(other, cid[first][run], cid)
+        return pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(pivot[keep]), pa.array(cid[keep])], ["sig", "pivot", "cid"])
+
+    for batch in batches:
+        yield from _whole_runs(held, batch, done)
+    if held:
+        yield done(pa.Table.from_batches(held))
+
+
+def _whole_runs(held: list[pa.RecordBatch], batch: pa.RecordBatch, done):
+    """Hands over all rows but those of the last signature, which wait in `held` for the next batch."""
+    if not batch.num_rows:
+        return
+    sig = batch.column("sig").to_numpy()
+    cut = int(np.searchsorted(sig, sig[-1]))
+    if cut or (held and held[-1].column("sig")[-1].as_py() != sig[-1]):
+        yield done(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+        held.clear()
+    held.append(batch.slice(cut))
+
+
 def plausible(pairs: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs (pivot, cid) that sizes and sketches do not rule out; without false refusals."""
     p = pairs.join(slim, "cid").join(slim.select(F.col("cid").alias("pivot"), F.col("n").alias("m"), F.col("sketch").alias("other")), "pivot")
@@ -334,14 +366,7 @@ def _across(percent):
             return pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64())], ["pivot", "cid"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = batch.column("sig").to_numpy()
-            cut = int(np.searchsorted(sig, sig[-1]))  # rows of the last signature wait for the next batch
-            if cut or (held and held[-1].column("sig")[-1].as_py() != sig[-1]):
-                yield done(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
+            yield from _whole_runs(held, batch, done)
         if held:
             yield done(pa.Table.from_batches(held))
 
@@ -376,28 +401,25 @@ def links(docs: DataFrame, slim: DataFrame, percent: int = 80) -> DataFrame:
     release(docs.sparkSession)  # the signatures, the largest shuffle, are read
     tried = checkpointed(plausible(live.filter("pivot <> cid").select("pivot", "cid").distinct(), slim, percent))
     found = verified(docs, tried, percent)
-    members = live.filter("not lone").select("sig", "cid")
-    for last in (False, True):
-        label = components(found)
-        rows = members.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        split = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("k > 2 and lo < hi").select("sig")
-        rows = checkpointed(rows.join(split, "sig", "left_semi"))
-        members = rows.select("sig", "cid")
-        if last:
-            wide = rows.join(slim, "cid").repartition("sig").sortWithinPartitions("sig").select("sig", "n", "label", "cid", "sketch")
-            more = wide.mapInArrow(_across(percent), "pivot long, cid long").distinct()
-        else:
-            degree = found.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("degree"))
-            known = rows.join(degree, "cid", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-            hub = known.groupBy("sig").agg(F.max(F.struct("degree", "cid", "label")).alias("hub"))
-            near = rows.join(hub, "sig").filter("label <> hub.label").select(F.least("cid", "hub.cid").alias("pivot"), F.greatest("cid", "hub.cid").alias("cid"))
-            more = plausible(near.distinct(), slim, percent)
-        more = checkpointed(more.join(tried, ["pivot", "cid"], "left_anti"))
-        if more.isEmpty():
-            continue
+    release(docs.sparkSession)
+    label = components(found)
+    degree = found.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("degree"))
+    known = label.join(degree, "cid", "left")
+    rows = live.filter("not lone").select("sig", "cid").join(known, "cid", "left")
+    rows = rows.select("sig", F.coalesce("label", "cid").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"), "cid")
+    split = checkpointed(rows.repartition("sig").sortWithinPartitions("sig", F.desc("degree"), F.desc("cid")).mapInArrow(_hubs, "sig long, pivot long, cid long"))
+    near = split.select(F.least("pivot", "cid").alias("pivot"), F.greatest("pivot", "cid").alias("cid")).filter("pivot <> cid").distinct()
+    more = checkpointed(plausible(near.join(tried, ["pivot", "cid"], "left_anti"), slim, percent))
+    if not more.isEmpty():
         tried = tried.union(more)
         found = found.union(verified(docs, more, percent))
-    return found
+        release(docs.sparkSession)
+        label = components(found)
+    rows = split.select("sig", "cid").join(label, "cid", "left").join(slim, "cid").select("sig", "n", F.coalesce("label", "cid").alias("label"), "cid", "sketch")
+    more = rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(_across(percent), "pivot long, cid long").distinct()
+    more = checkpointed(more.join(tried, ["pivot", "cid"], "left_anti"))
+    release(docs.sparkSession)
+    return found if more.isEmpty() else found.union(verified(docs, more, percent))
 
 
 def cluster(docs: DataFrame, percent: int = 80, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
