@@ -140,9 +140,13 @@ def _runs(data: np.ndarray, off: np.ndarray, scan: str, least: int) -> np.ndarra
     """Rows that hold a run of at least `least` bytes of the class."""
     table = np.zeros(256, bool)
     table[[ord(c) for c in scan]] = True
-    stop = ~table[data]
-    edges = np.union1d(np.flatnonzero(stop), np.union1d(off[:-1] - 1, [len(data)])) if len(data) else np.zeros(0, np.int64)
-    long = edges[:-1][np.diff(edges) > least] + 1
+    inside = table[data]
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    some = np.diff(off) > 0
+    before[off[:-1][some]] = after[off[1:][some] - 1] = False  # runs end with their text
+    starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    long = starts[ends - starts >= least]
     out = np.zeros(len(off) - 1, bool)
     out[np.searchsorted(off, long, "right") - 1] = True
     return out

@@ -258,6 +258,14 @@ def test_secrets_against_brute_force(spark, frame):
     assert secrets.scan(frame([])).count() == 0
 
 
+def test_hex_runs_at_the_edges_of_texts(frame):
+    """Runs of exactly 24 at a text's start or end, whatever the next text is; halves of two texts make no run."""
+    run = "0123456789abcdef01234567"
+    texts = [run, "x", f"id {run}", f"{run} id", "", run, None, run[:23], run[:12], run[12:], f"é{run}", f"{run}é", run]
+    got = {r["doc_id"]: r["n_hex"] for r in secrets.digest(secrets.scan(frame([(i, t, None, None) for i, t in enumerate(texts)]).coalesce(1))).collect()}
+    assert got == {i: len(re.findall("[0-9a-f]{24,}", t or "")) for i, t in enumerate(texts)}
+
+
 def test_trigram_queries_are_necessary():
     assert secrets.trigram_query(r"[0-9a-f]+") == ("all",)
     for rule in secrets.BASE[:2] + secrets.MORE:
