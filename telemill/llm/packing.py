@@ -10,12 +10,16 @@ go to the earlier item. Output depends only on the order of rows in a partition.
 
 Tokenisation splits a batch into the vocabulary's pre-tokens with array
 operations, merges each distinct pre-token once by the ranks of the tokenizer
-file, and gathers the ids; they equal the tokenizer's own (tested against it). Null texts are empty: their only id is the end id. Repeated rows are
+file, and gathers the ids; they equal the tokenizer's own (tested against it). As
+in the tokenizer's default state, a text is first split at the file's added tokens,
+each of which is one id. Null texts are empty: their only id is the end id. Repeated rows are
 packed each.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -96,12 +100,26 @@ def byte_ranks(path: str) -> dict[bytes, int]:
     return {bytes(back[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
 
 
+def added_tokens(path: str) -> dict[bytes, int]:
+    """Byte strings of a tokenizer file's added tokens and their ids."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens", [])
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError("added tokens that depend on the text around them")
+    return {t["content"].encode(): t["id"] for t in tokens}
+
+
 class Encoder:
-    """Ids of whole texts, equal to the tokenizer's, by encoding each distinct pre-token once."""
+    """Ids of whole texts, equal to the tokenizer's, by encoding each distinct pre-token once. encode_special_tokens as the tokenizer's: added tokens in texts are plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         import tiktoken
 
+        self.added = {} if encode_special_tokens else added_tokens(path)
+        literal = b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))  # the longest of those that begin at a place
+        self.literal, self.anywhere = (re.compile(literal), re.compile(b"(?=" + literal + b")")) if literal else (None, None)
         self.core = tiktoken.Encoding("pretokens", pat_str=r"[\s\S]+", mergeable_ranks=byte_ranks(path), special_tokens={})._core_bpe
         self.classes = char_classes()
         self.clear()
@@ -115,7 +133,7 @@ class Encoder:
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         one = self.core.encode_single_piece
-        got = [one(p) for p in pieces]
+        got = [[self.added[p]] if p in self.added else one(p) for p in pieces]
         size = np.fromiter(map(len, got), np.int64, len(got))
         need = self.used + int(size.sum())
         if need > len(self.flat):
@@ -126,13 +144,31 @@ class Encoder:
         self.size.extend(size.tolist())
         self.used = need
 
+    def _literals(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code point starts and ends of the added tokens in texts; off in code points."""
+        raw = data.tobytes()
+        at = [m.start() for m in self.anywhere.finditer(raw)]
+        if not at:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        edge = lead[off]
+        found = [m.span() for i in np.unique(np.searchsorted(edge, at, "right") - 1).tolist() for m in self.literal.finditer(raw, int(edge[i]), int(edge[i + 1]))]
+        starts, ends = np.array(found, np.int64).reshape(-1, 2).T
+        return np.searchsorted(lead, starts), np.searchsorted(lead, ends)
+
     def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids, id offsets a text) of a string column."""
         data, off = flat(column)
         cps, off = codepoints(data, off)
         if len(cps) != int(((data & 0xC0) != 0x80).sum()):  # malformed bytes were replaced
             data = np.frombuffer(cps.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
-        starts = pretoken_starts(cps, off, self.classes)
+        a, b = self._literals(data, off) if self.literal else (off[:0], off[:0])
+        if len(a):
+            starts = pretoken_starts(cps, np.union1d(off, np.concatenate([a, b])), self.classes)
+            k = np.searchsorted(a, starts, "right") - 1
+            starts = starts[(k < 0) | (starts == a[k]) | (starts >= b[k])]  # an added token is one piece
+        else:
+            starts = pretoken_starts(cps, off, self.classes)
         ends = np.append(starts[1:], len(cps)) if len(starts) else starts
         keys, where, inv = np.unique(span_hashes(cps, starts, ends), return_index=True, return_inverse=True)
         if len(self.at) > MEMO:
@@ -182,7 +218,7 @@ def _packer(path, capacity, max_segments, max_loss, end_id, extra):
     def run(batches):
         from pyspark import TaskContext
 
-        encode = Encoder(path)
+        encode = Encoder(path, encode_special_tokens=False)
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 40
         names = [*extra, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]

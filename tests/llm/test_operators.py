@@ -378,6 +378,24 @@ def test_tokens_equal_the_tokenizer(spark, documents):
         assert ids[off[i] : off[i + 1]].tolist() == e.ids, texts[i]
 
 
+def test_added_tokens_are_one_id(frame):
+    """Against the tokenizer in its default state, in which added tokens in texts are themselves."""
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    tok = Tokenizer.from_file(path)
+    end = "<|endoftext|>"
+    rng = random.Random(2)
+    bits = [end, end, end[:5], end[5:], "<", "|>", "'", "s", " ", "  ", "\n", "a", "é", "1", "!", "你", "🙂"]
+    texts = [f"a{end}b", end, end * 2, f"  {end}  ", end[:6], end[6:], "", f"'{end}s"] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 50256, 65]
+    ids, off = packing.Encoder(path, encode_special_tokens=False)(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == want
+    rows = packing.pack_documents(frame([(i, t, None, None) for i, t in enumerate(texts)]), path, end_id=1).collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in rows} == {i: [*w, 1] for i, w in enumerate(want)}
+
+
 def test_packing(spark, frame, documents):
     docs = frame([(i, r["text"], None, None) for i, r in documents.items()] + [(-1, None, None, None), (-2, "", None, None), (-2, "", None, None)])
     rows = packing.pack_documents(docs, packing.default_tokenizer()).collect()
