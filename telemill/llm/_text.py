@@ -155,3 +155,23 @@ def word_hashes(data: np.ndarray, off: np.ndarray, fold: bool = True) -> tuple[n
     """(hash a word, word offsets a document); A-Z count as a-z if fold."""
     starts, ends, woff = words(data, off)
     return span_hashes(lower_ascii()[data] if fold else data, starts, ends), woff
+
+
+class Parts:
+    """A table too large to hold, as broadcasts of bounded size; a task reads each from its local file and lets it go."""
+
+    def __init__(self, df, keys: tuple[str, ...], most: int, arrange=dict):
+        """df: checkpointed, as it is read once a part; rows of a key come to one part, and a part has about `most` rows. arrange: what is made of a part's columns."""
+        from pyspark.sql import functions as F
+
+        n = max(1, -(-df.count() // most))
+        slot = F.pmod(F.xxhash64(*keys, F.lit("part")), F.lit(n))
+        self.shared = []
+        for i in range(n):
+            rows = df.filter(slot == i).toArrow()
+            self.shared.append(df.sparkSession.sparkContext.broadcast(arrange({c: rows.column(c).to_numpy() for c in rows.column_names})))
+
+    def __iter__(self):
+        for b in self.shared:
+            yield b.value
+            b.__dict__.pop("_value", None)

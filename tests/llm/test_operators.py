@@ -80,6 +80,21 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(lp).sum() + np.exp(rest).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_large_models_lose_nothing(spark, frame):
+    """A model beyond max_grams scores as one below it, and keeps a language whose grams are all rare."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang", "source").limit(150).collect()
+    rare = "\u7530\u4e2d\uac00\ub098\u6c34\u6728\u706b\u571f\u91d1\u65e5"
+    docs = frame([tuple(r) for r in docs] + [(-1, rare, "zz", None), (-2, "", "en", None), (-3, "\uac00\ub098\u6c34\u6728", None, None)])
+    whole, parted = langid.train(docs, calibration_docs=0), langid.train(docs, max_grams=1500, calibration_docs=0)
+    assert "parts" not in whole and len(parted["parts"].shared) > 2 and parted["langs"] == whole["langs"] and "zz" in whole["langs"]
+    a, b = ({r["doc_id"]: r for r in langid.identify(docs, m).collect()} for m in (whole, parted))
+    assert a[-1]["lang_pred"] == b[-1]["lang_pred"] == a[-3]["lang_pred"] == b[-3]["lang_pred"] == "zz"
+    assert {i: r["lang_pred"] for i, r in a.items()} == {i: r["lang_pred"] for i, r in b.items()}
+    assert all(b[i]["cross_entropy"] == pytest.approx(r["cross_entropy"], abs=1e-5) for i, r in a.items())
+    held = langid.train(docs, max_grams=1500)
+    assert held["limit"] == pytest.approx(langid.train(docs)["limit"], rel=1e-5)
+
+
 # --- 2 ------------------------------------------------------------------------
 
 
