@@ -9,9 +9,9 @@ patterns is right (seeds stay at 1). Patterns with enough distinct seeds and
 confidence then mark tokens that no fixed pattern finds.
 
 Edges are distinct (pattern, instance) pairs, aggregated before the shuffle, so a
-copied passage counts once however often it stands. At most `max_patterns`
-patterns, best first, are kept: the model's size, not a limit on texts. Null
-texts are empty. Base spans are never changed; further spans never overlap them.
+copied passage counts once however often it stands. All accepted patterns are
+used; where they are more than `max_patterns`, tasks look theirs up in parts of so
+many instead of holding all. Null texts are empty. Base spans are never changed; further spans never overlap them.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm._text import checkpointed, flat, slices
+from telemill.llm._text import Parts, checkpointed, flat, slices
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -137,8 +137,8 @@ def _edges(batches):
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["pattern", "instance", "kind"])
 
 
-def learn(docs: DataFrame, rounds: int = 2, min_seeds: int = 5, min_confidence: float = 0.7, max_patterns: int = 200_000) -> dict[int, int]:
-    """Accepted patterns (hash: kind index)."""
+def learn(docs: DataFrame, rounds: int = 2, min_seeds: int = 5, min_confidence: float = 0.7, max_patterns: int = 200_000) -> dict[int, int] | Parts:
+    """Accepted patterns (hash: kind index); where they are more than `max_patterns`, parts of (pattern, kind) of about so many each."""
     edges = docs.select("text").mapInArrow(_edges, "pattern long, instance long, kind int")
     edges = checkpointed(edges.groupBy("pattern", "instance", "kind").agg(F.lit(1).alias("one")).drop("one"))
     seeds = edges.filter("kind >= 0")
@@ -152,10 +152,27 @@ def learn(docs: DataFrame, rounds: int = 2, min_seeds: int = 5, min_confidence:
         found = open_edges.join(score.select("pattern", "kind", "conf"), "pattern").groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("belief"))
         gained = open_edges.join(found, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("gain"))
         score = strong.join(gained, ["pattern", "kind"], "left").withColumn("conf", F.least(F.lit(1.0), (F.col("seeds") + F.coalesce("gain", F.lit(0.0)) * F.col("seeds") / F.col("n")) / F.col("n")))
-    best = score.filter(F.col("conf") >= min_confidence).orderBy(F.desc("conf"), F.desc("seeds"), "pattern", "kind").limit(max_patterns).select("pattern", "kind").toArrow()
+    best = score.filter(F.col("conf") >= min_confidence).groupBy("pattern").agg(F.min(F.struct((-F.col("conf")).alias("conf"), (-F.col("seeds")).alias("seeds"), "kind")).alias("best"))
+    best = checkpointed(best.select("pattern", F.col("best.kind").alias("kind")))
+    if best.count() > max_patterns:
+        return Parts(best, ("pattern",), max_patterns)
+    rows = best.toArrow()
+    return dict(zip(rows.column("pattern").to_pylist(), rows.column("kind").to_pylist(), strict=True))
+
+
+def _accepted(parts: Parts, batch: pa.RecordBatch) -> dict[int, int]:
+    """The accepted patterns of the candidates in a batch."""
+    own: set[int] = set()
+    for part in slices(batch, "text"):
+        for i in np.flatnonzero(_marked(part)).tolist():
+            text = part.column("text")[i].as_py()
+            for a, b in candidates(text, base_spans(text)):
+                own.update(patterns_at(text, a, b))
+    want = np.fromiter(own, np.int64, len(own))
     out: dict[int, int] = {}
-    for p, k in zip(best.column("pattern").to_pylist(), best.column("kind").to_pylist(), strict=True):
-        out.setdefault(p, k)
+    for rows in parts if own else ():
+        both, _, at = np.intersect1d(want, rows["pattern"], assume_unique=True, return_indices=True)
+        out.update(zip(both.tolist(), rows["kind"][at].tolist(), strict=True))
     return out
 
 
@@ -184,17 +201,17 @@ def redacted(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
 _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
 
-def extract(docs: DataFrame, model: dict[int, int] | None = None, redact: bool = False) -> DataFrame:
+def extract(docs: DataFrame, model: dict[int, int] | Parts | None = None, redact: bool = False) -> DataFrame:
     """All columns of docs with `pii`: array of (kind, start, end, base) in code points; with redact, text has the spans replaced."""
     model = learn(docs) if model is None else model
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model if isinstance(model, Parts) else docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("pii")
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches):
-        m = shared.value
         for batch in batches:
+            m = _accepted(shared, batch) if isinstance(shared, Parts) else shared.value
             for part in slices(batch, "text"):
                 found: list[list] = [[] for _ in range(part.num_rows)]
                 texts = part.column("text")

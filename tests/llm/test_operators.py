@@ -159,6 +159,18 @@ def test_pii_learns_patterns_and_redacts(frame):
     assert pii.extract(docs.limit(0)).count() == 0
 
 
+def test_pii_uses_every_accepted_pattern(frame):
+    rng = random.Random(5)
+    rows = [(100 * k + i, f"Some text. Desk{k} phone line{k} +1 555 {rng.randint(1000000, 9999999)} today.", None, None) for k in range(6) for i in range(8)]
+    rows += [(1000 + k, f"More text. Desk{k} phone line{k} 55{k}-12-34{k} today.", None, None) for k in range(6)]
+    docs = frame(rows)
+    parts = pii.learn(docs, max_patterns=2)
+    whole = pii.learn(docs)
+    assert len(parts.shared) > 2 and {p: k for x in parts for p, k in zip(x["pattern"].tolist(), x["kind"].tolist(), strict=True)} == whole
+    a, b = ({r["doc_id"]: r["pii"] for r in pii.extract(docs, m).collect()} for m in (whole, parts))
+    assert a == b and all(any(not x["base"] for x in b[1000 + k]) for k in range(6))
+
+
 # --- 4 ------------------------------------------------------------------------
 
 
