@@ -6,9 +6,9 @@ offsets; no Python object is made per word or character.
 
 from __future__ import annotations
 
-import gc
+import hashlib
 import tempfile
-import time
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +19,11 @@ SLICE_BYTES = 2_000_000
 
 
 def shared_folder(spark) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder that the session names in spark.checkpoint.dir. Where none is named: a temporary one on a local master, else one in the warehouse."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="telemill-shared-")
+        named = tempfile.mkdtemp(prefix="telemill-shared-") if sc.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/telemill-shared"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
@@ -35,12 +35,37 @@ def checkpointed(df):
     return df.checkpoint()
 
 
-def release(spark) -> None:
-    """Lets the session remove shuffle files that checkpoints have made unreachable; the driver's second collection finds what the first set free."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+class Tables:
+    """Intermediate results as Parquet tables in the shared folder, removed one by one or when the session ends."""
+
+    def __init__(self, spark):
+        self.spark, self.number = spark, 0
+        self.folder = f"{shared_folder(spark)}/telemill-{uuid.uuid4().hex}"
+        jvm = spark.sparkContext._jvm
+        self.path = jvm.org.apache.hadoop.fs.Path
+        self.files = self.path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.files.deleteOnExit(self.path(self.folder))
+
+    def keep(self, df):
+        """Writes a frame and reads it back, as a new one without lineage."""
+        self.number += 1
+        path = f"{self.folder}/{self.number}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._telemill_path = path
+        return out
+
+    def drop(self, *frames) -> None:
+        """Removes tables that nothing will read again."""
+        for df in frames:
+            self.files.delete(self.path(df._telemill_path), True)
+
+
+def no_clash(keep, added) -> None:
+    """Columns that a caller keeps must not have the names of those an operator adds."""
+    both = sorted(set(keep) & set(added))
+    if both:
+        raise ValueError(f"columns to keep clash with added ones: {both}")
 
 
 def strings(column) -> pa.Array:
@@ -120,29 +145,27 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Longer spans are hashed one by one, by a digest.
+LONG_SPAN = 4096
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n + 1, _BASE, U64)
-    down = np.full(n + 1, pow(_BASE, -1, 1 << 64), U64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of a flat array of small integers, by prefix sums of a polynomial."""
-    out = np.empty(len(starts), U64)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: a chain of finalisers over words of 8 bytes. Spans of up to 8 bytes and equal length never collide."""
     if len(starts) == 0:
-        return out
+        return np.empty(0, U64)
+    size = ends - starts
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
     with np.errstate(over="ignore"):
-        seen = mix(values.astype(U64) + U64(0x51ED270B))
-        up, down = _powers(len(values))
-        total = np.empty(len(values) + 1, U64)
-        total[0] = 0
-        np.cumsum(seen * up[:-1], out=total[1:])
-        out = (total[ends] - total[starts]) * down[starts]
-        return mix(out ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
+        h = mix((eight[starts] & _MASKS[np.minimum(size, 8)]) ^ (size.astype(U64) * U64(0xD6E8FEB86659FD93)))
+        more, at = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
+        while len(more):
+            h[more] = mix(h[more] * U64(0x9E3779B97F4A7C15) + (eight[starts[more] + at] & _MASKS[np.minimum(size[more] - at, 8)]))
+            at += 8
+            more = more[size[more] > at]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def lower_ascii() -> np.ndarray:
