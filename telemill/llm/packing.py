@@ -1,23 +1,30 @@
 """Packing: vector bin packing of tokenised examples by the dot-product heuristic.
 
 A sequence has three limits: tokens, segments and loss-bearing tokens. Each
-document is tokenised and closed by an end id; whole runs of `capacity` tokens
-fill a sequence each, and the remainder is one item. Items are packed within
-bounded windows of one input partition, so nothing is shuffled: for an open
+document is tokenised and closed by an end id; runs of `capacity` tokens, or of as
+many as `max_loss` allows, are cut off, and the remainder is one item. Runs of
+`capacity` tokens fill a sequence each; other pieces are items. Items are packed
+within bounded windows of one input partition, so nothing is shuffled: for an open
 sequence the item that fits and has the largest dot product of its demand with
 the sequence's remaining room (both as shares of the limits) goes in next; ties
 go to the earlier item. Output depends only on the order of rows in a partition.
 
+Where a column of spans says which text bears loss, a token does if its first byte
+lies in one; the end id never. Without it all tokens bear loss but the first of a
+segment, which has nothing before it to be predicted from.
+
 Tokenisation splits a batch into the vocabulary's pre-tokens with array
-operations, merges each distinct pre-token once by the ranks of the tokenizer
-file, and gathers the ids; they equal the tokenizer's own (tested against it). As
-in the tokenizer's default state, a text is first split at the file's added tokens,
-each of which is one id. Null texts are empty: their only id is the end id. Repeated rows are
-packed each.
+operations, has the `tokenizers` model encode each distinct pre-token once (told
+apart by its bytes), and gathers the ids; they equal the tokenizer's own (tested
+against it). As in the tokenizer's default state, a text is first split at the
+file's added tokens, each of which is one id. Null texts are empty: their only id is
+the end id. Repeated rows are packed each. An empty table gives no rows. Columns to
+keep must not have the names of added ones.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -26,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm._text import U64, codepoints, flat, slices, span_hashes
+from telemill.llm._text import U64, codepoints, flat, no_clash, slices, span_hashes
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Items packed together at most; bounds a task's memory (their ids are held).
 WINDOW_ITEMS = 4096
 #: Distinct pre-tokens remembered by a task before it starts afresh.
-MEMO = 1_500_000
+MEMO = 400_000
 
 
 def char_classes() -> np.ndarray:
@@ -88,58 +95,73 @@ def pretoken_starts(cps: np.ndarray, off: np.ndarray, classes: np.ndarray) -> np
     return np.flatnonzero(start)
 
 
-def byte_ranks(path: str) -> dict[bytes, int]:
-    """Byte strings and their ids from a byte-level BPE tokenizer file, whose ids are in order of merging."""
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    special = {t["content"] for t in model.get("added_tokens", [])}
-    return {bytes(back[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
+def byte_alphabet() -> list[str]:
+    """The character by which a byte-level vocabulary writes each byte: its own where that is printable, else the next from U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return [chr(b) if b in set(plain) else chr(256 + rest.index(b)) for b in range(256)]
 
 
-def added_tokens(path: str) -> dict[bytes, int]:
+def added_tokens(content: str) -> dict[bytes, int]:
     """Byte strings of a tokenizer file's added tokens and their ids."""
-    import json
-
-    with open(path, encoding="utf-8") as f:
-        tokens = json.load(f).get("added_tokens", [])
+    tokens = json.loads(content).get("added_tokens", [])
     if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
         raise ValueError("added tokens that depend on the text around them")
     return {t["content"].encode(): t["id"] for t in tokens}
 
 
-class Encoder:
-    """Ids of whole texts, equal to the tokenizer's, by encoding each distinct pre-token once. encode_special_tokens as the tokenizer's: added tokens in texts are plain text."""
+def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of spans at a and at b, of the same sizes, are equal."""
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    out, more, at = np.ones(len(a), bool), np.flatnonzero((a != b) & (size > 0)), 0
+    while len(more):
+        low = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)[np.minimum(size[more] - at, 8)]
+        out[more[((eight[a[more] + at] ^ eight[b[more] + at]) & low) != 0]] = False
+        at += 8
+        more = more[(size[more] > at) & out[more]]
+    return out
 
-    def __init__(self, path: str, encode_special_tokens: bool = True):
-        import tiktoken
 
-        self.added = {} if encode_special_tokens else added_tokens(path)
+class Encoder:
+    """Ids of whole texts, equal to the tokenizer's, by encoding each distinct pre-token once. content: that of a tokenizer file; encode_special_tokens as the tokenizer's: added tokens in texts are plain text."""
+
+    def __init__(self, content: str, encode_special_tokens: bool = True):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_str(content)
+        self.model, self.alphabet = tokenizer.model, byte_alphabet()
+        byte = {c: b for b, c in enumerate(self.alphabet)}
+        known = tokenizer.get_vocab(with_added_tokens=True)
+        every = added_tokens(content)
+        self.width = np.ones(max(known.values()) + 1, np.int64)  # bytes of text a token stands for
+        for token, i in known.items():
+            self.width[i] = len(token) if all(c in byte for c in token) and token.encode() not in every else len(token.encode())
+        self.added = {} if encode_special_tokens else every
         literal = b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))  # the longest of those that begin at a place
         self.literal, self.anywhere = (re.compile(literal), re.compile(b"(?=" + literal + b")")) if literal else (None, None)
-        self.core = tiktoken.Encoding("pretokens", pat_str=r"[\s\S]+", mergeable_ranks=byte_ranks(path), special_tokens={})._core_bpe
         self.classes = char_classes()
         self.clear()
 
     def clear(self):
-        self.seen: dict[int, int] = {}
+        self.seen: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.at: list[int] = []
         self.size: list[int] = []
 
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
-        one = self.core.encode_single_piece
-        got = [[self.added[p]] if p in self.added else one(p) for p in pieces]
+    def _one(self, piece: bytes) -> list[int]:
+        if piece in self.added:
+            return [self.added[piece]]
+        return [t.id for t in self.model.tokenize("".join(map(self.alphabet.__getitem__, piece)))]
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        got = [self._one(p) for p in pieces]
         size = np.fromiter(map(len, got), np.int64, len(got))
         need = self.used + int(size.sum())
         if need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), need), np.uint32)])
         self.flat[self.used : need] = np.fromiter((i for g in got for i in g), np.uint32, need - self.used)
-        self.seen.update(zip(keys.tolist(), range(len(self.at), len(self.at) + len(got)), strict=True))
+        self.seen.update(zip(pieces, range(len(self.at), len(self.at) + len(got)), strict=True))
         self.at.extend((self.used + np.cumsum(size) - size).tolist())
         self.size.extend(size.tolist())
         self.used = need
@@ -169,21 +191,26 @@ class Encoder:
             starts = starts[(k < 0) | (starts == a[k]) | (starts >= b[k])]  # an added token is one piece
         else:
             starts = pretoken_starts(cps, off, self.classes)
-        ends = np.append(starts[1:], len(cps)) if len(starts) else starts
-        keys, where, inv = np.unique(span_hashes(cps, starts, ends), return_index=True, return_inverse=True)
+        first = np.searchsorted(starts, off)
+        starts = np.append(starts, len(cps)) if len(cps) == len(data) else np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[np.append(starts, len(cps))]
+        starts, size = starts[:-1], np.diff(starts)  # in bytes
+        keys, where, inv = np.unique(span_hashes(data, starts, starts + size), return_index=True, return_inverse=True)
+        odd = np.flatnonzero((size != size[where][inv]) | ~equal_spans(data, starts, starts[where][inv], np.minimum(size, size[where][inv])))
+        inv[odd] = len(where) + np.arange(len(odd))  # pre-tokens whose hash another one has stand for themselves
+        where = np.concatenate([where, odd])
         if len(self.at) > MEMO:
             self.clear()
-        place = np.fromiter((self.seen.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            raw, lead = data.tobytes(), np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
-            self._learn(keys[new], [raw[a:b] for a, b in zip(lead[starts[where[new]]].tolist(), lead[ends[where[new]]].tolist(), strict=True)])
-            place[new] = np.fromiter((self.seen[k] for k in keys[new].tolist()), np.int64, len(new))
-        at = np.fromiter(map(self.at.__getitem__, place.tolist()), np.int64, len(place))[inv]
-        size = np.fromiter(map(self.size.__getitem__, place.tolist()), np.int64, len(place))[inv]
+        raw = data.tobytes()
+        pieces = [raw[a : a + n] for a, n in zip(starts[where].tolist(), size[where].tolist(), strict=True)]
+        new = list(dict.fromkeys(p for p in pieces if p not in self.seen))
+        if new:
+            self._learn(new)
+        place = list(map(self.seen.__getitem__, pieces))
+        at = np.fromiter(map(self.at.__getitem__, place), np.int64, len(place))[inv]
+        size = np.fromiter(map(self.size.__getitem__, place), np.int64, len(place))[inv]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
-        return ids, total[np.searchsorted(starts, off)]
+        return ids, total[first]
 
 
 def pack(tokens: np.ndarray, segments: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -214,53 +241,86 @@ def pack(tokens: np.ndarray, segments: np.ndarray, loss: np.ndarray, limits: tup
     return out, n
 
 
-def _packer(path, capacity, max_segments, max_loss, end_id, extra):
+def _marks(text: str, ids: np.ndarray, width: np.ndarray, spans: list) -> np.ndarray:
+    """Which of a text's tokens have their first byte in one of the spans (code points)."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    edge = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    cover = np.zeros(len(raw) + 1, np.int64)
+    for s in spans:
+        a, b = (edge[min(max(s[k], 0), len(edge) - 1)] for k in ("start", "end"))
+        if a < b:
+            cover[a] += 1
+            cover[b] -= 1
+    own = width[ids]
+    return np.cumsum(cover)[np.minimum(np.cumsum(own) - own, len(raw))] > 0
+
+
+ADDED = ("start", "length", "doc_tokens", "n_loss", "sequence_id", "offset", "ids", "loss_mask")
+
+
+def _packer(shared, text, capacity, max_segments, max_loss, end_id, extra, loss):
     def run(batches):
         from pyspark import TaskContext
 
-        encode = Encoder(path, encode_special_tokens=False)
+        encode = Encoder(shared.value, encode_special_tokens=False)
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 40
-        names = [*extra, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+        names = [*extra, *ADDED]
         full: list[list] = [[] for _ in names]
         items: list[tuple] = []
 
         def emit():
             nonlocal full
             if full[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(full, [*kinds, *[pa.int64()] * 5, pa.binary()], strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(full, [*kinds, *[pa.int64()] * 6, pa.binary(), pa.binary()], strict=True)], names)
             full = [[] for _ in names]
 
+        def add(row):
+            for c, v in zip(full, row, strict=True):
+                c.append(v)
+
         def place():
             nonlocal sequence, items
-            size = np.array([len(x[-1]) // 4 for x in items], np.int64)
-            bins, n = pack(size, np.ones(len(size), np.int64), size, (capacity, max_segments, max_loss))
+            size, bears = (np.array([x[k] for x in items], np.int64) for k in (1, 2))
+            bins, n = pack(size, np.ones(len(size), np.int64), bears, (capacity, max_segments, max_loss))
             used = np.zeros(n, np.int64)
-            for (*doc, start, total, raw), b, k in zip(items, bins.tolist(), size.tolist(), strict=True):
-                for c, v in zip(full, [*doc, start, k, total, sequence + b, int(used[b]), raw], strict=True):
-                    c.append(v)
+            for (doc, k, own, start, total, raw, mask), b in zip(items, bins.tolist(), strict=True):
+                add([*doc, start, k, total, own, sequence + b, int(used[b]), raw, mask])
                 used[b] += k
             sequence += n
             items = []
 
         kinds = None
-        whole = min(capacity, max_loss)
         for batch in batches:
             kinds = [batch.schema.field(c).type for c in extra]
-            for part in slices(batch, "text", 1_000_000):
-                ids, off = encode(part.column("text"))
+            for part in slices(batch, text, 1_000_000):
+                ids, off = encode(part.column(text))
                 cols = [part.column(c).to_pylist() for c in extra]
                 for i in range(part.num_rows):
                     own = np.append(ids[off[i] : off[i + 1]], np.uint32(end_id)).astype("<u4")
                     doc = [c[i] for c in cols]
-                    for a in range(0, len(own) - whole + 1, whole):
-                        for c, v in zip(full, [*doc, a, whole, len(own), sequence, 0, own[a : a + whole].tobytes()], strict=True):
-                            c.append(v)
-                        sequence += 1
-                    if len(own) % whole:
-                        items.append((*doc, len(own) - len(own) % whole, len(own), own[len(own) - len(own) % whole :].tobytes()))
-                    if len(items) >= WINDOW_ITEMS:
-                        place()
+                    marks = None
+                    if loss is not None:
+                        marks = np.append(_marks(part.column(text)[i].as_py() or "", own[:-1], encode.width, part.column(loss)[i].as_py() or []), False)
+                        before = np.concatenate([[0], np.cumsum(marks)])
+                    a = 0
+                    while a < len(own):
+                        b = min(len(own), a + capacity)
+                        if marks is None:
+                            b = min(b, a + max_loss + 1)
+                            bears, mask = b - a - 1, None
+                        else:
+                            b = min(b, int(np.searchsorted(before, before[a] + max_loss, "right")) - 1)
+                            bears, mask = int(before[b] - before[a]), marks[a:b].astype(np.uint8).tobytes()
+                        raw = own[a:b].tobytes()
+                        if b - a == capacity:
+                            add([*doc, a, capacity, len(own), bears, sequence, 0, raw, mask])
+                            sequence += 1
+                        else:
+                            items.append((doc, b - a, bears, a, len(own), raw, mask))
+                            if len(items) >= WINDOW_ITEMS:
+                                place()
+                        a = b
                     if len(full[0]) >= 4096:
                         yield from emit()
         if items:
@@ -270,11 +330,23 @@ def _packer(path, capacity, max_segments, max_loss, end_id, extra):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",), capacity: int = 2048, max_segments: int = 256, max_loss: int = 2048, end_id: int = 1) -> DataFrame:
-    """One row a piece: the kept columns, start, length, doc_tokens, sequence_id, offset and ids (little-endian unsigned 32-bit)."""
+def pack_documents(
+    docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",), capacity: int = 2048, max_segments: int = 256, max_loss: int = 2048, end_id: int = 1, text: str = "text", loss: str | None = None
+) -> DataFrame:
+    """One row a piece: the kept columns, start, length, doc_tokens, n_loss, sequence_id, offset, ids (little-endian unsigned 32-bit) and, with `loss`, loss_mask (a byte a token).
+
+    loss: a column of spans, array of (start, end) in code points of the text, whose tokens bear loss.
+    """
+    no_clash(keep, ADDED)
+    if min(capacity, max_segments, max_loss) < 1:
+        raise ValueError("limits must be positive")
+    with open(tokenizer_path, encoding="utf-8") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    run = _packer(tokenizer_path, capacity, max_segments, max_loss, end_id, list(keep))
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    inner = docs.select(*keep, F.col(text).alias("_text"), *([F.col(loss).alias("_loss")] if loss else []))
+    run = _packer(shared, "_text", capacity, max_segments, max_loss, end_id, list(keep), "_loss" if loss else None)
+    added = ", ".join(f"{c} {'binary' if c in ('ids', 'loss_mask') else 'long'}" for c in ADDED)
+    return inner.mapInArrow(run, f"{kinds}, {added}")
 
 
 def default_tokenizer() -> str:
@@ -282,7 +354,7 @@ def default_tokenizer() -> str:
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "n_loss")
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
