@@ -1,11 +1,15 @@
 r"""Chat formatting in budgeted windows (DataFrame operations only).
 
-A turn costs its words plus an overhead. Prefix sums of cost over a conversation
-cut it into turn-aligned spans: a span is the run of turns whose start falls in
-one cell of half the span budget; a turn of more than half the budget stands
-alone. So no span is over the budget unless it is one turn. A window is: the
-system turn (the first turn with that role; retained in every window), then the
-latest earlier turns within `history` tokens, then the span's own turns. Only
+A turn costs its words plus an overhead. Every window holds the system turn (the
+first turn with that role), so what it costs is taken off the budget first; the rest
+is the room of a window. Prefix sums of the other turns' costs cut a conversation
+into turn-aligned spans: a span is the run of turns whose start falls in one cell
+of half the room that is left beside the history (at most `history`, at most a
+quarter of the room); a turn that costs more than such a half stands alone. A window
+is the system turn, then the latest earlier turns that `history` and the room left
+by the span allow, then the span's own turns. So `n_tokens`, the sum of the costs of
+all turns in a window, is within the budget; the only windows above it are those in
+which one turn alone and the system turn exceed it, and these have no history. Only
 assistant text in its own turns bears loss; repeated turns are masked.
 
 A turn is written `<turn ROLE\nTEXT</turn>\n`, a repeated one `<past ROLE\n...`.
@@ -13,7 +17,9 @@ In texts and roles `\` becomes `\b` and `<` becomes `\l`; in roles a line feed
 becomes `\n`. So `<` never occurs but in a marker, and all is reversible.
 
 Turns are in order of turn, role, text, nulls first; null role and text are
-empty. Turns of a null conv_id are one conversation.
+empty. Turns of a null conv_id are one conversation. Repeated rows are turns each; an
+empty table gives no windows. One conversation is worked on in one task, as its
+digest is one value.
 """
 
 from __future__ import annotations
@@ -38,29 +44,26 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("cost", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++")).cast("long") + OVERHEAD)
     conv = Window.partitionBy("conv_id")
-    order = conv.orderBy(F.asc_nulls_first("turn"), "role", "text")
-    t = t.withColumn("i", F.row_number().over(order))
+    t = t.withColumn("i", F.row_number().over(conv.orderBy(F.asc_nulls_first("turn"), "role", "text")))
     by = conv.orderBy("i")
-    t = t.withColumn("start", F.sum("cost").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cost"))
-    half = budget // 2
+    t = t.withColumn("sys", F.col("i").eqNullSafe(F.min(F.when(F.col("role") == "system", F.col("i"))).over(conv)))
+    t = t.withColumn("room", F.greatest(F.lit(0), budget - F.coalesce(F.max(F.when(F.col("sys"), F.col("cost"))).over(conv), F.lit(0))))
+    own = F.when(F.col("sys"), F.lit(0)).otherwise(F.col("cost"))
+    t = t.withColumn("own_cost", own).withColumn("start", F.sum("own_cost").over(by.rowsBetween(Window.unboundedPreceding, 0)) - F.col("own_cost"))
+    half = F.greatest(F.lit(1), F.floor((F.col("room") - F.least(F.lit(history), F.floor(F.col("room") / 4))) / 2))
     cell = F.floor(F.col("start") / half)
-    big = F.col("cost") > half
-    new = (F.col("i") == 1) | (cell != F.lag(cell).over(by)) | big | F.lag(big).over(by)
-    t = t.withColumn("first", new)
+    big = F.col("own_cost") > half
+    t = t.withColumn("first", (F.col("i") == 1) | (cell != F.lag(cell).over(by)) | big | F.lag(big).over(by))
     t = t.withColumn("window", F.sum(F.col("first").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    t = t.withColumn("sys", F.min(F.when(F.col("role") == "system", F.struct("i", "role", "text"))).over(conv))
-    # windows that begin within `history` tokens after this turn's start repeat it
+    t = t.withColumn("last", F.max("window").over(conv))
+    t = t.withColumn("past", F.least(F.lit(history), F.greatest(F.lit(0), F.col("room") - F.sum("own_cost").over(Window.partitionBy("conv_id", "window")))))
+    # windows that begin within `history` tokens after this turn's start may repeat it
     ahead = conv.orderBy("start").rangeBetween(1, history)
-    t = t.withColumn("later", F.collect_list(F.when(F.col("first"), F.col("window"))).over(ahead))
-    t = t.withColumn("w", F.explode(F.concat(F.array("window"), F.filter("later", lambda x: x > F.col("window")))))
+    t = t.withColumn("later", F.collect_list(F.when(F.col("first"), F.struct("window", "start", "past"))).over(ahead))
+    near = F.transform(F.filter("later", lambda x: (x["window"] > F.col("window")) & (x["start"] - F.col("start") <= x["past"])), lambda x: x["window"])
+    t = t.withColumn("w", F.explode(F.when(F.col("sys"), F.sequence(F.lit(0).cast("long"), F.col("last"))).otherwise(F.concat(F.array("window"), near))))
     t = t.withColumn("own", F.col("w") == F.col("window"))
-    g = t.groupBy("conv_id", "w").agg(
-        F.array_sort(F.collect_list(F.struct("i", "own", "role", "text", "cost"))).alias("turns"),
-        F.max("sys").alias("sys"),
-    )
-    lead = F.when(F.col("sys").isNotNull() & ~F.exists("turns", lambda x: x["i"] == F.col("sys")["i"]), F.array(F.col("sys"))).otherwise(F.expr("slice(array(sys), 1, 0)"))
-    past = F.transform(lead, lambda x: F.struct(x["i"].alias("i"), F.lit(False).alias("own"), x["role"].alias("role"), x["text"].alias("text"), F.lit(0).cast("long").alias("cost")))
-    g = g.withColumn("turns", F.concat(past, "turns"))
+    g = t.groupBy("conv_id", "w").agg(F.array_sort(F.collect_list(F.struct((~F.col("sys") | F.col("own")).alias("after"), "i", "own", "role", "text", "cost"))).alias("turns"))
     role = lambda x: F.replace(escaped(x["role"]), F.lit("\n"), F.lit("\\n"))
     head = lambda x: F.concat(F.when(x["own"], F.lit("<turn ")).otherwise(F.lit("<past ")), role(x), F.lit("\n"))
     g = g.withColumn("parts", F.transform("turns", lambda x: F.struct(head(x).alias("head"), escaped(x["text"]).alias("body"), (x["own"] & (x["role"] == "assistant")).alias("loss"))))
@@ -81,17 +84,17 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turns: array of (role, text), loss: array of texts, formatted_chars) parsed from the windows alone."""
+    """(conv_id, turns: array of (role, text), loss: array of texts, formatted_chars, n_windows, max_tokens) parsed from the windows alone."""
     pieces = F.filter(F.split("formatted", END), lambda x: x.startswith("<turn "))
     body = F.transform(pieces, lambda x: F.substring(x, F.lit(7), F.length(x)))
     split = lambda x: F.instr(x, F.lit("\n"))
     back = lambda r: unescaped(F.replace(r, F.lit("\\n"), F.lit("\n")))
     turns = F.transform(body, lambda x: F.struct(back(F.substring(x, F.lit(1), split(x) - 1)).alias("role"), unescaped(F.substring(x, split(x) + 1, F.length(x))).alias("text")))
     loss = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])))
-    p = formatted.select("conv_id", "window", turns.alias("turns"), loss.alias("loss"), F.length("formatted").alias("chars"))
-    g = p.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "turns", "loss"))).alias("all"), F.sum("chars").cast("long").alias("formatted_chars"))
+    p = formatted.select("conv_id", "window", turns.alias("turns"), loss.alias("loss"), F.length("formatted").alias("chars"), "n_tokens")
+    g = p.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "turns", "loss"))).alias("all"), F.sum("chars").cast("long").alias("formatted_chars"), F.count(F.lit(1)).alias("n_windows"), F.max("n_tokens").alias("max_tokens"))
     flat = lambda name: F.flatten(F.transform("all", lambda x: x[name]))
-    return g.select("conv_id", flat("turns").alias("turns"), flat("loss").alias("loss"), "formatted_chars")
+    return g.select("conv_id", flat("turns").alias("turns"), flat("loss").alias("loss"), "formatted_chars", "n_windows", "max_tokens")
 
 
 def op4_chat_formatting(spark, sf_dir: str) -> DataFrame:
@@ -109,6 +112,8 @@ def op4_chat_formatting(spark, sf_dir: str) -> DataFrame:
         F.length(loss_text).cast("long").alias("loss_chars"),
         F.sha2(loss_text, 256).alias("loss_sha256"),
         "formatted_chars",
+        "n_windows",
+        "max_tokens",
     )
 
 
@@ -121,18 +126,19 @@ t AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
          len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS cost,
          length(replace(replace(text, '\', '\b'), '<', '\l')) + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), chr(10), '\n')) + 15 AS chars FROM c),
-s AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY i) - cost AS start FROM t),
-f AS (SELECT *, i = 1 OR start // 256 <> lag(start // 256) OVER w OR cost > 256 OR lag(cost) OVER w > 256 AS first FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
-g AS (SELECT *, sum(first::INT) OVER (PARTITION BY conv_id ORDER BY i) - 1 AS win,
-             min(CASE WHEN role = 'system' THEN i END) OVER (PARTITION BY conv_id) AS sys FROM f),
-wn AS (SELECT conv_id, win, start AS wstart, sys, i AS wi FROM g WHERE first),
-h AS (SELECT wn.conv_id, wn.win, g.i, g.chars FROM wn JOIN g ON g.conv_id = wn.conv_id AND g.win < wn.win AND wn.wstart - g.start BETWEEN 1 AND 128),
-y AS (SELECT wn.conv_id, g.chars FROM wn JOIN g ON g.conv_id = wn.conv_id AND g.i = wn.sys
-      WHERE g.win <> wn.win AND NOT EXISTS (SELECT 1 FROM h WHERE h.conv_id = wn.conv_id AND h.win = wn.win AND h.i = wn.sys)),
-e AS (SELECT conv_id, sum(chars) AS n FROM (SELECT conv_id, chars FROM h UNION ALL SELECT conv_id, chars FROM y) GROUP BY conv_id)
-SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+r AS (SELECT *, min(CASE WHEN role = 'system' THEN i END) OVER (PARTITION BY conv_id) AS sys FROM t),
+o AS (SELECT *, CASE WHEN i = sys THEN 0 ELSE cost END AS own, greatest(0, 512 - coalesce(max(CASE WHEN i = sys THEN cost END) OVER (PARTITION BY conv_id), 0)) AS room FROM r),
+s AS (SELECT *, sum(own) OVER (PARTITION BY conv_id ORDER BY i) - own AS start, greatest(1, (room - least(128, room // 4)) // 2) AS half FROM o),
+f AS (SELECT *, i = 1 OR start // half <> lag(start // half) OVER w OR own > half OR lag(own) OVER w > half AS first FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+g AS (SELECT *, sum(first::INT) OVER (PARTITION BY conv_id ORDER BY i) - 1 AS win FROM f),
+wn AS (SELECT conv_id, win, min(start) AS wstart, sum(own) AS span, any_value(room) AS room, any_value(sys) AS sys, sum(cost) AS cost, least(128, greatest(0, any_value(room) - sum(own))) AS past FROM g GROUP BY conv_id, win),
+h AS (SELECT wn.conv_id, wn.win, g.chars, g.cost FROM wn JOIN g ON g.conv_id IS NOT DISTINCT FROM wn.conv_id AND g.win < wn.win AND g.i IS DISTINCT FROM wn.sys AND wn.wstart - g.start BETWEEN 1 AND wn.past
+      UNION ALL SELECT wn.conv_id, wn.win, g.chars, g.cost FROM wn JOIN g ON g.conv_id IS NOT DISTINCT FROM wn.conv_id AND g.i = wn.sys AND g.win <> wn.win),
+k AS (SELECT wn.conv_id, wn.win, any_value(wn.cost) + coalesce(sum(h.cost), 0) AS tokens, coalesce(sum(h.chars), 0) AS n FROM wn LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM wn.conv_id AND h.win = wn.win GROUP BY wn.conv_id, wn.win),
+e AS (SELECT conv_id, sum(n) AS n, count(*) AS windows, max(tokens) AS tokens FROM k GROUP BY conv_id)
+SELECT g.conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       (sum(chars) + coalesce(max(e.n), 0))::BIGINT AS formatted_chars
-FROM g LEFT JOIN e USING (conv_id) GROUP BY conv_id
+       (sum(chars) + max(e.n))::BIGINT AS formatted_chars, max(e.windows)::BIGINT AS n_windows, max(e.tokens)::BIGINT AS max_tokens
+FROM g JOIN e ON e.conv_id IS NOT DISTINCT FROM g.conv_id GROUP BY g.conv_id
 """
