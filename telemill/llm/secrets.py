@@ -8,7 +8,9 @@ candidates are verified with the expression; rules without mandatory trigrams
 scan every row. Text and trigrams are folded to lower case, so a query never
 misses a match in either case.
 
-Null texts are empty. Blocks are slices of an input partition: nothing is
+Null texts are empty; a rule's matches do not overlap, and spans that begin together
+are in order of rules. Repeated rows are scanned each; an empty table gives no rows.
+All rules take time in proportion to a text's length. Blocks are slices of an input partition: nothing is
 shuffled, and no text is cut.
 """
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm._text import flat, lower_ascii, slices
+from telemill.llm._text import flat, lower_ascii, no_clash, slices
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,7 @@ MORE = (
     Rule("private_key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
     Rule("git_token", r"(?:ghp|gho|ghs|ghr)_[A-Za-z0-9]{36}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"(?i:authorization:\x20*bearer)\x20+[A-Za-z0-9._~+/=-]{16,}"),
 )
 
@@ -158,6 +160,7 @@ def spans_of(rule: Rule, compiled: re.Pattern, text: str) -> list[tuple[int, int
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and `found`: array of (kind, start, end) in code points, end exclusive, by start, then order of rules."""
+    no_clash(keep, ("found",))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     queries = [trigram_query(r.pattern) for r in rules]
     names = sorted({t for q in queries for t in _tris(q)})
