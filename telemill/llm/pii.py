@@ -11,13 +11,18 @@ confidence then mark tokens that no fixed pattern finds.
 Edges are distinct (pattern, instance) pairs, aggregated before the shuffle, so a
 copied passage counts once however often it stands. All accepted patterns are
 used; where they are more than `max_patterns`, tasks look theirs up in parts of so
-many instead of holding all. Null texts are empty. Base spans are never changed; further spans never overlap them.
+many instead of holding all. Null texts are empty. Base spans are never changed;
+further spans never overlap them. A pattern of two kinds has the one it is surer of,
+then the one with more seeds, then the first listed; a token with patterns of several
+kinds the first listed. Repeated rows have the same spans; an empty table gives no
+rows, and none teach nothing. A column `pii` is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -80,37 +85,56 @@ def _hash(*parts) -> int:
     return int.from_bytes(hashlib.blake2b("\x1f".join(parts).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def _before(text: str, a: int) -> list[str]:
-    """Up to two words before a place, nearest last."""
-    return [w.strip(_EDGE).lower() for w in text[max(0, a - 80) : a].split()[-2:]]
+class Words:
+    """A text's words, and the patterns around a place in it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.spans = [m.span() for m in _TOKEN.finditer(text)]
+        self.starts, self.ends = [a for a, _ in self.spans], [b for _, b in self.spans]
+
+    def patterns(self, a: int, b: int) -> list[int]:
+        """Hashes of the two words before [a, b), and of the words at either side; what is left of a word beside the place counts as one."""
+        k = bisect_left(self.starts, a)
+        left = [self.text[s : min(e, a)].strip(_EDGE).lower() for s, e in self.spans[max(0, k - 2) : k]]
+        k = bisect_right(self.ends, b)
+        right = self.text[max(self.starts[k], b) : self.ends[k]].strip(_EDGE).lower() if k < len(self.spans) else ""
+        out = []
+        if len(left) == 2 and all(left):
+            out.append(_hash("two", *left))
+        if left and left[-1] and right:
+            out.append(_hash("side", left[-1], right))
+        return out
 
 
-def patterns_at(text: str, a: int, b: int) -> list[int]:
-    left = _before(text, a)
-    right = text[b : b + 40].split()[:1]
-    out = []
-    if len(left) == 2 and all(left):
-        out.append(_hash("two", *left))
-    if left and left[-1] and right and right[0].strip(_EDGE):
-        out.append(_hash("side", left[-1], right[0].strip(_EDGE).lower()))
-    return out
+#: Groups of digits with one blank between them, as numbers are written.
+_GROUPS = re.compile(r"(?<![^\x20\x09-\x0D])\(?[0-9][0-9().-]*+(?:\x20\(?[0-9][0-9().-]*+)+(?![^\x20\x09-\x0D,;:!?\]\"'])")
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens outside the base spans: three digits or an @, five characters at least."""
+def candidates(words: Words, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Identifier-like tokens outside the base spans, in order: three digits or an @, five characters at least; groups of 7 to 15 digits in all are one."""
     taken = sorted((a, b) for _, a, b in base)
-    out, k = [], 0
-    for m in _TOKEN.finditer(text):
-        word = m[0]
-        core = word.strip(_EDGE)
-        if len(core) < 5 or "@" not in core and len(_DIGIT.findall(core)) < 3:
+    text, out, k, after = words.text, [], 0, 0
+    groups = []
+    for m in _GROUPS.finditer(text):
+        if 7 <= len(_DIGIT.findall(m[0])) <= 15:
+            groups.append((m.start(), m.start() + len(m[0].rstrip("(.-"))))
+    spots = [(a, b, False) for a, b in groups] + [(a, b, True) for a, b in words.spans]
+    for a, b, whole in sorted(spots):
+        if a < after:
             continue
-        a = m.start() + word.index(core)
-        b = a + len(core)
+        if whole:
+            word = text[a:b]
+            core = word.strip(_EDGE)
+            if len(core) < 5 or "@" not in core and len(_DIGIT.findall(core)) < 3:
+                continue
+            a += word.index(core)
+            b = a + len(core)
         while k < len(taken) and taken[k][1] <= a:
             k += 1
         if k == len(taken) or taken[k][0] >= b:
             out.append((a, b))
+            after = b
     return out
 
 
@@ -130,9 +154,10 @@ def _edges(batches):
             for i in np.flatnonzero(_marked(part)).tolist():
                 text = part.column("text")[i].as_py()
                 base = base_spans(text)
-                for kind, a, b in [*base, *((-1, a, b) for a, b in candidates(text, base))]:
+                words = Words(text)
+                for kind, a, b in [*base, *((-1, a, b) for a, b in candidates(words, base))]:
                     value = _hash("value", text[a:b])
-                    rows.update((p, value, kind) for p in patterns_at(text, a, b))
+                    rows.update((p, value, kind) for p in words.patterns(a, b))
             cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["pattern", "instance", "kind"])
 
@@ -166,8 +191,9 @@ def _accepted(parts: Parts, batch: pa.RecordBatch) -> dict[int, int]:
     for part in slices(batch, "text"):
         for i in np.flatnonzero(_marked(part)).tolist():
             text = part.column("text")[i].as_py()
-            for a, b in candidates(text, base_spans(text)):
-                own.update(patterns_at(text, a, b))
+            words = Words(text)
+            for a, b in candidates(words, base_spans(text)):
+                own.update(words.patterns(a, b))
     want = np.fromiter(own, np.int64, len(own))
     out: dict[int, int] = {}
     for rows in parts if own else ():
@@ -181,8 +207,9 @@ def all_spans(text: str, model: dict[int, int]) -> list[tuple[int, int, int, boo
     base = base_spans(text)
     out = [(k, a, b, True) for k, a, b in base]
     if model:
-        for a, b in candidates(text, base):
-            kinds = [model[p] for p in patterns_at(text, a, b) if p in model]
+        words = Words(text)
+        for a, b in candidates(words, base):
+            kinds = [model[p] for p in words.patterns(a, b) if p in model]
             if kinds:
                 out.append((min(kinds), a, b, False))
     return sorted(out)
