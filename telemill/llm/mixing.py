@@ -3,8 +3,8 @@
 Sources in order of code point, null last, weigh 1, 2, 3, repeating, unless
 weights are given, and share the sum of all sizes in words. A target stops at
 `max_repeats` times its source's size; what is over goes to the others by
-weight until none is above. Each source is laid out in order of the MD5 of its
-doc_id (then text size), again and again; the mix takes its first `target`
+weight until none is above. Each source is laid out in order of the MD5 of a
+document's doc_id and text, again and again; the mix takes its first `target`
 words, so a document is taken wholly, several times, or (one document a source)
 in part. Prefix sums run within (source, leading hex digits) cells and over the
 bounded table of cell totals, so no source is ever in one task.
@@ -14,8 +14,9 @@ time t in [0, 1], `early` at t = 0 to `late` at t = 1 (odd places in the order o
 sources start high, even ones low). Its integral, inverted at a copy's share of
 the source's target, is that copy's position; rows are range-sorted by position.
 
-Null texts have size 0 and are never taken. Empty tables give no rows. Rows that
-are alike in doc_id and size may swap their takes.
+Null texts have size 0 and are never taken. Empty tables give no rows. Rows alike in
+doc_id and text may swap their takes. The table of sources, a row each, is worked on
+in one task. Added columns replace those of the same name.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def plan(docs: DataFrame, max_repeats: int = 3, weights: list[int] | None = None
 
     Added columns replace those of the same name.
     """
-    d = docs.withColumn("size", word_count(F.col("text"))).withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    d = docs.withColumn("size", word_count(F.col("text"))).withColumn("_key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5("text"), F.lit("")))))
     d = d.withColumn("_cell", F.substring("_key", 1, DIGITS)).withColumn("_sk", _source_key()).drop("source_size", "source_rank", "target", "_cell_start")
     cells = d.groupBy("_sk", "_cell").agg(F.sum("size").alias("_cell_size"))
     per_source = cells.groupBy("_sk").agg(F.sum("_cell_size").alias("source_size"))
@@ -103,8 +104,9 @@ def plan(docs: DataFrame, max_repeats: int = 3, weights: list[int] | None = None
 
 def mix(docs: DataFrame, max_repeats: int = 3, weights: list[int] | None = None) -> DataFrame:
     """The mixed corpus: columns of docs, a row for each copy taken, range-sorted by `position`; a copy taken in part ends after its words."""
-    names = docs.columns
-    d = plan(docs, max_repeats, weights).filter(F.col("taken") > 0)
+    names = [c for c in docs.columns if c != "position"]
+    inner = {c: c if c in ("doc_id", "text", "source") else f"_own_{i}" for i, c in enumerate(names)}
+    d = plan(docs.select(*[F.col(c).alias(n) for c, n in inner.items()]), max_repeats, weights).filter(F.col("taken") > 0)
     whole = F.floor(F.col("taken") / F.col("size")).cast("int")
     part = F.col("taken") - whole * F.col("size")
     d = d.withColumn("_copy", F.explode(F.sequence(F.lit(0), whole + F.when(part > 0, 0).otherwise(-1))))
@@ -114,7 +116,7 @@ def mix(docs: DataFrame, max_repeats: int = 3, weights: list[int] | None = None)
     d = d.withColumn("text", F.when(F.col("_copy") < whole, F.col("text")).otherwise(cut))
     share = (F.col("_start") + F.col("_copy") * F.col("source_size") + words / 2) / F.col("target")
     d = d.withColumn("position", curriculum_time(share, F.col("source_rank") % 2 == 1))
-    return d.select(*names, "position").repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id")
+    return d.select(*[F.col(n).alias(c) for c, n in inner.items()], "position").repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
@@ -126,7 +128,7 @@ def op2_mixing(spark, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')) AS k
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS r
