@@ -3,13 +3,15 @@
 Base rule: too few words, or too many words inside repeated 8-word windows. The
 method: a line is normalised (A-Z lower-cased, white space squeezed, digits to
 0) and hashed; documents that hold it are counted by host (here: source); a line
-in more than `max_docs` documents of its host is removed, and a document that
-keeps less than `min_kept` of its words, or under `min_words`, is depleted and
-rejected.
-
-A row is one document. Null texts have no words. Hosts may be null. A host or
-line with a third of all rows meets only partial aggregates and a join whose
-other side has one row a (host, line).
+in more documents of its host than `max_share` of them, and than `max_docs`, is
+removed, and a document that keeps less than `min_kept` of its words, or fewer than
+the base rule asks for, is depleted and rejected.
+
+A row is one document; repeated rows are documents each. Null texts have no words.
+Hosts may be null. An empty table gives no rows. Ties: a line in just as many
+documents as the limit stays. A host or line with a third of all rows meets only
+partial aggregates and a join whose other side has one row a (host, line). The
+(host, line, document) rows are written once, as a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telemill.llm._text import Tables
+
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 MIN_WORDS, MAX_REPEAT = 20, 30
 WINDOW = 8
@@ -28,6 +32,16 @@ def words(text):
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]++", -1))
 
 
+def _lines():
+    """Lines of the text that have a word."""
+    return F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
+
+
+def _line_table():
+    """(hash, words) of each of `_lines`."""
+    return F.transform("_lines", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words(x)).alias("n")))
+
+
 def base_stats(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
@@ -38,7 +52,7 @@ def base_stats(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<bigint>")
     d = docs.withColumn("_w", words(F.col("text")))
     d = d.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
-    d = d.withColumn("_lines", F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0))
+    d = d.withColumn("_lines", _lines())
     long = F.size("_h") > WINDOW
     at = lambda i, k: F.get("_h", i + (k - 1))
     d = d.withColumn("_g", F.when(long, F.transform(F.sequence(F.lit(1), F.size("_h") - (WINDOW - 1)), lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW)]))).otherwise(none))
@@ -67,7 +81,7 @@ def normal_line(line):
     return F.btrim(F.regexp_replace(low, r"[\x20\x09-\x0D]++", " "))
 
 
-def assess(docs: DataFrame, host: str = "source", max_docs: int = 20, min_kept: float = 0.5) -> DataFrame:
+def assess(docs: DataFrame, host: str = "source", max_docs: int = 20, max_share: float = 0.002, min_kept: float = 0.5) -> DataFrame:
     """All columns of docs with the base statistics, n_removed_lines, n_kept_words, depleted, kept, and clean_text (null unless kept).
 
     Lines of under three words are never removed: they are labels and list
@@ -76,12 +90,16 @@ def assess(docs: DataFrame, host: str = "source", max_docs: int = 20, min_kept:
     d = docs.withColumn("_host", F.col(host))
     d = base_stats(d)
     # line table of a document: (hash, words) in order; _line_id identifies equal rows, which have equal verdicts
-    d = d.withColumn("_ln", F.transform("_lines", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words(x)).alias("n"))))
+    d = d.withColumn("_ln", _line_table())
     d = d.withColumn("_row", F.xxhash64("_host", "text")).drop("_lines")
-    held = d.select("_host", "_row", F.explode(F.array_distinct(F.transform(F.filter("_ln", lambda x: x["n"] >= 3), lambda x: x["h"]))).alias("_line"))
-    counts = held.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs"))
-    common = counts.filter(F.col("_docs") > max_docs).select(F.col("_host").alias("_ch"), F.col("_line").alias("_cl"))
-    bad = held.distinct().join(common, held["_host"].eqNullSafe(F.col("_ch")) & (held["_line"] == F.col("_cl")), "left_semi")
+    held = docs.withColumn("_host", F.col(host)).withColumn("_row", F.xxhash64("_host", "text"))
+    held = held.withColumn("_lines", _lines()).withColumn("_ln", _line_table())
+    held = held.select("_host", "_row", F.explode(F.array_distinct(F.transform(F.filter("_ln", lambda x: x["n"] >= 3), lambda x: x["h"]))).alias("_line"))
+    held = Tables(docs.sparkSession).keep(held.groupBy("_host", "_line", "_row").agg(F.count(F.lit(1)).alias("_n")))
+    counts = held.groupBy("_host", "_line").agg(F.sum("_n").alias("_docs"))
+    size = docs.groupBy(F.col(host).alias("_sh")).agg((F.count(F.lit(1)) * max_share).alias("_size"))
+    common = counts.filter(F.col("_docs") > max_docs).join(size, F.col("_host").eqNullSafe(F.col("_sh"))).filter("_docs > _size").select(F.col("_host").alias("_ch"), F.col("_line").alias("_cl"))
+    bad = held.join(common, held["_host"].eqNullSafe(F.col("_ch")) & (held["_line"] == F.col("_cl")), "left_semi")
     bad = bad.groupBy("_row").agg(F.collect_set("_line").alias("_bad")).withColumnRenamed("_row", "_br")
     d = d.join(bad, d["_row"] == bad["_br"], "left").drop("_br")
     keep = lambda x: ~F.coalesce(F.array_contains("_bad", x["h"]), F.lit(False))
@@ -118,7 +136,8 @@ l AS (
   SELECT rid, source, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS nl,
          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw
   FROM (SELECT rid, source, unnest(lines) AS line FROM d)),
-c AS (SELECT source, nl FROM l WHERE nw >= 3 GROUP BY source, nl HAVING count(DISTINCT rid) > 20),
+z AS (SELECT source, count(*) * 0.002 AS size FROM documents GROUP BY source),
+c AS (SELECT l.source, nl FROM l JOIN z ON l.source IS NOT DISTINCT FROM z.source WHERE nw >= 3 GROUP BY l.source, nl, z.size HAVING count(DISTINCT rid) > greatest(20, z.size)),
 k AS (
   SELECT l.rid, sum(CASE WHEN c.nl IS NULL THEN 0 ELSE 1 END)::BIGINT AS removed, sum(CASE WHEN c.nl IS NULL THEN nw ELSE 0 END)::BIGINT AS kept_words
   FROM l LEFT JOIN c ON l.source IS NOT DISTINCT FROM c.source AND l.nl = c.nl GROUP BY l.rid)
