@@ -1,6 +1,7 @@
 """The pipeline's stages on the smallest tables, each against what its decisions must show."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from telemill.llm import mixing, pii
@@ -58,3 +59,55 @@ def test_packing_holds_every_mixed_document(stages):
     taken = [r["doc_id"] for r in stages["mixing"].collect()]
     starts = [r["doc_id"] for r in stages["packing"].filter("start = 0").collect()]
     assert sorted(taken) == sorted(starts)
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_rows():
+    """Repeated and null ids on unrelated texts, null and empty texts, copies of a row, near copies."""
+    own = lambda i: " ".join(f"word{i}x{k}" for k in range(40))
+    rows = [(5, own(1), "en", "a", 1), (5, own(2), "en", "a", 1), (None, own(3), "en", "b", 1), (None, own(4), None, "b", 1)]
+    rows += [(6, own(5), "en", "a", 1)] * 3 + [(None, own(6), "en", "a", 1)] * 2
+    rows += [(5, own(7), "en", "a", 1), (2, own(7) + " tail", "en", "a", 1), (None, own(7), "en", "c", 1)]
+    return rows + [(7, None, "en", "a", None), (7, None, "en", "a", None), (8, "", None, None, 0), (None, " \n", "en", "a", 2)]
+
+
+def test_near_duplicates_go_by_row(spark):
+    docs = spark.createDataFrame(odd_rows(), COLUMNS).withColumns({"component_id": F.lit("mine"), "_label": F.lit("mine")})
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, None)
+    assert got.columns == COLUMNS.replace(" long", "").replace(" string", "").split(", ")
+    kept = sorted(map(tuple, got.collect()), key=str)
+    rows = odd_rows()
+    want = [rows[0], rows[1], rows[2], rows[3], rows[4], rows[7], rows[10], *rows[-4:]]  # of the related rows the one with doc_id 2
+    assert kept == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_tables(spark, empty):
+    """Every stage takes nulls, empty tables, repeated ids, very long texts and extra columns with the names that operators add."""
+    rows = [] if empty else [*odd_rows(), (9, "long " * 300_000, "en", "a", 1)]
+    added = ("toxicity", "toxic_rejected", "pii", "size", "position", "n_shingles", "cid", "start", "ids")
+    docs = spark.createDataFrame(rows, COLUMNS).withColumns({c: F.lit("mine") for c in added})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        got = out.collect()
+        if name != "packing":
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+        if empty:
+            assert got == []
+        elif name in ("toxicity", "pii"):
+            assert len(got) == len(rows)
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, tmp_path):
+    import os
+
+    from telemill.llm import _text
+
+    folder = _text.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0
+    mine = [f"{folder}/{x}" for x in set(os.listdir(folder)) - before if x.startswith("telemill-") and "5" in os.listdir(f"{folder}/{x}")]
+    assert any(sorted(y for y in os.listdir(x) if not y.startswith(".")) == ["5"] for x in mine)
