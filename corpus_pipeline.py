@@ -1,23 +1,26 @@
 """A corpus pipeline of five stages over `documents`; each is written as Parquet and read again as the next one's input.
 
 toxicity      documents that the classifier rejects go
-ngram_join    of each component of near duplicates, the smallest doc_id stays
+ngram_join    of each component of near duplicates one row stays
 pii           personal data in texts is replaced by [KIND]; n_chars follows
 mixing        documents are taken as often as their source's target asks, and range-sorted by curriculum position
 packing       whole texts become pieces of sequences of 2048 tokens
 
+Every stage decides by row: doc_ids may be null or repeat. Null and empty texts pass
+the first three stages; the mixture takes no words from them. Columns other than
+those of `documents` are left out. Empty tables give empty tables. Of rows alike in
+all columns one stays in ngram_join.
+
 ORACLE_SQL is None: SQL can express neither the classifier nor the tokenizer.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemill.llm import mixing, packing, pii, setjoin, toxicity
-from telemill.llm._text import shared_folder
+from telemill.llm._text import Tables
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,14 +36,23 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a doc_id or without words stay; rows that share a doc_id with their component's keep one copy."""
+    """One row of each component stays: the one with the smallest doc_id (nulls last), then the smallest digest of its columns. Rows without words stay.
+
+    The digest names a row; rows that share one are alike, and one of them stays.
+    """
     docs = docs.select(*_columns(docs))
-    groups = setjoin.cluster(docs)
-    losers = groups.filter("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
-    same = Window.partitionBy("doc_id").orderBy(F.md5("text"), "source", "lang")
-    kept = kept.withColumn("_n", F.when(F.col("doc_id").isNull() | (F.coalesce(F.length("text"), F.lit(0)) == 0), 1).otherwise(F.row_number().over(same)))
-    return kept.filter("_n = 1").drop("_n")
+    values = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in docs.columns]
+    docs = docs.withColumn("_row", F.md5(F.concat(*values)))
+    groups = setjoin.cluster(docs, keep=("doc_id", "_row"), label="_label")
+    rows = Tables(spark).keep(groups.filter("n_shingles > 0").groupBy("_label", "doc_id", "_row").agg(F.count(F.lit(1)).alias("alike")))
+    best = rows.groupBy("_label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("best"))
+    losers = rows.join(best, "_label").filter(F.col("_row") != F.col("best._row")).select("_row")
+    kept = docs.join(losers, "_row", "left_anti")
+    alike = rows.filter("alike > 1").select("_row")
+    if alike.isEmpty():
+        return kept.drop("_row")
+    first = kept.join(alike, "_row", "left_semi").groupBy("_row").agg(*[F.first(c).alias(c) for c in docs.columns if c != "_row"])
+    return kept.join(alike, "_row", "left_anti").unionByName(first).drop("_row")
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,10 +83,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is a table in the shared folder."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """Applies the stages to documents; each result is a table in the shared folder, removed when the next one stands."""
+    tables, before = Tables(spark), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    for _, stage in STAGES:
+        docs = tables.keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            tables.drop(before)
+        before = docs
     return docs
