@@ -1,33 +1,39 @@
-"""Reading response events (schemaless JSON) as variants."""
+"""Reading response events (schemaless JSON) as variants.
+
+An event is opened once into a struct of the fields that matter; the expressions
+below read that struct and look nothing up again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_TOP = ("response", "thinking", "message", "choices", "done", "error", "usage", "object", "prompt_eval_count", "eval_count", "prompt_eval_duration", "eval_duration", "load_duration")
+_MESSAGE = ("content", "thinking", "reasoning", "reasoning_content", "tool_calls")
+
 
-def _get(v, path: str, kind: str = "string") -> Column:
-    return F.try_variant_get(v, path, kind)
+def fields(v, names: tuple[str, ...]) -> Column:
+    """A struct of the named fields as variants; null unless v is an object."""
+    return F.try_variant_get(v, "$", "struct<" + ", ".join(f"{n}: variant" for n in names) + ">")
 
 
-def _kind(v, path: str) -> Column:
-    """Type name of a field ('' if absent)."""
-    return F.coalesce(F.schema_of_variant(_get(v, path, "variant")), F.lit(""))
+def is_object(v) -> Column:
+    return F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("OBJECT")
 
 
-def has_key(v, path: str) -> Column:
-    """Whether the key is there; a JSON null counts."""
-    return _get(v, path, "variant").isNotNull()
+def as_text(v) -> Column:
+    return F.try_variant_get(v, "$", "string")
 
 
-def is_object(v, path: str | None = None) -> Column:
-    return (_kind(v, path) if path else F.coalesce(F.schema_of_variant(v), F.lit(""))).startswith("OBJECT")
+def truthy(v) -> Column:
+    """Neither absent, null, false, a zero, '' nor an empty list or object; the text "0" is something."""
+    text = F.coalesce(F.to_json(v), F.lit("null"))
+    return ~text.isin('""', "false", "0", "0.0", "-0.0", "{}", "[]", "null") & ~text.rlike(r"\A-?0+(?:\.0*)?(?:[eE].*)?\z")
 
 
-def truthy(v, path: str) -> Column:
-    """Neither absent, null, false, 0, '' nor an empty list or object."""
-    text = F.coalesce(_get(v, path), F.lit(""))
-    return ~text.isin("", "false", "0", "0.0", "-0.0", "{}", "[]", "null")
+def first_truthy(*vs) -> Column:
+    return F.coalesce(*[F.when(truthy(v), as_text(v)) for v in vs])
 
 
 def parsed(line) -> Column:
@@ -37,46 +43,52 @@ def parsed(line) -> Column:
     return F.when(is_object(v), v)
 
 
-def first_truthy(v, *paths: str) -> Column:
-    return F.coalesce(*[F.when(truthy(v, p), _get(v, p)) for p in paths])
+def opened(df, event: str = "event"):
+    """df with `x`: the event's fields `e`, its message `m`, its first choice `c` and that one's delta `d` and message `n`."""
+    df = df.withColumn("_e", fields(F.col(event), _TOP))
+    df = df.withColumn("_m", fields(F.col("_e.message"), _MESSAGE)).withColumn("_c", fields(F.try_variant_get("_e.choices", "$[0]", "variant"), ("delta", "message", "text")))
+    df = df.withColumn("_d", fields(F.col("_c.delta"), _MESSAGE)).withColumn("_n", fields(F.col("_c.message"), _MESSAGE))
+    return df.withColumn("x", F.struct(F.col("_e").alias("e"), F.col("_m").alias("m"), F.col("_c").alias("c"), F.col("_d").alias("d"), F.col("_n").alias("n"))).drop("_e", "_m", "_c", "_d", "_n")
 
 
-def event_text(v) -> Column:
+def event_text(x) -> Column:
     """Text that an event adds; the first shape that applies decides, even with ''."""
+    e, m, c, d, n = (x[k] for k in "emcdn")
     blank = F.lit("")
-    choice = F.when(truthy(v, "$.choices[0].delta"), "delta").otherwise("message")
-    chosen = lambda part: F.coalesce(first_truthy(v, f"$.choices[0].{part}.content", f"$.choices[0].{part}.reasoning"), blank)
-    from_choice = (
-        F.when(truthy(v, "$.choices[0].text"), _get(v, "$.choices[0].text"))
-        .when((choice == "delta") & is_object(v, "$.choices[0].delta"), chosen("delta"))
-        .when((choice == "message") & is_object(v, "$.choices[0].message"), chosen("message"))
-    )
-    rest = F.when(is_object(v, "$.message"), F.coalesce(first_truthy(v, "$.message.content", "$.message.thinking"), blank)).otherwise(F.coalesce(first_truthy(v, "$.response", "$.thinking"), blank))
-    return F.coalesce(F.when(is_object(v, "$.choices[0]"), from_choice), rest)
+    said = lambda s: F.when(s.isNotNull(), F.coalesce(first_truthy(s["content"], s["reasoning"]), blank))
+    from_choice = F.when(truthy(c["text"]), as_text(c["text"])).when(truthy(c["delta"]), said(d)).otherwise(said(n))
+    rest = F.when(m.isNotNull(), F.coalesce(first_truthy(m["content"], m["thinking"]), blank)).otherwise(F.coalesce(first_truthy(e["response"], e["thinking"]), blank))
+    return F.coalesce(F.when(c.isNotNull(), from_choice), rest)
 
 
-def shown_content(v) -> Column:
+def shown_content(x) -> Column:
     """Content as the detail page shows it; message, delta, choice message in that order."""
-    return F.coalesce(_pick(v, ("content",)), first_truthy(v, "$.response", "$.choices[0].text"), F.lit(""))
+    return F.coalesce(_pick(x, ("content",)), first_truthy(x["e"]["response"], x["c"]["text"]), F.lit(""))
 
 
-def shown_thinking(v) -> Column:
-    return F.coalesce(_pick(v, ("thinking", "reasoning", "reasoning_content")), first_truthy(v, "$.thinking"), F.lit(""))
+def shown_thinking(x) -> Column:
+    return F.coalesce(_pick(x, ("thinking", "reasoning", "reasoning_content")), first_truthy(x["e"]["thinking"]), F.lit(""))
 
 
-def _pick(v, fields) -> Column:
-    homes = ("$.message", "$.choices[0].delta", "$.choices[0].message")
+def _pick(x, names) -> Column:
+    """From the first of the event's messages that is there."""
+    homes = ((x["e"]["message"], x["m"]), (x["c"]["delta"], x["d"]), (x["c"]["message"], x["n"]))
     out = F.lit(None).cast("string")
-    for home in reversed(homes):
-        there = is_object(v, home) | truthy(v, home)
-        out = F.when(there, first_truthy(v, *[f"{home}.{f}" for f in fields])).otherwise(out)
+    for raw, own in reversed(homes):
+        out = F.when(own.isNotNull() | truthy(raw), first_truthy(*[own[f] for f in names])).otherwise(out)
     return out
 
 
-def calls_tools(v) -> Column:
+def calls_tools(x) -> Column:
     """Whether the event's message, or any choice's delta or message, has tool calls."""
-    choices = F.coalesce(F.try_variant_get(v, "$.choices", "array<variant>"), F.array().cast("array<variant>"))
-    return truthy(v, "$.message.tool_calls") | F.exists(choices, lambda c: truthy(c, "$.delta.tool_calls") | truthy(c, "$.message.tool_calls"))
+    choices = F.coalesce(F.try_variant_get(x["e"]["choices"], "$", "array<variant>"), F.array().cast("array<variant>"))
+    in_choice = lambda c: truthy(F.try_variant_get(c, "$.delta.tool_calls", "variant")) | truthy(F.try_variant_get(c, "$.message.tool_calls", "variant"))
+    return truthy(x["m"]["tool_calls"]) | F.exists(choices, in_choice)
+
+
+def error_text(x) -> Column:
+    """The event's error message, if it has one."""
+    return F.when(truthy(x["e"]["error"]), as_text(x["e"]["error"]))
 
 
 #: Fields of a measurement: column, key.
@@ -89,11 +101,13 @@ FIELDS = (
 )
 
 
-def final_measurement(v) -> Column:
-    """struct(FIELDS, has_prompt_ns, has_eval_ns, has_load_ns, empty), or null if the event measures nothing."""
+def final_measurement(x) -> Column:
+    """struct(FIELDS, has_prompt_ns, has_eval_ns, has_load_ns, empty), or null if the event measures nothing. A key with a JSON null is there."""
+    e = x["e"]
+    number = lambda v: F.try_variant_get(v, "$", "bigint")
     own = F.struct(
-        *[_get(v, f"$.{key}", "bigint").alias(name) for name, key in FIELDS],
-        *[has_key(v, f"$.{key}").alias(f"has_{name}") for name, key in FIELDS[2:]],
+        *[number(e[key]).alias(name) for name, key in FIELDS],
+        *[e[key].isNotNull().alias(f"has_{name}") for name, key in FIELDS[2:]],
         F.lit(False).alias("empty"),
     )
     none, no = F.lit(None).cast("bigint"), F.lit(False)
@@ -101,8 +115,9 @@ def final_measurement(v) -> Column:
     def bare(prompt, generated, empty):
         return F.struct(prompt.alias("prompt_tokens"), generated.alias("generated_tokens"), none.alias("prompt_ns"), none.alias("eval_ns"), none.alias("load_ns"), no.alias("has_prompt_ns"), no.alias("has_eval_ns"), no.alias("has_load_ns"), empty.alias("empty"))
 
+    usage = fields(e["usage"], ("prompt_tokens", "completion_tokens"))
     return (
-        F.when(truthy(v, "$.done") | has_key(v, "$.prompt_eval_count"), own)
-        .when(is_object(v, "$.usage"), bare(_get(v, "$.usage.prompt_tokens", "bigint"), _get(v, "$.usage.completion_tokens", "bigint"), F.lit(False)))
-        .when(_get(v, "$.object") == "chat.completion", bare(none, none, F.lit(True)))
+        F.when(truthy(e["done"]) | e["prompt_eval_count"].isNotNull(), own)
+        .when(usage.isNotNull(), bare(number(usage["prompt_tokens"]), number(usage["completion_tokens"]), F.lit(False)))
+        .when(as_text(e["object"]) == "chat.completion", bare(none, none, F.lit(True)))
     )

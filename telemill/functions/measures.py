@@ -36,11 +36,6 @@ def bucket_counts(value) -> Column:
     return F.array(*[F.count_if(value <= b) for b in BUCKETS])
 
 
-def percentile(value, percent: float) -> Column:
-    """Exact, interpolated at (n - 1) * percent / 100."""
-    return F.percentile(value, F.lit(percent / 100))
-
-
 def generation_rates(prompt_tokens, prompt_s, output_tokens, decode_s, wall_s, ttft) -> dict[str, Column]:
     """The four rates of one generation."""
     return {
@@ -51,6 +46,15 @@ def generation_rates(prompt_tokens, prompt_s, output_tokens, decode_s, wall_s, t
     }
 
 
+#: What a value in a panel's unit is divided by.
+UNITS = {"": 1.0, "percent": 0.01, "kib": 1024.0, "mib": 1024.0**2, "gib": 1024.0**3, "ms": 0.001}
+
+
+def scaled(value, unit: str) -> Column:
+    """A value in a panel's unit; an unknown unit is an error."""
+    return value / F.lit(UNITS[unit])
+
+
 def offload_percent(vram, size) -> Column:
     return vram / F.nullif(size, F.lit(0)) * 100
 

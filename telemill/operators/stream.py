@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.functions.events import calls_tools, event_text, final_measurement, is_object, parsed, shown_content, shown_thinking, truthy
+from telemill.functions.events import as_text, calls_tools, error_text, event_text, final_measurement, is_object, opened, parsed, shown_content, shown_thinking, truthy
 
 
 def events(lines: DataFrame) -> DataFrame:
@@ -16,32 +16,43 @@ def events(lines: DataFrame) -> DataFrame:
 
 def texts(lines: DataFrame) -> DataFrame:
     """(id, seq, text, content, thinking) of each event."""
-    e = events(lines).filter("event is not null")
-    return e.select("id", "seq", event_text(F.col("event")).alias("text"), shown_content(F.col("event")).alias("content"), shown_thinking(F.col("event")).alias("thinking"))
+    e = opened(events(lines).filter("event is not null"))
+    x = F.col("x")
+    return e.select("id", "seq", event_text(x).alias("text"), shown_content(x).alias("content"), shown_thinking(x).alias("thinking"))
 
 
 def folded(lines: DataFrame) -> DataFrame:
-    """(id, text, content, thinking, events, first_seq, complete, error, measurement): last measurement and last non-empty error win."""
-    v = F.col("event")
-    e = events(lines).select(
+    """(id, text, content, thinking, events, first_seq, first_at, complete, error, measurement): last measurement and last non-empty error win.
+
+    Lines are dealt by id before they are parsed, so that parsing is spread and the
+    fold needs no further exchange. first_at is the time of the first text, if
+    lines have `at`.
+    """
+    x = F.col("x")
+    at = F.col("at") if "at" in lines.columns else F.lit(None).cast("double")
+    known = F.col("event").isNotNull()
+    e = opened(events(lines.withColumn("at", at).repartition("id")))
+    e = e.select(
         "id",
         "seq",
+        "at",
         "is_done_mark",
-        v.isNotNull().alias("known"),
-        F.coalesce(event_text(v), F.lit("")).alias("text"),
-        F.coalesce(shown_content(v), F.lit("")).alias("content"),
-        F.coalesce(shown_thinking(v), F.lit("")).alias("thinking"),
-        final_measurement(v).alias("m"),
-        F.when(truthy(v, "$.error"), F.try_variant_get(v, "$.error", "string")).alias("err"),
-        F.coalesce(truthy(v, "$.done"), F.lit(False)).alias("done"),
+        known.alias("known"),
+        F.when(known, event_text(x)).alias("text"),
+        F.when(known, shown_content(x)).alias("content"),
+        F.when(known, shown_thinking(x)).alias("thinking"),
+        final_measurement(x).alias("m"),
+        error_text(x).alias("err"),
+        truthy(x["e"]["done"]).alias("done"),
     )
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("known") & (F.col(c) != ""), F.struct("seq", F.col(c).alias("t"))))), lambda x: x["t"]), "")
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct("seq", F.col(c).alias("t"))))), lambda r: r["t"]), "")
     return e.groupBy("id").agg(
         joined("text").alias("text"),
         joined("content").alias("content"),
         joined("thinking").alias("thinking"),
         F.count_if("known").alias("events"),
-        F.min(F.when(F.col("known") & (F.col("text") != ""), F.col("seq"))).alias("first_seq"),
+        F.min(F.when(F.col("text") != "", F.col("seq"))).alias("first_seq"),
+        F.min_by("at", F.when(F.col("text") != "", F.col("seq"))).alias("first_at"),
         F.bool_or(F.col("is_done_mark") | F.col("done")).alias("complete"),
         F.max_by("err", F.when(F.col("err").isNotNull(), F.col("seq"))).alias("error"),
         F.max_by("m", F.when(F.col("m").isNotNull(), F.col("seq"))).alias("measurement"),
@@ -49,14 +60,16 @@ def folded(lines: DataFrame) -> DataFrame:
 
 
 def with_body_measurement(fold: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The measurement of a whole (perhaps pretty-printed) body replaces the lines' one, unless it was truncated or measures nothing."""
-    v = F.try_parse_json("response")
-    whole = bodies.select("id", F.when(~F.coalesce("truncated", F.lit(False)) & is_object(v), final_measurement(v)).alias("_m"))
-    return fold.join(whole, "id", "left").withColumn("measurement", F.when(F.col("_m").isNotNull() & ~F.col("_m.empty"), F.col("_m")).otherwise(F.col("measurement"))).drop("_m")
+    """What a whole (perhaps pretty-printed) body says, unless it was truncated: its measurement replaces the lines' one if it measures something, its error the lines' one."""
+    known = bodies.withColumn("_v", parsed(F.col("response")))
+    whole = opened(known.filter(~F.coalesce("truncated", F.lit(False)) & F.col("_v").isNotNull()), "_v").select("id", final_measurement(F.col("x")).alias("_m"), error_text(F.col("x")).alias("_err"))
+    out = fold.join(whole, "id", "left")
+    measured = F.when(F.col("_m").isNotNull() & ~F.col("_m.empty"), F.col("_m")).otherwise(F.col("measurement"))
+    return out.withColumns({"measurement": measured, "error": F.coalesce("_err", "error")}).drop("_m", "_err")
 
 
 def tool_events(lines: DataFrame) -> DataFrame:
-    return events(lines).filter(F.col("event").isNotNull() & calls_tools(F.col("event"))).select("id", "seq", "line")
+    return opened(events(lines).filter(F.col("event").isNotNull())).filter(calls_tools(F.col("x"))).select("id", "seq", "line")
 
 
 def captured(lines: DataFrame, limit: int) -> DataFrame:
@@ -77,9 +90,10 @@ def request_blocks(requests: DataFrame) -> DataFrame:
     """(id, position, label, body): system, messages, prompt and input of request JSON; what is no object is one `raw` block."""
     v = F.try_parse_json("request")
     known = is_object(v)
-    text = lambda path: F.try_variant_get(v, path, "string")
+    part = lambda path: F.try_variant_get(v, path, "variant")
+    text = lambda path: as_text(part(path))
     messages = F.transform(F.coalesce(F.try_variant_get(v, "$.messages", "array<variant>"), F.array().cast("array<variant>")), lambda m: F.struct(F.coalesce(F.nullif(F.try_variant_get(m, "$.role", "string"), F.lit("")), F.lit("Message")).alias("label"), F.to_json(m).alias("body")))
     one = lambda cond, label, body: F.when(cond, F.array(F.struct(F.lit(label).alias("label"), body.alias("body")))).otherwise(F.array().cast("array<struct<label: string, body: string>>"))
-    own = F.concat(one(truthy(v, "$.system"), "System", text("$.system")), messages, one(text("$.prompt").isNotNull(), "Prompt / input", text("$.prompt")), one(text("$.input").isNotNull(), "Input", text("$.input")))
+    own = F.concat(one(truthy(part("$.system")), "System", text("$.system")), messages, one(text("$.prompt").isNotNull(), "Prompt / input", text("$.prompt")), one(text("$.input").isNotNull(), "Input", text("$.input")))
     blocks = F.when(known, own).otherwise(one(F.lit(True), "raw", F.col("request")))
     return requests.select("id", F.posexplode(blocks).alias("position", "b")).select("id", "position", "b.label", "b.body")
