@@ -8,24 +8,50 @@ from pyspark.sql import functions as F
 from telemill.functions.text import json_equal, normalized_answer, numeric_answer, stripped
 
 
-def distribution(value: str) -> list[Column]:
-    """count, min, mean, median, p95, max, sample deviation and variation of the non-null values; nothing but the count if there are none."""
-    v = F.col(value)
-    sd, mean = F.stddev_samp(v), F.avg(v)
-    return [
-        F.count(v).alias("count"),
-        F.min(v).alias("min"),
-        mean.alias("mean"),
-        F.median(v).alias("median"),
-        F.percentile(v, F.lit(0.95)).alias("p95"),
-        F.max(v).alias("max"),
-        sd.alias("standard_deviation"),
-        (sd / F.nullif(mean, F.lit(0.0)) * 100).alias("coefficient_of_variation_percent"),
-    ]
+#: Half the width, in ranks, of the bracket in which an exact percentile is looked for; the sketch that gives it errs by a tenth of this.
+BRACKET, ACCURACY = 0.001, 10_000
+
+
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """(by, a column a share): exact percentiles, interpolated at (n - 1) * share, of the non-null values.
+
+    A mergeable sketch brackets each; only the values in a bracket, counted by value,
+    are put in order, so no task holds the distinct values of a group.
+    """
+    names, qs = list(shares), list(shares.values())
+    v = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    edges = [min(1.0, max(0.0, q + d)) for q in qs for d in (-BRACKET, BRACKET)]
+    sketch = v.groupBy(*by).agg(F.percentile_approx("_v", edges, ACCURACY).alias("_e"), F.count(F.lit(1)).alias("_n"))
+    same = F.lit(True)
+    for b in by:
+        same &= F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}"))
+    j = v.alias("l").join(sketch.alias("r"), same).select(*[F.col(f"l.{b}").alias(b) for b in by], "_v", "_e", "_n")
+    edge = lambda i, end: F.when(F.col("_n") * BRACKET < 4, float(end)).otherwise(F.col("_e")[i])  # noqa: E731  few values: all of them
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("_q"), edge(2 * i, "-inf").alias("_lo"), edge(2 * i + 1, "inf").alias("_hi")) for i in range(len(qs))]))
+    near = j.select(*by, "_v", "_n", each).filter("_v <= _hi")
+    counted = near.groupBy(*by, "_q", "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))  # what lies below the bracket is one row
+    upto = Window.partitionBy(*by, "_q").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumn("_upto", F.sum("_c").over(upto))
+    share = F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("_q") + 1)
+    counted = counted.withColumn("_at", (F.col("_n") - 1) * share)
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_v")))
+    got = counted.groupBy(*by, "_q").agg(at(F.floor("_at")).alias("_a"), at(F.ceil("_at")).alias("_b"), F.max(F.col("_at") - F.floor("_at")).alias("_f"))
+    exact = got.withColumn("_x", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
+    return exact.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == i, F.col("_x"))).alias(n) for i, n in enumerate(names)])
 
 
 def summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(*distribution(value))
+    """count, min, mean, median, p95, max, sample deviation and variation of the non-null values; nothing but the count if there are none."""
+    v = F.col(value)
+    sd, mean = F.stddev_samp(v), F.avg(v)
+    plain = rows.groupBy(*by).agg(
+        F.count(v).alias("count"), F.min(v).alias("min"), mean.alias("mean"), F.max(v).alias("max"), sd.alias("standard_deviation"), (sd / F.nullif(mean, F.lit(0.0)) * 100).alias("coefficient_of_variation_percent")
+    )
+    exact = percentiles(rows, value, {"median": 0.5, "p95": 0.95}, *by)
+    same = F.lit(True)
+    for b in by:
+        same &= F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}"))
+    return plain.alias("l").join(exact.alias("r"), same, "left").select(*[F.col(f"l.{b}").alias(b) for b in by], "count", "min", "mean", "median", "p95", "max", "standard_deviation", "coefficient_of_variation_percent")
 
 
 def generation_summary(rows: DataFrame, *by: str) -> DataFrame:
@@ -42,13 +68,15 @@ def generation_summary(rows: DataFrame, *by: str) -> DataFrame:
 
 def drift(rows: DataFrame, speed: str, order: str, *by: str) -> DataFrame:
     """Percent change of mean speed from the first half (at least one) to the rest, in order, without nulls; one value: 0, none: null."""
-    groups = rows.select(*by).distinct()
-    w = Window.partitionBy(*by)
-    r = rows.filter(F.col(speed).isNotNull()).withColumns({"_i": F.row_number().over(w.orderBy(order)), "_n": F.count(F.lit(1)).over(w)})
-    head = F.col("_i") <= F.greatest(F.floor(F.col("_n") / 2), F.lit(1))
+    from telemill.sources.tables import running
+
+    groups = rows.groupBy(*by).agg(F.count(speed).alias("_n"))
+    r = running(rows.filter(F.col(speed).isNotNull()).withColumn("_one", F.lit(1)), "_one", by, (order,), F.floor(F.col(order) / 65536))
+    r = r.join(groups, list(by)) if by else r.crossJoin(groups)  # one row
+    head = F.col("running") <= F.greatest(F.floor(F.col("_n") / 2), F.lit(1))
     a, b = F.avg(F.when(head, F.col(speed))), F.avg(F.when(~head, F.col(speed)))
     g = r.groupBy(*by).agg(((F.coalesce(b, a) - a) / F.nullif(a, F.lit(0.0)) * 100).alias("drift_percent"))
-    return groups.join(g, list(by), "left")
+    return groups.drop("_n").join(g, list(by), "left") if by else g
 
 
 def energy(rows: DataFrame, power: str, at: str, *by: str) -> DataFrame:
@@ -91,32 +119,73 @@ def context_cases(cases: DataFrame, context_length: int) -> DataFrame:
     return c.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("seq", "target", "position", "code")
 
 
+#: Words that fill an archive, and the record hidden in it.
+FILLER = ("river", "lantern", "meadow", "copper")
+RECORD = ("REMARK", "HERE:", "the", "entry", "code", "is")
+ASKED = "The archive that follows holds a single entry code. Read all of it and answer with that code.\n\n", "\n\nWhich entry code does the archive hold? Answer with the code alone."
+
+
 def context_prompt(words: Column, position: Column, code: Column) -> Column:
     """A prompt of filler words with a record inserted at a share of them."""
-    filler = F.array(*[F.lit(w) for w in ("ledger", "archive", "neutral", "record")])
-    need = F.greatest(words - 60, F.lit(1))
-    body = F.flatten(F.array_repeat(filler, F.ceil(need / 4).cast("int")))
+    filler = F.array(*[F.lit(w) for w in FILLER])
+    body = F.flatten(F.array_repeat(filler, F.ceil(F.greatest(words - 60, F.lit(1)) / len(FILLER)).cast("int")))
     at = F.floor(F.size(body) * position).cast("int")
-    needle = F.concat(F.array(*[F.lit(w) for w in ("IMPORTANT", "RECORD:", "the", "authorization", "code", "is")]), F.array(code))
-    whole = F.concat(F.slice(body, F.lit(1), at), needle, F.slice(body, at + 1, F.size(body)))
-    head = "Read the archive below. One record contains an authorization code. After the archive, return that code only.\n\n"
-    return F.concat(F.lit(head), F.array_join(whole, " "), F.lit("\n\nWhat is the authorization code? Reply with the code only."))
-
-
-def rounded(value, digits: int = 3):
-    """Driver-side rounding of a report, through lists and dicts; for the report sink alone."""
-    if isinstance(value, float):
-        return round(value, digits)
-    if isinstance(value, dict):
-        return {k: rounded(v, digits) for k, v in value.items()}
-    return [rounded(v, digits) for v in value] if isinstance(value, list | tuple) else value
-
-
-def report(sections: dict[str, DataFrame]) -> dict:
-    """A report document of small summary frames, rounded."""
-    return rounded({name: [r.asDict(recursive=True) for r in df.collect()] for name, df in sections.items()})
-
-
-def headline(summary_row: DataFrame, unload_confirmed: bool, cold: tuple[str, ...]) -> DataFrame:
-    """The picked numbers, those of a cold start null unless the model was truly unloaded."""
-    return summary_row.select(*[(F.col(c) if unload_confirmed or c not in cold else F.lit(None).cast(summary_row.schema[c].dataType)).alias(c) for c in summary_row.columns])
+    record = F.concat(F.array(*[F.lit(w) for w in RECORD]), F.array(code))
+    whole = F.concat(F.slice(body, F.lit(1), at), record, F.slice(body, at + 1, F.size(body)))
+    return F.concat(F.lit(ASKED[0]), F.array_join(whole, " "), F.lit(ASKED[1]))
+
+
+def distributions(rows: DataFrame, fields: tuple[str, ...], *by: str) -> DataFrame:
+    """(by, field, distribution...) of several fields together."""
+    each = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("_v")) for f in fields]))
+    return summary(rows.select(*by, each), "_v", *by, "field")
+
+
+def measured_cases(cases: DataFrame, answers: DataFrame) -> DataFrame:
+    """Cases joined to what was measured (case_id, actual) and scored; a case without an answer has failed."""
+    scored = score(cases.join(answers, "case_id", "left"))
+    return scored.withColumn("passed", F.coalesce("passed", F.lit(False)))
+
+
+def rounded(df: DataFrame, digits: int = 3) -> DataFrame:
+    """All doubles of a frame rounded; what is no number stays."""
+    return df.withColumns({f.name: F.round(f.name, digits) for f in df.schema if f.dataType.simpleString() in ("double", "float")})
+
+
+def report(sections: dict[str, DataFrame]) -> DataFrame:
+    """(document): a JSON report of summary frames, rounded; each section's rows are those of a summary, a row a group."""
+    out = None
+    for name, df in sections.items():
+        rows = rounded(df).agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))
+        out = rows if out is None else out.crossJoin(rows)  # one-row frames
+    return out.select(F.to_json(F.struct(*sections), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def headline(warm: DataFrame, sustained: DataFrame, cold: DataFrame, deployment: DataFrame, accuracy: DataFrame | None = None, context: DataFrame | None = None, concurrent: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """The twelve numbers of a report in a row, from one-row frames: null where a section is missing, and for a cold start unless the model was truly unloaded.
+
+    warm and the second of concurrent: distributions; sustained: a generation summary
+    with drift_percent; cold: load_seconds, wall_seconds, model_was_confirmed_unloaded.
+    """
+    confirmed = F.col("model_was_confirmed_unloaded")
+    number = lambda df, value, name: df.agg(F.first(value).cast("double").alias(name))
+    of = lambda df, field, value, name: df.agg(F.max(F.when(F.col("field") == field, F.col(value))).alias(name))
+    none = lambda name: warm.sparkSession.range(1).select(F.lit(None).cast("double").alias(name))
+    parts = [
+        number(accuracy, "accuracy_percent", "functional_accuracy_percent") if accuracy is not None else none("functional_accuracy_percent"),
+        number(context, "accuracy_percent", "context_retrieval_accuracy_percent") if context is not None else none("context_retrieval_accuracy_percent"),
+        number(cold, F.when(confirmed, F.col("load_seconds")), "cold_model_load_seconds"),
+        number(cold, F.when(confirmed, F.col("wall_seconds")), "cold_request_wall_seconds"),
+        of(warm, "ttft", "median", "warm_time_to_first_token_median_seconds"),
+        of(warm, "decode_tokens_per_second", "median", "warm_decode_tokens_per_second_median"),
+        of(warm, "decode_tokens_per_second", "p95", "warm_decode_tokens_per_second_p95"),
+        number(sustained, "aggregate_output_tokens_per_second", "sustained_aggregate_tokens_per_second"),
+        number(sustained, "drift_percent", "sustained_decode_speed_drift_percent"),
+        number(concurrent[0], "aggregate_output_tokens_per_second", "concurrent_aggregate_tokens_per_second") if concurrent else none("concurrent_aggregate_tokens_per_second"),
+        of(concurrent[1], "wall_seconds", "p95", "concurrent_latency_p95_seconds") if concurrent else none("concurrent_latency_p95_seconds"),
+        deployment.agg(F.first("full_gpu_offload").alias("full_gpu_offload")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # one-row frames
+    return out

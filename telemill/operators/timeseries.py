@@ -4,6 +4,10 @@ A window at `at` is (at - length, at]. A rate adds the positive steps of a serie
 a fall being a reset that counts with its new value, over the window's length; a
 series with fewer than two samples has none. Grids take the latest sample not
 older than the lookback.
+
+What a sample needs of its neighbours in the series is found within a day, and the
+last or first sample of the nearest other day is joined to the day's edge, so a long
+series is many tasks.
 """
 
 from __future__ import annotations
@@ -26,26 +30,38 @@ def within(samples: DataFrame, at: str, secs: int) -> DataFrame:
     return samples.filter((F.col("ts") > t - F.make_dt_interval(secs=F.lit(secs))) & (F.col("ts") <= t))
 
 
+def beside(samples: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...], later: bool = False) -> DataFrame:
+    """samples with `_near`: a struct of the columns of the sample before (or after) in the series, null if there is none."""
+    d = samples.withColumn("_day", F.to_date("ts"))
+    own = F.struct(*columns)
+    edge = (F.min_by if later else F.max_by)(own, F.col("ts"))
+    days = d.groupBy(*keys, "_day").agg(edge.alias("_edge"))
+    series = Window.partitionBy(*keys).orderBy(F.desc("_day") if later else F.asc("_day"))
+    days = days.withColumn("_edge", F.lag("_edge").over(series))
+    inside = Window.partitionBy(*keys, "_day").orderBy(F.desc("ts") if later else F.asc("ts"))
+    near = F.lag(own).over(inside)
+    return d.join(days, [*keys, "_day"]).withColumn("_near", F.coalesce(near, "_edge")).drop("_day", "_edge")
+
+
+def _step() -> Column:
+    """What a counter grew by since the sample before; a fall is a reset."""
+    return F.when(F.col("value") < F.col("_near.value"), F.col("value")).otherwise(F.col("value") - F.col("_near.value"))
+
+
 def instant(samples: DataFrame, at: str, keys: tuple[str, ...], lookback: int = LOOKBACK) -> DataFrame:
     """Latest value a series."""
     return within(samples, at, lookback).groupBy(*keys).agg(F.max_by("value", "ts").alias("value"))
 
 
 def rate(samples: DataFrame, at: str, secs: int, keys: tuple[str, ...]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("ts")
-    prev = F.lag("value").over(w)
-    step = F.when(F.col("value") < prev, F.col("value")).otherwise(F.col("value") - prev)
-    s = within(samples, at, secs).withColumn("step", step)
+    s = beside(within(samples, at, secs), keys, ("value",)).withColumn("step", _step())
     return s.groupBy(*keys).agg((F.sum("step") / secs).alias("value"), F.count(F.lit(1)).alias("_n")).filter("_n >= 2").drop("_n")
 
 
 def rate_grid(samples: DataFrame, start: str, end: str, step: int, secs: int, keys: tuple[str, ...]) -> DataFrame:
     """(keys, at, value): the rate on a step grid. Each step's samples are found by equi-assignment to the grid points whose window holds them."""
-    w = Window.partitionBy(*keys).orderBy("ts")
-    prev, before = F.lag("value").over(w), F.lag("ts").over(w)
-    delta = F.when(F.col("value") < prev, F.col("value")).otherwise(F.col("value") - prev)
     s = samples.filter((F.col("ts") > at_time(start) - F.make_dt_interval(secs=F.lit(secs))) & (F.col("ts") <= at_time(end)))
-    s = s.select(*keys, "ts", delta.alias("delta"), before.alias("before"))
+    s = beside(s, keys, ("value", "ts")).select(*keys, "ts", _step().alias("delta"), F.col("_near.ts").alias("before"))
     t0, n = F.unix_micros(at_time(start)), F.lit(step * 1_000_000)
     first = F.greatest(F.lit(0), F.ceil((F.unix_micros("ts") - t0) / n).cast("bigint"))
     last = F.least(F.floor((F.unix_micros(at_time(end)) - t0) / n).cast("bigint"), F.ceil((F.unix_micros("ts") + secs * 1_000_000 - t0) / n).cast("bigint") - 1)
@@ -60,11 +76,11 @@ def step_grid(samples: DataFrame, start: str, end: str, step: int, keys: tuple[s
     """(keys, at, value): the latest sample at each grid point; an as-of lookup without a range join."""
     s = samples.filter((F.col("ts") > at_time(start) - F.make_dt_interval(secs=F.lit(lookback))) & (F.col("ts") <= at_time(end)))
     t0, n = F.unix_micros(at_time(start)), F.lit(step * 1_000_000)
-    w = Window.partitionBy(*keys).orderBy("ts")
+    s = beside(s, keys, ("ts",), later=True)
     first = F.greatest(F.lit(0), F.ceil((F.unix_micros("ts") - t0) / n).cast("bigint"))
     steps = F.floor((F.unix_micros(at_time(end)) - t0) / n).cast("bigint")
     stale = F.ceil((F.unix_micros("ts") + lookback * 1_000_000 - t0) / n).cast("bigint") - 1
-    replaced = F.ceil((F.unix_micros(F.lead("ts").over(w)) - t0) / n).cast("bigint") - 1
+    replaced = F.ceil((F.unix_micros("_near.ts") - t0) / n).cast("bigint") - 1
     s = s.withColumns({"_a": first, "_b": F.least(steps, stale, F.coalesce(replaced, steps))}).filter("_a <= _b")
     s = s.withColumn("k", F.explode(F.sequence("_a", "_b")))
     return s.select(*keys, F.timestamp_micros(t0 + F.col("k") * n).alias("at"), "value")
@@ -149,8 +165,9 @@ def flat_range(documents: DataFrame, column: str = "document") -> DataFrame:
 
 def runs_of(conditions: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, since, until, samples): maximal runs of true `firing` samples in time order."""
-    w = Window.partitionBy(*keys).orderBy("ts")
-    c = conditions.withColumn("_island", F.sum((~F.col("firing")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    from telemill.sources.tables import running
+
+    c = running(conditions.withColumn("_no", (~F.col("firing")).cast("int")), "_no", keys, ("ts",), F.to_date("ts")).withColumnRenamed("running", "_island")
     return c.filter("firing").groupBy(*keys, "_island").agg(F.min("ts").alias("since"), F.max("ts").alias("until"), F.count(F.lit(1)).alias("samples")).drop("_island")
 
 

@@ -13,9 +13,14 @@ def invocation_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ndjson_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(id, seq, line) from text files, a stream a file; id is the file's path."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("id"), F.posexplode(F.split("value", "\n")).alias("seq", "line"))
-    return whole.select("id", F.col("seq").cast("bigint").alias("seq"), "line").to(STREAM_LINE)
+    """(id, seq, line) from text files, a stream a file; id is the file's path.
+
+    Files are read line by line. seq is the place of the line's block in the file,
+    then the line's place in the block, so it grows with the file but has gaps.
+    """
+    block, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("id"), (F.shiftleft(F.floor(block / (1 << 20)).cast("bigint"), 33) + row).alias("seq"), F.col("value").alias("line"))
+    return lines.to(STREAM_LINE)
 
 
 def meminfo(lines: DataFrame) -> DataFrame:
@@ -45,6 +50,11 @@ def quality_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("case_id string, category string, prompt string, expected string, scorer string").json(path)
 
 
+def probe_samples(probes: DataFrame) -> DataFrame:
+    """(target, value) of HTTP probes (target, status: null if nothing answered): 1 for a 2xx answer."""
+    return probes.select("target", F.coalesce((F.col("status") >= 200) & (F.col("status") < 300), F.lit(False)).cast("double").alias("value"))
+
+
 def samples(spark: SparkSession, path: str) -> DataFrame:
     """Metric samples (metric, labels, ts, value), partitioned by job where they were written so."""
     from telemill.schemas import SAMPLE

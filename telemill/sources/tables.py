@@ -42,11 +42,20 @@ def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def running(df: DataFrame, value: str, keys: tuple[str, ...], order: tuple[str, ...], stretch) -> DataFrame:
+    """df with `running`: the sum of a value so far in each series. Stretches of the order (such as days) are summed first, so that no series is one task."""
+    d = df.withColumn("_day", stretch)
+    days = d.groupBy(*keys, "_day").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy(*keys, "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return d.join(days, [*keys, "_day"]).withColumn("running", F.col("_base") + F.sum(value).over(inside)).drop("_day", "_base")
+
+
 def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters with genuine resets: (metric, instance, ts, value), two resets or so a series."""
-    w = Window.partitionBy("metric", "instance").orderBy("ts")
-    e = _events(spark, sf_dir).select(F.col("event_type").alias("metric"), (F.col("user_id") % 3).cast("string").alias("instance"), "ts")
-    return e.withColumn("value", (F.row_number().over(w) % 250).cast("double"))
+    e = _events(spark, sf_dir).select(F.col("event_type").alias("metric"), (F.col("user_id") % 3).cast("string").alias("instance"), "ts", F.lit(1).alias("one"))
+    return running(e, "one", ("metric", "instance"), ("ts",), F.to_date("ts")).select("metric", "instance", "ts", (F.col("running") % 250).cast("double").alias("value"))
 
 
 def gauge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,12 +64,13 @@ def gauge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bucket_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cumulative latency buckets by event type: (metric, le, ts, value), a sample an event and bound."""
+    """Cumulative latency buckets: (instance, le, ts, value), a sample an event and bound."""
     from telemill.schemas import BUCKETS
 
-    e = _events(spark, sf_dir).select(F.col("event_type").alias("metric"), "ts", F.explode(F.array(*[F.struct(F.lit(b).alias("le"), (F.col("value") <= b).cast("int").alias("hit")) for b in (*BUCKETS, float("inf"))])).alias("x"))
-    w = Window.partitionBy("metric", "le").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("metric", "x.le", "ts", "x.hit").withColumn("value", F.sum("hit").over(w).cast("double")).drop("hit")
+    own = (F.col("user_id") % 3).cast("string").alias("instance")
+    e = _events(spark, sf_dir).select(own, "ts", "event_id", F.explode(F.array(*[F.struct(F.lit(b).alias("le"), (F.col("value") <= b).cast("int").alias("hit")) for b in (*BUCKETS, float("inf"))])).alias("x"))
+    e = e.select("instance", "x.le", "ts", "event_id", "x.hit")
+    return running(e, "hit", ("instance", "le"), ("ts", "event_id"), F.to_date("ts")).select("instance", "le", "ts", F.col("running").cast("double").alias("value"))
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +88,10 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark runs: (phase, seq, started, output_tokens, decode_seconds, wall_seconds, ttft, done_reason)."""
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    return _events(spark, sf_dir).select(
+    e = running(_events(spark, sf_dir).withColumn("one", F.lit(1)), "one", ("event_type",), ("event_id",), F.floor(F.col("event_id") / 65536))
+    return e.select(
         F.col("event_type").alias("phase"),
-        F.row_number().over(w).cast("bigint").alias("seq"),
+        F.col("running").cast("bigint").alias("seq"),
         (F.unix_micros("ts") / F.lit(1e6)).alias("started"),
         F.col("k").alias("prompt_tokens"),
         (F.col("event_id") % 300).alias("output_tokens"),
@@ -103,9 +113,8 @@ def stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored answers from `benchmark`: (case_id, category, expected, actual), four spellings in turn."""
-    b = table(spark, sf_dir, "benchmark").withColumn("expected", F.translate(F.substring("text", 1, 24), "\n\t", "  "))
-    b = b.filter(F.length(F.regexp_replace("expected", "[\\x00-\\x7f]", "")) == 0).withColumn("expected", F.btrim("expected"))
+    """Scored answers from `benchmark`: (case_id, category, expected, actual), four spellings of the whole text in turn."""
+    b = table(spark, sf_dir, "benchmark").withColumn("expected", F.btrim(F.translate("text", "\n\t", "  ")))
     x = F.col("expected")
     actual = (
         F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("  Answer: "), x, F.lit(". ")))
