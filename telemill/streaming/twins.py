@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from telemill.sources.scratch import folder
 
 LIFECYCLE = "id string, state string, started double, finished double, status int"
 
@@ -77,11 +80,45 @@ def transitions(inv: DataFrame) -> DataFrame:
     return inv.select("id", F.explode(both).alias("x")).select("id", "x.*").filter("kind = 'start' or status is not null")
 
 
-def collected(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what is there now, into a memory table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+class Streamed:
+    """Stands for a session whose reads of one driver table are streams, so that a batch view over it is a streaming one."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, name: str):
+        self.name, self.spark, self.read = name, spark, self
+        self.schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+
+    def parquet(self, path: str) -> DataFrame:
+        return source(self.spark, path.replace(f"/{self.name}.parquet", f"/[{self.name[0]}]{self.name[1:]}.parquet"), self.schema)
+
+
+def event_counts(lines: DataFrame) -> DataFrame:
+    """(id, events) of response lines: how many are JSON objects."""
+    from telemill.operators.stream import events
+
+    return events(lines).groupBy("id").agg(F.count_if(F.col("event").isNotNull()).alias("events"))
+
+
+def collected(stream: DataFrame, mode: str, trigger: dict | None = None) -> DataFrame:
+    """Runs a stream over what is there now and gives what it wrote.
+
+    Rows and state go to the shared folder, never to the driver: appended rows as one
+    table, and of complete results the last one.
+    """
+    home = folder(stream.sparkSession, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/rows/batch={number}")
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/checkpoint").trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start()
+    if trigger is None:
+        q.awaitTermination()
+    else:  # a processing-time trigger polls without end
+        q.processAllAvailable()
+        q.stop()
+    rows = stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{home}/rows")
+    if mode == "complete":
+        rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch")
+    return rows.drop("batch")
 
 
 def guarded(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
