@@ -13,6 +13,7 @@ from telemill.schemas import MARKED, TRACKED
 
 PAGE = 50
 LISTED = ("id", "started", "model", "endpoint", "source", "purpose", "state", "status", "duration", "ttft", "prompt_tokens", "generated_tokens", "truncated")
+#: Messages of interrupted and unfinished requests. Fixed values.
 RESTARTED = "Proxy restarted before completion"
 UNFINISHED = "Upstream stream ended without a completion marker"
 
@@ -90,6 +91,11 @@ def metadata(inv: DataFrame) -> DataFrame:
     return inv.drop("request", "response")
 
 
+def measurement(inv: DataFrame) -> DataFrame:
+    """What may be published of a record: neither who asked, nor what was asked and said."""
+    return inv.select("id", "status", "duration", "ttft", "prompt_tokens", "generated_tokens", "truncated", "error")
+
+
 def pager(inv: DataFrame, s: Search) -> DataFrame:
     """(total, has_previous, has_next, label) of the page."""
     total = F.col("total")

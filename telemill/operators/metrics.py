@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.measures import bucket_counts, queue_seconds, seconds
@@ -81,34 +81,68 @@ def active_now(inv: DataFrame) -> DataFrame:
 
 def exposition(series: DataFrame) -> DataFrame:
     """Text lines `name{labels} value` from (name, labels: array of (key, value), value: string), in order of name and labels."""
+    return exposition_lines(series).orderBy("name", "labels").select("name", "line")
+
+
+def exposition_lines(series: DataFrame) -> DataFrame:
     text = F.array_join(F.transform("labels", lambda x: F.concat(x["key"], F.lit('="'), metric_label(x["value"]), F.lit('"'))), ",")
-    line = F.concat("name", F.when(F.size("labels") > 0, F.concat(F.lit("{"), text, F.lit("}"))).otherwise(""), F.lit(" "), "value")
-    return series.select("name", "labels", line.alias("line")).orderBy("name", "labels").select("name", "line")
+    return series.withColumn("line", F.concat("name", F.when(F.size("labels") > 0, F.concat(F.lit("{"), text, F.lit("}"))).otherwise(""), F.lit(" "), "value"))
 
 
-def general_number(value: float, digits: int = 9) -> str:
-    """Shortest %g text of a double, for the driver-side sink."""
-    return f"{value:.{digits}g}"
+def general_number(value, digits: int = 9) -> Column:
+    """Text of a double as C's %.{digits}g gives it: rounded to so many digits, without trailing zeros, with an exponent where it is under -4 or not under `digits`."""
+    size = F.abs(value)
+    mantissa = F.format_string(f"%.{digits - 1}e", size)  # d.dddde+xx, rounded
+    power = F.split_part(mantissa, F.lit("e"), F.lit(2)).cast("int")
+    bare = lambda t: F.when(F.contains(t, F.lit(".")), F.regexp_replace(t, r"\.?0+\z", "")).otherwise(t)
+    plain = F.coalesce(*[F.when(power == p, bare(F.format_string(f"%.{digits - 1 - p}f", size))) for p in range(-4, digits)])
+    raised = F.concat(bare(F.split_part(mantissa, F.lit("e"), F.lit(1))), F.lit("e"), F.split_part(mantissa, F.lit("e"), F.lit(2)))
+    text = F.when(size == 0, "0").otherwise(F.coalesce(plain, raised))
+    special = F.when(F.isnan(value), "nan").when(value == float("inf"), "inf").when(value == float("-inf"), "-inf")
+    return F.coalesce(special, F.concat(F.when(value.cast("string").startswith("-"), "-").otherwise(""), text))
 
 
-def request_series(finished: DataFrame, name: str = "ollama_requests_total") -> DataFrame:
-    pair = lambda k: F.struct(F.lit(k).alias("key"), F.col(k).alias("value"))
-    return request_counts(finished).select(F.lit(name).alias("name"), F.array(pair("model"), pair("endpoint"), pair("status")).alias("labels"), F.col("requests").cast("string").alias("value"))
+def _pair(name: str, value: Column | None = None) -> Column:
+    return F.struct(F.lit(name).alias("key"), (F.col(name) if value is None else value).cast("string").alias("value"))
+
+
+def _number(df: DataFrame, value: str) -> Column:
+    return general_number(F.col(value)) if dict(df.dtypes)[value] == "double" else F.col(value).cast("string")
 
 
-def render(frames: dict[str, DataFrame]) -> str:
-    """The whole exposition text from {metric: (labels..., value)} frames; a bounded set of series, so it is made on the driver."""
-    out = []
-    for name, df in frames.items():
-        for row in sorted(df.collect(), key=lambda r: tuple(str(x) for x in r[:-1])):
-            labels = ",".join(f'{k}="{_escape(str(v))}"' for k, v in list(row.asDict().items())[:-1])
-            value = row[-1]
-            out.append(f"{name}{{{labels}}} {general_number(value) if isinstance(value, float) else value}" if labels else f"{name} {value}")
-    return "\n".join(out) + "\n"
+def series(df: DataFrame, value: str, *labels: str) -> DataFrame:
+    """(suffix, labels, order, value) of a counter or gauge from (labels..., value)."""
+    own = F.array(*[_pair(x) for x in labels]) if labels else F.expr("cast(array() as array<struct<key: string, value: string>>)")
+    return df.select(F.lit("").alias("suffix"), own.alias("labels"), F.lit(0).alias("order"), _number(df, value).alias("value"))
 
 
-def _escape(v: str) -> str:
-    return v.replace("\\", "\\\\").replace("\n", "\\n").replace('"', '\\"')
+def histogram_series(h: DataFrame, *labels: str) -> DataFrame:
+    """The bucket, sum and count series of a histogram(); buckets in order of their bounds, then the sum, then the count."""
+    own = [_pair(x) for x in labels]
+    place = F.array_position(F.array(*[F.lit(f"{b:g}") for b in BUCKETS], F.lit("+Inf")), F.col("le")).cast("int")
+    buckets = h.select(F.lit("_bucket").alias("suffix"), F.array(*own, _pair("le")).alias("labels"), place.alias("order"), F.col("count").cast("string").alias("value"))
+    last = len(BUCKETS) + 2
+    ends = h.filter("le = '+Inf'").select(F.inline(F.array(*[F.struct(F.lit(x).alias("suffix"), F.array(*own).alias("labels"), F.lit(last + i).alias("order"), v.alias("value")) for i, (x, v) in enumerate((("_sum", general_number(F.col("sum"))), ("_count", F.col("total").cast("string"))))])))
+    return buckets.unionByName(ends)
+
+
+def exposition_text(frames: dict[str, tuple[str, DataFrame]], help_lines: dict[str, str]) -> DataFrame:
+    """(place, line) of a whole exposition from {name: (kind, series)}: for each metric its help and type, then its series by labels; histograms' buckets by bound."""
+    out = None
+    for i, (name, (kind, df)) in enumerate(frames.items()):
+        head = ([f"# HELP {name} {help_lines[name]}"] if name in help_lines else []) + [f"# TYPE {name} {kind}"]
+        own = exposition_lines(df.withColumn("name", F.concat(F.lit(name), "suffix")))
+        key = F.transform(F.filter("labels", lambda x: x["key"] != "le"), lambda x: x["value"])
+        body = own.select(F.struct(F.lit(i).alias("metric"), F.lit(1).alias("body"), key.alias("labels"), F.col("order")).alias("place"), "line")
+        top = df.sparkSession.createDataFrame([(j, x) for j, x in enumerate(head)], "order int, line string")
+        top = top.select(F.struct(F.lit(i).alias("metric"), F.lit(0).alias("body"), F.array().cast("array<string>").alias("labels"), F.col("order")).alias("place"), "line")
+        both = top.unionByName(body)
+        out = both if out is None else out.unionByName(both)
+    return out.orderBy("place")
+
+
+def request_series(finished: DataFrame, name: str = "ollama_requests_total") -> DataFrame:
+    return series(request_counts(finished), "requests", "model", "endpoint", "status").withColumn("name", F.lit(name))
 
 
 def request_log(inv: DataFrame) -> DataFrame:

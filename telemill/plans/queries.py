@@ -5,43 +5,19 @@ Doubles that depend on the order of addition are rounded in both.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions import measures, moments, text
 from telemill.operators import alerts, history, logs, metrics, sinks, stats, stream, timeseries
 from telemill.operators.history import Search
 from telemill.plans.dashboards import PANELS, evaluate
+from telemill.plans.registry import ORACLES, QUERIES, micros, query, r6
 from telemill.plans.sql import ANSWERS, FIN, GAUGES, INV, LOGS, RUNS, SAMPLES
 from telemill.sources import tables
 from telemill.streaming import twins
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
-
-
-def micros(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.unix_micros(n) for n in names})
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # --- invocation history -------------------------------------------------------
 
@@ -163,10 +139,6 @@ def inv_tracked(spark, d):
     return e.select("event_id", history.tracked(method, path).alias("tracked"))
 
 
-@query()
-def inv_document(spark, d):
-    return history.api_document(tables.invocations(spark, d), Search(state="error"))
-
 
 # --- request metrics ----------------------------------------------------------
 
@@ -259,10 +231,6 @@ def met_exposition(spark, d):
     return metrics.exposition(metrics.request_series(finished(spark, d)))
 
 
-@query()
-def met_request_log(spark, d):
-    return metrics.request_log(tables.invocations(spark, d))
-
 
 @query(
     """SELECT p_name AS model, 1 AS loaded, p_size AS size_bytes, p_size // 2 AS vram_bytes, p_size + 1 AS context_length, CAST(p_size // 2 AS DOUBLE) / nullif(p_size, 0) * 100 AS offload_percent,
@@ -311,22 +279,6 @@ def ev_tools(spark, d):
     return stream.tool_events(tool_lines(spark, d)).select("id", "seq")
 
 
-@query(f"WITH {ASSIST} SELECT id, true AS truncated FROM a")  # the final record alone has more than 40 bytes
-def ev_capture(spark, d):
-    lines = tables.stream_lines(spark, d)
-    return stream.captured(lines, 40).select("id", "truncated")
-
-
-@query(
-    """WITH c AS (SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS id, CASE WHEN role = '' THEN 'Message' ELSE role END AS label, role, text FROM conversations)
-    SELECT id, CASE WHEN role = 'user' THEN 0 ELSE 0 END AS position, CASE WHEN role = 'user' THEN label ELSE 'raw' END AS label FROM c"""
-)
-def ev_request_blocks(spark, d):
-    c = tables.table(spark, d, "conversations")
-    body = F.when(F.col("role") == "user", F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")))).otherwise(F.concat(F.lit("not json "), "text"))
-    return stream.request_blocks(c.select(F.concat_ws("-", "conv_id", "turn").alias("id"), body.alias("request"))).select("id", "position", "label")
-
-
 # --- benchmark statistics -----------------------------------------------------
 
 DIST = """count({v}) AS count, min({v}) AS min, round(avg({v}), 6) AS mean, round(median({v}), 6) AS median, round(quantile_cont({v}, 0.95), 6) AS p95, max({v}) AS max,
@@ -346,7 +298,7 @@ def st_by_group(spark, d):
 
 @query(f"WITH {RUNS} SELECT phase, round(quantile_cont(ttft, 0.5), 6) AS p50, round(quantile_cont(ttft, 0.95), 6) AS p95 FROM runs GROUP BY phase")
 def st_percentile(spark, d):
-    return r6(tables.runs(spark, d).groupBy("phase").agg(measures.percentile(F.col("ttft"), 50).alias("p50"), measures.percentile(F.col("ttft"), 95).alias("p95")), "p50", "p95")
+    return r6(stats.percentiles(tables.runs(spark, d), "ttft", {"p50": 0.5, "p95": 0.95}, "phase"), "p50", "p95")
 
 
 RATES = """phase, seq, CASE WHEN decode_seconds > 0 THEN round(output_tokens / decode_seconds, 6) END AS decode_tokens_per_second,
@@ -447,7 +399,7 @@ def st_context_prompt(spark, d):
     rows = [(1, 512, 0.10, "KESTREL-512", 0.15), (2, 2048, 0.50, "ORCHID-2048", 0.40), (3, 6144, 0.90, "SUMMIT-6144", 0.70)]
     c = stats.context_cases(spark.createDataFrame(rows, "seq int, words int, position double, code string, fraction double"), 8192)
     body = F.split(F.split_part(stats.context_prompt(F.col("target"), F.col("position"), F.col("code")), F.lit("\n\n"), F.lit(2)), " ")
-    return c.select("seq", "target", F.size(body).alias("prompt_words"), (F.array_position(body, "IMPORTANT") - 1).cast("int").alias("words_before"))
+    return c.select("seq", "target", F.size(body).alias("prompt_words"), (F.array_position(body, stats.RECORD[0]) - 1).cast("int").alias("words_before"))
 
 
 @query(f"WITH {INV} SELECT id, prompt_tokens + generated_tokens >= 350 AS possible_truncation FROM inv")
@@ -455,10 +407,6 @@ def st_truncation(spark, d):
     return tables.invocations(spark, d).select("id", (F.col("prompt_tokens") + F.col("generated_tokens") >= 350).alias("possible_truncation"))
 
 
-@query()
-def st_headline(spark, d):
-    return stats.headline(stats.generation_summary(tables.runs(spark, d)), False, ("requests_per_second",))
-
 
 # --- time series --------------------------------------------------------------
 
@@ -666,43 +614,27 @@ def fn_metric_label(spark, d):
 # --- streaming twins ----------------------------------------------------------
 
 
-class _Streamed:
-    """Gives the bridge views a streaming `events`."""
-
-    def __init__(self, spark, d):
-        self.schema = spark.read.parquet(f"{d}/events.parquet").schema
-        self.read = self
-        self.spark = spark
-
-    def parquet(self, path: str) -> DataFrame:
-        return twins.source(self.spark, path.replace("/events.parquet", "/[e]vents.parquet"), self.schema)
-
-
 @query(f"WITH {INV} SELECT model, endpoint, CAST(status AS VARCHAR) AS status, count(*) AS requests FROM inv GROUP BY ALL")
 def str_requests(spark, d):
-    return twins.collected(twins.request_counts(tables.invocations(_Streamed(spark, d), d)), "str_requests", "complete")
+    return twins.collected(twins.request_counts(tables.invocations(twins.Streamed(spark, d, "events"), d)), "complete")
 
 
 @query(f"""WITH {LOGS}, v AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS t, coalesce(container, '') AS container, count(*) AS value FROM logs GROUP BY ALL)
   SELECT epoch_us(t) AS "at", container, value FROM v WHERE t + INTERVAL 6 HOUR <= (SELECT max(ts) FROM logs)""")
 def str_volume(spark, d):
-    lines = tables.log_lines(_Streamed(spark, d), d)
-    return micros(twins.collected(twins.log_volume(lines, 21600, "container", 0), "str_volume", "append"), "at")
+    lines = tables.log_lines(twins.Streamed(spark, d, "events"), d)
+    return micros(twins.collected(twins.log_volume(lines, 21600, "container", 0), "append"), "at")
 
 
 @query(f"WITH {INV} SELECT id, CASE WHEN status >= 400 THEN 'error' ELSE 'completed' END AS state, started, status FROM inv WHERE status IS NOT NULL")
 def str_lifecycle(spark, d):
-    t = twins.transitions(tables.invocations(_Streamed(spark, d), d))
-    return twins.collected(twins.lifecycle(t), "str_lifecycle", "append").select("id", "state", "started", "status")
+    t = twins.transitions(tables.invocations(twins.Streamed(spark, d, "events"), d))
+    return twins.collected(twins.lifecycle(t), "append").select("id", "state", "started", "status")
 
 
 # --- sinks, moments and panels ------------------------------------------------
 
 
-@query()
-def inv_download(spark, d):
-    return sinks.download(tables.invocations(spark, d).drop("finish_seq"), "42")
-
 
 @query(f"WITH {INV} SELECT id, id || ':' || state || ':' || coalesce(CAST(CAST(round(duration) AS BIGINT) AS VARCHAR), '') || ':' || length(coalesce(response, '')) AS key, strftime(make_timestamp(CAST(round(started * 1e6) AS BIGINT)), '%Y-%m-%dT%H:%M:%S+00:00') AS at_utc FROM inv")
 def fn_change_key(spark, d):
@@ -770,3 +702,6 @@ def pan_error_share(spark, d):
 )
 def pan_vram_share(spark, d):
     return r6(evaluate(_panel("VRAM share"), squeezed(panel_samples(spark, d)), NOON), "value")
+
+
+from telemill.plans import coverage, streams  # noqa: E402, F401  they register more

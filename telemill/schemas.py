@@ -39,6 +39,6 @@ STREAM_LINE = T.StructType([T.StructField("id", T.StringType()), T.StructField("
 #: Bounds of the latency histograms, in seconds. Fixed values.
 BUCKETS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, 120.0, 300.0)
 #: Requests to these paths are recorded. Fixed values.
-TRACKED = ("/api/generate", "/api/chat", "/api/embed", "/api/embeddings", "/v1/chat/completions", "/v1/completions", "/v1/embeddings", "/v1/responses")
+TRACKED = ("/api/chat", "/api/generate", "/api/embed", "/api/embeddings", "/v1/chat/completions", "/v1/completions", "/v1/embeddings", "/v1/responses")
 #: Endpoints whose streams must end with a completion marker. Fixed values.
 MARKED = ("/api/chat", "/api/generate", "/v1/chat/completions", "/v1/completions")

@@ -2,12 +2,13 @@
 
 import json
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from telemill.functions import events, measures, text
+from telemill.functions import events, text
 from telemill.operators import alerts, history, metrics, stats, stream, timeseries
 from telemill.operators.history import Search
 from telemill.streaming import twins
@@ -123,7 +124,7 @@ def test_retention_and_recovery(spark):
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=30))
 def test_percentile_is_interpolated(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = df.agg(measures.percentile(F.col("v"), 95).alias("p")).first()["p"]
+    got = stats.percentiles(df, "v", {"p": 0.95}).first()["p"]
     x = sorted(values)
     at = (len(x) - 1) * 0.95
     low = int(at)
@@ -200,8 +201,95 @@ def test_plans(spark):
 
     plan = QUERIES["inv_page"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
-    scan = spark.read.parquet("/root/testdata/sf0.001/events.parquet").filter("event_type = 'error'").groupBy().count()
-    assert "EqualTo(event_type,error)" in scan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_history_filters_reach_the_scan(spark, tmp_path):
+    """On a written history equality and time are pushed down, days are pruned, and statistics read no bodies."""
+    from telemill.operators import sinks
+    from telemill.sources import readers, tables
+
+    sinks.write_history(tables.invocations(spark, "/root/testdata/sf0.001").drop("finish_seq"), str(tmp_path / "h"))
+    inv = readers.invocation_files(spark, str(tmp_path / "h"))
+    found = history.statistics(inv, history.Search(model="m3", state="error", since=1705000000.0))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(model,m3)" in plan and "EqualTo(state,error)" in plan and "GreaterThanOrEqual(started,1.705E9)" in plan
+    read = plan[plan.index("ReadSchema") :]
+    assert "request" not in read and "response" not in read
+    days = spark.read.parquet(str(tmp_path / "h")).filter("started_date = '2024-01-05'")
+    assert "PartitionFilters: [isnotnull(started_date" in days._jdf.queryExecution().executedPlan().toString()
+
+
+def test_percentiles_of_many_rows_and_groups(spark):
+    """Against numpy, with ties, nulls, a null group and a group of nulls."""
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g, n in (("a", 20_000), ("b", 3), (None, 500)) for v in rng.integers(0, 3000, n) / 7] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    qs = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["g"]: r for r in stats.percentiles(df, "v", qs, "g").collect()}
+    for g in ("a", "b", None):
+        own = [v for x, v in rows if x == g and v is not None]
+        for name, q in qs.items():
+            assert got[g][name] == pytest.approx(np.quantile(own, q))
+    s = {r["g"]: r for r in stats.summary(df, "v", "g").collect()}
+    assert s["none"]["count"] == 0 and s["none"]["median"] is None and s["a"]["p95"] == got["a"]["p95"]
+
+
+def test_neighbours_of_samples_across_days(spark):
+    """The sample before and after, over empty days, as one sort of the series gives them."""
+    rng = np.random.default_rng(4)
+    times = sorted(rng.choice(20 * 86400, 200, replace=False).tolist())
+    times = [t for t in times if (t // 86400) % 4 != 2]
+    df = spark.createDataFrame([(str(i % 2), 1_700_000_000 + t, float(i)) for i, t in enumerate(times)], "s string, t long, value double").withColumn("ts", F.timestamp_seconds("t"))
+    for later in (False, True):
+        got = {r["value"]: r["_near"] and r["_near"]["value"] for r in timeseries.beside(df, ("s",), ("value",), later).collect()}
+        step = 2 if later else -2
+        assert got == {float(i): float(i + step) if 0 <= i + step < len(times) else None for i in range(len(times))}
+
+
+def test_zero_as_text_is_text(spark):
+    """Only empty things add nothing: the text "0" or "false" is a token, the number 0 is none."""
+    df = lines(spark, [("a", i, x) for i, x in enumerate(['{"response":"0"}', '{"response":"false"}', '{"response":0}', '{"response":[]}', '{"message":{"content":"","thinking":"null"}}', '{"response":-0.0}'])])
+    r = stream.folded(df).first()
+    assert r["text"] == "0falsenull" and r["thinking"] == "null" and r["first_seq"] == 0
+
+
+def test_first_token_time_and_last_error(spark):
+    df = spark.createDataFrame([("a", 0, "", 1.0), ("a", 1, '{"error":"one"}', 2.0), ("a", 2, '{"response":"x"}', 3.5), ("a", 3, '{"error":"two"}', 4.0), ("a", 4, '{"error":""}', 5.0)], "id string, seq long, line string, at double")
+    r = stream.folded(df).first()
+    assert (r["first_at"], r["first_seq"], r["error"], r["events"]) == (3.5, 2, "two", 4)
+    bodies = spark.createDataFrame([("a", '{\n"error": "whole"}', False)], "id string, response string, truncated boolean")
+    assert stream.with_body_measurement(stream.folded(df), bodies).first()["error"] == "whole"
+
+
+def test_open_requests_time_out(spark, tmp_path):
+    """A request without an end for so long is interrupted; a polling trigger sees to it."""
+    import time
+
+    schema = "id string, kind string, at double, status int"
+    spark.createDataFrame([("a", "start", 1.0, None), ("b", "start", 2.0, None), ("b", "finish", 3.0, 200)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    seen = str(tmp_path / "out")
+    q = twins.lifecycle(rows, limit_ms=500).writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").format("parquet").start(seen)
+    spark.createDataFrame([("c", "start", 1.0, None)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    try:
+        deadline = time.time() + 60
+        while time.time() < deadline:
+            got = {r["id"]: r["state"] for r in spark.read.schema(twins.LIFECYCLE).parquet(seen).collect()}
+            if got.get("a") == "interrupted" and got.get("c") == "interrupted":
+                break
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert got == {"a": "interrupted", "b": "completed", "c": "interrupted"}
+
+
+def test_polling_trigger(spark):
+    """A stream polled by processing time gives what one run over all gives."""
+    counts = twins.request_counts(twins.Streamed(spark, "/root/testdata/sf0.001", "events").parquet("/root/testdata/sf0.001/events.parquet").select(F.col("event_type").alias("model"), F.lit("e").alias("endpoint"), F.lit(200).alias("status")))
+    got = twins.collected(counts, "complete", {"processingTime": "1 second"})
+    assert got.agg(F.sum("requests")).first()[0] == 1000
 
 
 def test_guarded_sink_never_raises(spark):
@@ -238,7 +326,7 @@ def test_readers(spark, tmp_path):
     from telemill.sources import readers
 
     (tmp_path / "a.ndjson").write_text('{"response":"x"}\n{"done":true}')
-    assert readers.ndjson_lines(spark, str(tmp_path)).count() == 2
+    assert [r["line"] for r in readers.ndjson_lines(spark, str(tmp_path)).orderBy("seq").collect()] == ['{"response":"x"}', '{"done":true}']
     mem = spark.createDataFrame([("MemTotal:  2097152 kB",), ("junk",)], "value string")
     assert [tuple(r) for r in readers.meminfo(mem).collect()] == [("MemTotal", 2.0)]
     assert readers.card_rows(spark.createDataFrame([("RTX, 1.2, 12288, 350",)], "value string")).first()["memory_total"] == "12288"
