@@ -29,12 +29,6 @@ def shared_folder(spark) -> str:
     return named
 
 
-def checkpointed(df):
-    """Cut lineage with checkpoint() in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 class Tables:
     """Intermediate results as Parquet tables in the shared folder, removed one by one or when the session ends."""
 
@@ -174,17 +168,11 @@ def lower_ascii() -> np.ndarray:
     return t
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash a word, word offsets a document); A-Z count as a-z if fold."""
-    starts, ends, woff = words(data, off)
-    return span_hashes(lower_ascii()[data] if fold else data, starts, ends), woff
-
-
 class Parts:
     """A table too large to hold, as broadcasts of bounded size; a task reads each from its local file and lets it go."""
 
     def __init__(self, df, keys: tuple[str, ...], most: int, arrange=dict):
-        """df: checkpointed, as it is read once a part; rows of a key come to one part, and a part has about `most` rows. arrange: what is made of a part's columns."""
+        """df: a stored table, as it is read once a part; rows of a key come to one part, and a part has about `most` rows. arrange: what is made of a part's columns."""
         from pyspark.sql import functions as F
 
         n = max(1, -(-df.count() // most))

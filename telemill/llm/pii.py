@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm._text import Parts, checkpointed, flat, slices
+from telemill.llm._text import Parts, Tables, flat, slices
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -165,11 +165,12 @@ def _edges(batches):
 def learn(docs: DataFrame, rounds: int = 2, min_seeds: int = 5, min_confidence: float = 0.7, max_patterns: int = 200_000) -> dict[int, int] | Parts:
     """Accepted patterns (hash: kind index); where they are more than `max_patterns`, parts of (pattern, kind) of about so many each."""
     edges = docs.select("text").mapInArrow(_edges, "pattern long, instance long, kind int")
-    edges = checkpointed(edges.groupBy("pattern", "instance", "kind").agg(F.lit(1).alias("one")).drop("one"))
+    tables = Tables(docs.sparkSession)
+    edges = tables.keep(edges.groupBy("pattern", "instance", "kind").agg(F.lit(1).alias("one")).drop("one"))
     seeds = edges.filter("kind >= 0")
     support = seeds.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= min_seeds)
     totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    strong = checkpointed(support.join(totals, "pattern"))
+    strong = tables.keep(support.join(totals, "pattern"))
     open_edges = edges.filter("kind < 0").select("pattern", "instance")
     score = strong.withColumn("conf", F.col("seeds") / F.col("n"))
     for _ in range(rounds):
@@ -178,11 +179,12 @@ def learn(docs: DataFrame, rounds: int = 2, min_seeds: int = 5, min_confidence:
         gained = open_edges.join(found, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("gain"))
         score = strong.join(gained, ["pattern", "kind"], "left").withColumn("conf", F.least(F.lit(1.0), (F.col("seeds") + F.coalesce("gain", F.lit(0.0)) * F.col("seeds") / F.col("n")) / F.col("n")))
     best = score.filter(F.col("conf") >= min_confidence).groupBy("pattern").agg(F.min(F.struct((-F.col("conf")).alias("conf"), (-F.col("seeds")).alias("seeds"), "kind")).alias("best"))
-    best = checkpointed(best.select("pattern", F.col("best.kind").alias("kind")))
-    if best.count() > max_patterns:
-        return Parts(best, ("pattern",), max_patterns)
-    rows = best.toArrow()
-    return dict(zip(rows.column("pattern").to_pylist(), rows.column("kind").to_pylist(), strict=True))
+    best = tables.keep(best.select("pattern", F.col("best.kind").alias("kind")))
+    tables.drop(edges, strong)
+    parts = Parts(best, ("pattern",), max_patterns) if best.count() > max_patterns else None
+    rows = best.toArrow() if parts is None else None
+    tables.drop(best)
+    return parts if parts is not None else dict(zip(rows.column("pattern").to_pylist(), rows.column("kind").to_pylist(), strict=True))
 
 
 def _accepted(parts: Parts, batch: pa.RecordBatch) -> dict[int, int]:
