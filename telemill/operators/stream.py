@@ -45,11 +45,10 @@ def folded(lines: DataFrame) -> DataFrame:
         error_text(x).alias("err"),
         truthy(x["e"]["done"]).alias("done"),
     )
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct("seq", F.col(c).alias("t"))))), lambda r: r["t"]), "")
-    return e.groupBy("id").agg(
-        joined("text").alias("text"),
-        joined("content").alias("content"),
-        joined("thinking").alias("thinking"),
+    said = (F.col("text") != "") | (F.col("content") != "") | (F.col("thinking") != "")
+    joined = lambda c: F.array_join(F.transform("said", lambda r: r[c]), "").alias(c)
+    g = e.groupBy("id").agg(
+        F.array_sort(F.collect_list(F.when(said, F.struct("seq", "text", "content", "thinking")))).alias("said"),
         F.count_if("known").alias("events"),
         F.min(F.when(F.col("text") != "", F.col("seq"))).alias("first_seq"),
         F.min_by("at", F.when(F.col("text") != "", F.col("seq"))).alias("first_at"),
@@ -57,6 +56,7 @@ def folded(lines: DataFrame) -> DataFrame:
         F.max_by("err", F.when(F.col("err").isNotNull(), F.col("seq"))).alias("error"),
         F.max_by("m", F.when(F.col("m").isNotNull(), F.col("seq"))).alias("measurement"),
     )
+    return g.select("id", joined("text"), joined("content"), joined("thinking"), *[c for c in g.columns if c not in ("id", "said")])
 
 
 def with_body_measurement(fold: DataFrame, bodies: DataFrame) -> DataFrame:
