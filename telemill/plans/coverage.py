@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telemill.cases import CASES, cases
 from telemill.functions import measures, moments
 from telemill.operators import alerts, history, metrics, sinks, stats, timeseries
 from telemill.operators.history import Search
@@ -303,6 +304,23 @@ def st_cases(spark, d):
     return r6(both.select("t.category", "passed", "total", "accuracy_percent", "unanswered"), "accuracy_percent")
 
 
+_ORDER = ", ".join(f"({i}, '{c[1]}')" for i, c in enumerate(CASES))
+
+
+@query(
+    f"""WITH a AS (SELECT i, category, i % 4 <> 3 AS passed FROM (VALUES {_ORDER}) t(i, category))
+    SELECT category, count(*) FILTER (passed) AS passed, count(*) AS total, round(100.0::DOUBLE * count(*) FILTER (passed) / count(*), 6) AS accuracy_percent FROM a GROUP BY ROLLUP (category)"""
+)
+def st_quality_cases(spark, d):
+    """The twenty quality cases with answers in three good spellings and a bad one in turn."""
+    place = spark.createDataFrame([(c[0], i) for i, c in enumerate(CASES)], "case_id string, i int")
+    x, i = F.col("expected"), F.col("i") % 4
+    loose = F.col("scorer").isin("number", "normalized")
+    said = F.when(i == 0, x).when(i == 1, F.when(loose, F.concat(F.lit("Answer: "), x)).otherwise(F.concat(F.lit(" "), x))).when(i == 2, F.when(loose, F.concat(x, F.lit("."))).otherwise(F.concat(x, F.lit("\n")))).otherwise("none of these")
+    answers = cases(spark).join(place, "case_id").select("case_id", said.alias("actual"))
+    return r6(stats.accuracy(stats.measured_cases(cases(spark), answers)), "accuracy_percent")
+
+
 # --- rules --------------------------------------------------------------------
 
 #: What stands for each rule's inputs: expressions over a gauge's value, in both engines.
