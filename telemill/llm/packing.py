@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm._text import U64, codepoints, flat, no_clash, slices, span_hashes
+from telemill.llm._text import U64, codepoints, flat, no_clash, slices, span_hashes, tidied
 
 LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Items packed together at most; bounds a task's memory (their ids are held).
 WINDOW_ITEMS = 4096
-#: Distinct pre-tokens remembered by a task before it starts afresh.
-MEMO = 400_000
+#: Distinct pre-tokens that a worker remembers, over its tasks, before it starts afresh: some 80 MB.
+MEMO = 1_200_000
 
 
 def char_classes() -> np.ndarray:
@@ -95,11 +95,11 @@ def pretoken_starts(cps: np.ndarray, off: np.ndarray, classes: np.ndarray) -> np
     return np.flatnonzero(start)
 
 
-def byte_alphabet() -> list[str]:
-    """The character by which a byte-level vocabulary writes each byte: its own where that is printable, else the next from U+0100."""
+def byte_alphabet() -> str:
+    """The characters by which a byte-level vocabulary writes the 256 bytes: a byte's own where that is printable, else the next from U+0100."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
-    return [chr(b) if b in set(plain) else chr(256 + rest.index(b)) for b in range(256)]
+    return "".join(chr(b) if b in set(plain) else chr(256 + rest.index(b)) for b in range(256))
 
 
 def added_tokens(content: str) -> dict[bytes, int]:
@@ -110,22 +110,27 @@ def added_tokens(content: str) -> dict[bytes, int]:
     return {t["content"].encode(): t["id"] for t in tokens}
 
 
-def equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the bytes of spans at a and at b, of the same sizes, are equal."""
-    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
-    out, more, at = np.ones(len(a), bool), np.flatnonzero((a != b) & (size > 0)), 0
+def equal_spans(data: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes of spans at a in data and at b in another array, of the same sizes, are equal. Both arrays end in eight bytes more."""
+    x, y = (np.ndarray((len(d) - 7,), "<u8", d, 0, (1,)) for d in (data, other))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+    out, more, at = np.ones(len(a), bool), np.flatnonzero(size > 0), 0
     while len(more):
-        low = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)[np.minimum(size[more] - at, 8)]
-        out[more[((eight[a[more] + at] ^ eight[b[more] + at]) & low) != 0]] = False
+        out[more[((x[a[more] + at] ^ y[b[more] + at]) & masks[np.minimum(size[more] - at, 8)]) != 0]] = False
         at += 8
         more = more[(size[more] > at) & out[more]]
     return out
 
 
+def _grown(x: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The array, or a copy with room for `more` beyond the `used` ones and eight."""
+    return x if used + more + 8 <= len(x) else np.concatenate([x, np.zeros(max(len(x), more + 8), x.dtype)])
+
+
 class Encoder:
-    """Ids of whole texts, equal to the tokenizer's, by encoding each distinct pre-token once. content: that of a tokenizer file; encode_special_tokens as the tokenizer's: added tokens in texts are plain text."""
+    """Ids of whole texts, equal to the tokenizer's, by encoding each distinct pre-token once. content: that of a tokenizer file; encode_special_tokens as the tokenizer's: added tokens in texts are plain text; classes: char_classes(), if known."""
 
-    def __init__(self, content: str, encode_special_tokens: bool = True):
+    def __init__(self, content: str, encode_special_tokens: bool = True, classes: np.ndarray | None = None):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(content)
@@ -139,32 +144,56 @@ class Encoder:
         self.added = {} if encode_special_tokens else every
         literal = b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))  # the longest of those that begin at a place
         self.literal, self.anywhere = (re.compile(literal), re.compile(b"(?=" + literal + b")")) if literal else (None, None)
-        self.classes = char_classes()
+        self.classes = char_classes() if classes is None else classes
         self.clear()
 
     def clear(self):
-        self.seen: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.at: list[int] = []
-        self.size: list[int] = []
-
-    def _one(self, piece: bytes) -> list[int]:
-        if piece in self.added:
-            return [self.added[piece]]
-        return [t.id for t in self.model.tokenize("".join(map(self.alphabet.__getitem__, piece)))]
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        got = [self._one(p) for p in pieces]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        need = self.used + int(size.sum())
-        if need > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), need), np.uint32)])
-        self.flat[self.used : need] = np.fromiter((i for g in got for i in g), np.uint32, need - self.used)
-        self.seen.update(zip(pieces, range(len(self.at), len(self.at) + len(got)), strict=True))
-        self.at.extend((self.used + np.cumsum(size) - size).tolist())
-        self.size.extend(size.tolist())
-        self.used = need
+        """Forgets all pre-tokens: their hashes in order and entries, and each entry's bytes and ids."""
+        self.hash, self.entry = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.known = self.n_bytes = self.n_ids = 0
+        self.bytes, self.ids = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint32)
+        self.byte_at, self.byte_size, self.id_at, self.id_size = (np.zeros(1 << 16, np.int64) for _ in range(4))
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """New entries of pre-tokens."""
+        text = b"".join(pieces)
+        width = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(width)
+        written, one = text.decode("latin-1").translate(self.alphabet), self.model.tokenize
+        got = [one(written[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+        ids = [[t.id for t in g] for g in got] if self.added else None
+        for token, i in self.added.items():
+            for k in [k for k, p in enumerate(pieces) if p == token]:
+                ids[k] = [i]
+        size = np.fromiter(map(len, ids or got), np.int64, len(pieces))
+        flat = [i for g in ids for i in g] if ids else [t.id for g in got for t in g]
+        n = len(pieces)
+        self.bytes, self.ids = _grown(self.bytes, self.n_bytes, len(text)), _grown(self.ids, self.n_ids, len(flat))
+        self.byte_at, self.byte_size, self.id_at, self.id_size = (_grown(x, self.known, n) for x in (self.byte_at, self.byte_size, self.id_at, self.id_size))
+        own = np.arange(self.known, self.known + n)
+        self.bytes[self.n_bytes : self.n_bytes + len(text)] = np.frombuffer(text, np.uint8)
+        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
+        self.byte_at[own], self.byte_size[own] = self.n_bytes + ends - width, width
+        self.id_at[own], self.id_size[own] = self.n_ids + np.cumsum(size) - size, size
+        self.known, self.n_bytes, self.n_ids = self.known + n, self.n_bytes + len(text), self.n_ids + len(flat)
+        return own
+
+    def _entries(self, raw: bytes, data: np.ndarray, keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The entry of each pre-token, of distinct hashes in order; new ones are learned. One whose hash another pre-token has gets an entry of its own."""
+        k = np.searchsorted(self.hash, keys)
+        hit = np.zeros(len(keys), bool)
+        inside = k < len(self.hash)
+        hit[inside] = self.hash[k[inside]] == keys[inside]
+        out = np.full(len(keys), -1)
+        out[hit] = self.entry[k[hit]]
+        old = out[hit]
+        out[np.flatnonzero(hit)[(self.byte_size[old] != size[hit]) | ~equal_spans(data, at[hit], self.bytes, self.byte_at[old], np.minimum(size[hit], self.byte_size[old]))]] = -1
+        miss = np.flatnonzero(out < 0)
+        if len(miss):
+            out[miss] = self._learn([raw[a : a + n] for a, n in zip(at[miss].tolist(), size[miss].tolist(), strict=True)])
+            new = ~hit[miss]
+            self.hash, self.entry = np.insert(self.hash, k[miss[new]], keys[miss[new]]), np.insert(self.entry, k[miss[new]], out[miss[new]])
+        return out
 
     def _literals(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code point starts and ends of the added tokens in texts; off in code points."""
@@ -194,22 +223,18 @@ class Encoder:
         first = np.searchsorted(starts, off)
         starts = np.append(starts, len(cps)) if len(cps) == len(data) else np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[np.append(starts, len(cps))]
         starts, size = starts[:-1], np.diff(starts)  # in bytes
-        keys, where, inv = np.unique(span_hashes(data, starts, starts + size), return_index=True, return_inverse=True)
-        odd = np.flatnonzero((size != size[where][inv]) | ~equal_spans(data, starts, starts[where][inv], np.minimum(size, size[where][inv])))
-        inv[odd] = len(where) + np.arange(len(odd))  # pre-tokens whose hash another one has stand for themselves
-        where = np.concatenate([where, odd])
-        if len(self.at) > MEMO:
+        if self.known > MEMO:
             self.clear()
-        raw = data.tobytes()
-        pieces = [raw[a : a + n] for a, n in zip(starts[where].tolist(), size[where].tolist(), strict=True)]
-        new = list(dict.fromkeys(p for p in pieces if p not in self.seen))
-        if new:
-            self._learn(new)
-        place = list(map(self.seen.__getitem__, pieces))
-        at = np.fromiter(map(self.at.__getitem__, place), np.int64, len(place))[inv]
-        size = np.fromiter(map(self.size.__getitem__, place), np.int64, len(place))[inv]
+        keys, where, inv = np.unique(span_hashes(data, starts, starts + size), return_index=True, return_inverse=True)
+        raw, padded = data.tobytes(), np.concatenate([data, np.zeros(8, np.uint8)])
+        entry = self._entries(raw, padded, keys, starts[where], size[where])
+        odd = np.flatnonzero((size != size[where][inv]) | ~equal_spans(padded, starts, padded, starts[where][inv], np.minimum(size, size[where][inv])))
+        if len(odd):  # pre-tokens whose hash another one of the batch has stand for themselves
+            entry = np.concatenate([entry, self._learn([raw[a : a + n] for a, n in zip(starts[odd].tolist(), size[odd].tolist(), strict=True)])])
+            inv[odd] = len(where) + np.arange(len(odd))
+        at, size = self.id_at[entry][inv], self.id_size[entry][inv]
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
+        ids = self.ids[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
         return ids, total[first]
 
 
@@ -262,7 +287,10 @@ def _packer(shared, text, capacity, max_segments, max_loss, end_id, extra, loss)
     def run(batches):
         from pyspark import TaskContext
 
-        encode = Encoder(shared.value, encode_special_tokens=False)
+        home = shared.value  # one object a worker, whatever the task
+        if "encoder" not in home:
+            home["encoder"] = Encoder(home["content"], encode_special_tokens=False, classes=home["classes"])
+        encode = home["encoder"]
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 40
         names = [*extra, *ADDED]
@@ -293,7 +321,7 @@ def _packer(shared, text, capacity, max_segments, max_loss, end_id, extra, loss)
         kinds = None
         for batch in batches:
             kinds = [batch.schema.field(c).type for c in extra]
-            for part in slices(batch, text, 1_000_000):
+            for part in slices(batch, text, 3_000_000):
                 ids, off = encode(part.column(text))
                 cols = [part.column(c).to_pylist() for c in extra]
                 for i in range(part.num_rows):
@@ -341,12 +369,12 @@ def pack_documents(
     if min(capacity, max_segments, max_loss) < 1:
         raise ValueError("limits must be positive")
     with open(tokenizer_path, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        shared = docs.sparkSession.sparkContext.broadcast({"content": f.read(), "classes": char_classes()})
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     inner = docs.select(*keep, F.col(text).alias("_text"), *([F.col(loss).alias("_loss")] if loss else []))
     run = _packer(shared, "_text", capacity, max_segments, max_loss, end_id, list(keep), "_loss" if loss else None)
     added = ", ".join(f"{c} {'binary' if c in ('ids', 'loss_mask') else 'long'}" for c in ADDED)
-    return inner.mapInArrow(run, f"{kinds}, {added}")
+    return inner.mapInArrow(tidied(run), f"{kinds}, {added}")
 
 
 def default_tokenizer() -> str:
