@@ -775,6 +775,22 @@ def test_shared_signatures_across_batches():
         assert set(got) == want and 0 < len(want) < len(set(zip(sig.tolist(), cid.tolist(), strict=True)))
 
 
+def test_long_sketches(frame):
+    """A sketch folds into that of half as many cells, and pairs on both sides of a power of two are compared, linked or not."""
+    rng = np.random.default_rng(5)
+    tok = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
+    big = np.array(setjoin.long_sketch(tok), np.int64).view(np.uint64)
+    off = np.array([0, len(tok)])
+    assert len(big) * 64 == 4096 and setjoin.long_sketch(tok[:1024]) is None
+    assert ((big[:32] ^ big[32:]) == setjoin.sketches(tok, off, 2048)[0]).all()
+    assert (big.reshape(4, 16)[0] ^ big.reshape(4, 16)[1] ^ big.reshape(4, 16)[2] ^ big.reshape(4, 16)[3] == setjoin.sketches(tok, off)[0]).all()
+    words = [f"w{i}" for i in range(2040)]
+    texts = {1: words, 2: words + [f"x{i}" for i in range(60)], 3: words[:1100] + [f"y{i}" for i in range(1000)], 4: words[:1030], 5: words[:1010], 6: words[500:1530]}
+    got = setjoin.cluster(frame([(i, " ".join(t), None, None) for i, t in texts.items()])).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components({i: " ".join(t) for i, t in texts.items()})
+    assert {r["doc_id"]: r["component_id"] for r in got}[2] == 1
+
+
 def test_join_of_very_long_texts(frame):
     """Texts beyond the size of a piece, and sets in high bands."""
     base = [f"w{i}" for i in range(200_000)]
