@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.llm._text import Tables
+from telemill.llm._text import Tables, tidied
 
 BLOCK_ROWS = 16384
 SAMPLE = 8192
@@ -202,11 +202,11 @@ def _one_length(vectors: DataFrame, queries: DataFrame, width: int, k: int, tabl
 
         return run
 
-    rows = vectors.mapInArrow(coded, f"vec_id long, vector {kind}, code long")
+    rows = vectors.mapInArrow(tidied(coded), f"vec_id long, vector {kind}, code long")
 
     def index(numbers) -> tuple[DataFrame, DataFrame]:
         """Index rows with their block, and the table of the number of blocks: at most m * 2^BUCKET_BITS rows."""
-        own = rows.mapInArrow(indexed(numbers), f"j int, g long, vec_id long, vector {kind}, code long")
+        own = rows.mapInArrow(tidied(indexed(numbers)), f"j int, g long, vec_id long, vector {kind}, code long")
         sizes = tables.keep(own.groupBy("j", "g").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")))
         return own.join(F.broadcast(sizes), ["j", "g"]).withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks"), sizes
 
@@ -263,7 +263,7 @@ def _one_length(vectors: DataFrame, queries: DataFrame, width: int, k: int, tabl
 
     def round_of(asked: DataFrame, numbers, whole: bool = False) -> DataFrame:
         own, sizes = index(numbers)
-        to = asked.mapInArrow(probes(numbers, whole), f"j int, g long, vec_id long, vector {kind}, code long, bound double, radius int, most int").join(F.broadcast(sizes), ["j", "g"])
+        to = asked.mapInArrow(tidied(probes(numbers, whole)), f"j int, g long, vec_id long, vector {kind}, code long, bound double, radius int, most int").join(F.broadcast(sizes), ["j", "g"])
         to = to.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         found = own.groupBy("j", "g", "b").cogroup(to.groupBy("j", "g", "b")).applyInArrow(block, "query_id long, vec_id long, score double, probed long")
         total = Window.partitionBy("query_id")
@@ -271,7 +271,7 @@ def _one_length(vectors: DataFrame, queries: DataFrame, width: int, k: int, tabl
         return tables.keep(best.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_probed"))
 
     once = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    asked = tables.keep(once.mapInArrow(bounded, f"vec_id long, vector {kind}, code long, bound double"))
+    asked = tables.keep(once.mapInArrow(tidied(bounded), f"vec_id long, vector {kind}, code long, bound double"))
     if first:  # else the first round would see what the next one does
         tenth = round_of(asked, [0]).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("_near"))
         asked = tables.keep(asked.join(tenth, "vec_id", "left").withColumn("bound", F.least("bound", "_near")).drop("_near"))

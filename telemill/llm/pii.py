@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm._text import Parts, Tables, flat, slices
+from telemill.llm._text import Parts, Tables, flat, slices, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -164,7 +164,7 @@ def _edges(batches):
 
 def learn(docs: DataFrame, rounds: int = 2, min_seeds: int = 5, min_confidence: float = 0.7, max_patterns: int = 200_000) -> dict[int, int] | Parts:
     """Accepted patterns (hash: kind index); where they are more than `max_patterns`, parts of (pattern, kind) of about so many each."""
-    edges = docs.select("text").mapInArrow(_edges, "pattern long, instance long, kind int")
+    edges = docs.select("text").mapInArrow(tidied(_edges), "pattern long, instance long, kind int")
     tables = Tables(docs.sparkSession)
     edges = tables.keep(edges.groupBy("pattern", "instance", "kind").agg(F.lit(1).alias("one")).drop("one"))
     seeds = edges.filter("kind >= 0")
@@ -259,7 +259,7 @@ def extract(docs: DataFrame, model: dict[int, int] | Parts | None = None, redact
                 cols = [texts if c == "text" else part.column(c) for c in names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(found, _FOUND)], [*names, "pii"])
 
-    return docs.mapInArrow(run, f"{kinds}, pii array<struct<kind: string, start: bigint, end: bigint, base: boolean>>")
+    return docs.mapInArrow(tidied(run), f"{kinds}, pii array<struct<kind: string, start: bigint, end: bigint, base: boolean>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm._text import flat, lower_ascii, no_clash, slices
+from telemill.llm._text import flat, lower_ascii, no_clash, slices, tidied
 
 
 @dataclass(frozen=True)
@@ -188,7 +188,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, keep: tuple[str
                 found = [[{"kind": rules[o].kind, "start": a, "end": b} for a, o, b in sorted(x)] for x in out]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(found, found_type)], [*keep, "found"])
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, found array<struct<kind: string, start: bigint, end: bigint>>")
+    return docs.select(*keep, "text").mapInArrow(tidied(run), f"{kinds}, found array<struct<kind: string, start: bigint, end: bigint>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -47,7 +47,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm._text import U64, Tables, flat, mix, no_clash, slices, span_hashes
+from telemill.llm._text import U64, Tables, flat, mix, no_clash, slices, span_hashes, tidied
 
 SHINGLE = 5
 SKETCH_BITS = 1024
@@ -290,7 +290,7 @@ def classes(docs: DataFrame, keep: tuple[str, ...], salt: int) -> DataFrame:
                     [*keep, "cid", "check", "n", "sketch", "long"],
                 )
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, cid long, check long, n long, sketch array<long>, long array<long>")
+    return docs.select(*keep, "text").mapInArrow(tidied(run), f"{kinds}, cid long, check long, n long, sketch array<long>, long array<long>")
 
 
 def _index(salt, percent):
@@ -429,13 +429,13 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int, salt: int, tables:
     """
     ends = pairs.select("cid").union(pairs.select(F.col("pivot").alias("cid"))).distinct()
     marks = docs.sparkSession.sparkContext.broadcast(_class_map(ends))
-    texts = docs.select("text").mapInArrow(_texts_of(marks, salt), "cid long, blob binary").groupBy("cid").agg(F.first("blob").alias("blob"))
+    texts = docs.select("text").mapInArrow(tidied(_texts_of(marks, salt)), "cid long, blob binary").groupBy("cid").agg(F.first("blob").alias("blob"))
     texts = tables.keep(texts)
     n = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
     partners = pairs.join(n, "pivot").select("pivot", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), "cid")
     heads = n.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("cid"))
     rows = partners.union(heads).join(texts, "cid").select("pivot", "part", (F.col("cid") != F.col("pivot")).alias("partner"), "cid", "blob")
-    found = tables.keep(rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "partner").drop("partner").mapInArrow(_verify(percent), "a long, b long"))
+    found = tables.keep(rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "partner").drop("partner").mapInArrow(tidied(_verify(percent)), "a long, b long"))
     marks.unpersist()
     tables.drop(texts)
     return found
@@ -516,9 +516,9 @@ def _across(percent):
 
 def links(docs: DataFrame, slim: DataFrame, percent: int, salt: int, tables: Tables) -> DataFrame:
     """(cid, label) of linked classes, from verified links that connect every component (not every link within one). slim: (cid, n, sketch, long), a row a class."""
-    signed = docs.select("text").mapInArrow(_index(salt, percent), "sig long, pivot long, cid long")
+    signed = docs.select("text").mapInArrow(tidied(_index(salt, percent)), "sig long, pivot long, cid long")
     dealt = signed.repartition(F.when(F.col("pivot").isNull(), F.col("sig")).otherwise(F.xxhash64("sig", "cid")))
-    live = tables.keep(dealt.sortWithinPartitions("sig", "cid").mapInArrow(_shared, "sig long, cid long").distinct())
+    live = tables.keep(dealt.sortWithinPartitions("sig", "cid").mapInArrow(tidied(_shared), "sig long, cid long").distinct())
     # a passage that the same classes share gives many signatures of the same classes: one of them says all
     mark = lambda seed: F.sum(F.xxhash64("cid", F.lit(seed)).cast("decimal(38,0)"))
     alike = live.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), mark(1).alias("x"), mark(2).alias("y"))
@@ -537,7 +537,7 @@ def links(docs: DataFrame, slim: DataFrame, percent: int, salt: int, tables: Tab
     rows = rows.join(split, "sig").join(slim.drop("long"), "cid").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
     block = F.pmod(F.xxhash64("cid"), F.col("blocks"))
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", "part", (block == F.col("part")).alias("own"), "n", "label", "cid", "sketch")
-    more = rows.repartition("sig", "part").sortWithinPartitions("sig", "part", F.desc("own")).mapInArrow(_across(percent), "pivot long, cid long").distinct()
+    more = rows.repartition("sig", "part").sortWithinPartitions("sig", "part", F.desc("own")).mapInArrow(tidied(_across(percent)), "pivot long, cid long").distinct()
     done = tried.select(F.least("pivot", "cid").alias("pivot"), F.greatest("pivot", "cid").alias("cid"))
     more = tables.keep(plausible(more.join(done, ["pivot", "cid"], "left_anti"), slim, percent))
     tables.drop(held)
