@@ -28,8 +28,9 @@ def as_text(v) -> Column:
 
 def truthy(v) -> Column:
     """Neither absent, null, false, a zero, '' nor an empty list or object; the text "0" is something."""
-    text = F.coalesce(F.to_json(v), F.lit("null"))
-    return ~text.isin('""', "false", "0", "0.0", "-0.0", "{}", "[]", "null") & ~text.rlike(r"\A-?0+(?:\.0*)?(?:[eE].*)?\z")
+    text = as_text(v)
+    other = ~text.isin("false", "0", "0.0", "-0.0", "{}", "[]") & ~text.rlike(r"\A-?0+(?:\.0*)?(?:[eE].*)?\z")
+    return F.coalesce(F.when(F.schema_of_variant(v) == "STRING", text != "").otherwise(other), F.lit(False))
 
 
 def first_truthy(*vs) -> Column:

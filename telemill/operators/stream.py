@@ -32,9 +32,11 @@ def folded(lines: DataFrame) -> DataFrame:
     at = F.col("at") if "at" in lines.columns else F.lit(None).cast("double")
     known = F.col("event").isNotNull()
     e = opened(events(lines.withColumn("at", at).repartition("id")))
+    # the higher-order function keeps this projection out of whole-stage code, where it would be one method too long to be compiled
+    seq = F.transform(F.array("seq"), lambda s: s)[0]
     e = e.select(
         "id",
-        "seq",
+        seq.alias("seq"),
         "at",
         "is_done_mark",
         known.alias("known"),
