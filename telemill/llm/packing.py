@@ -38,8 +38,8 @@ from telemill.llm._text import U64, codepoints, flat, no_clash, slices, span_has
 LETTER, NUMBER, OTHER, SPACE = range(4)
 #: Items packed together at most; bounds a task's memory (their ids are held).
 WINDOW_ITEMS = 4096
-#: Distinct pre-tokens that a worker remembers, over its tasks, before it starts afresh: some 80 MB.
-MEMO = 1_200_000
+#: Distinct pre-tokens that a worker remembers, over its tasks, before it starts afresh: some 70 MB.
+MEMO = 1_000_000
 
 
 def char_classes() -> np.ndarray:
@@ -321,7 +321,7 @@ def _packer(shared, text, capacity, max_segments, max_loss, end_id, extra, loss)
         kinds = None
         for batch in batches:
             kinds = [batch.schema.field(c).type for c in extra]
-            for part in slices(batch, text, 3_000_000):
+            for part in slices(batch, text, 1_500_000):
                 ids, off = encode(part.column(text))
                 cols = [part.column(c).to_pylist() for c in extra]
                 for i in range(part.num_rows):
