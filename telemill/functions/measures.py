@@ -46,13 +46,13 @@ def generation_rates(prompt_tokens, prompt_s, output_tokens, decode_s, wall_s, t
     }
 
 
-#: What a value in a panel's unit is divided by.
-UNITS = {"": 1.0, "percent": 0.01, "kib": 1024.0, "mib": 1024.0**2, "gib": 1024.0**3, "ms": 0.001}
+#: What a value is multiplied by for a panel's unit.
+UNITS = {"": 1.0, "percent": 100.0, "kib": 2.0**-10, "mib": 2.0**-20, "gib": 2.0**-30, "ms": 1000.0}
 
 
 def scaled(value, unit: str) -> Column:
     """A value in a panel's unit; an unknown unit is an error."""
-    return value / F.lit(UNITS[unit])
+    return value * F.lit(UNITS[unit])
 
 
 def offload_percent(vram, size) -> Column:
