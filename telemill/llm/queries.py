@@ -9,6 +9,7 @@ from telemill.llm.neighbours import op5_nearest
 from telemill.llm.packing import op9_packing
 from telemill.llm.pii import op3_pii
 from telemill.llm.quality import OP10_SQL, op10_quality_rules
+from telemill.llm.runs import op13_periodic_runs
 from telemill.llm.secrets import op7_secret_scan
 from telemill.llm.setjoin import op8_ngram_join
 from telemill.llm.toxicity import op6_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
