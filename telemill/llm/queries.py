@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from telemill.llm.annuli import OP12_SQL, op12_top_k
 from telemill.llm.chat import OP4_SQL, op4_chat_formatting
+from telemill.llm.dualtree import OP11_SQL, op11_hard_negatives
 from telemill.llm.langid import op1_language_id
 from telemill.llm.mixing import OP2_SQL, op2_mixing
 from telemill.llm.neighbours import op5_nearest
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_top_k": op12_top_k,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -32,4 +36,6 @@ ORACLES: dict[str, str] = {
     "op2_mixing": OP2_SQL,
     "op4_chat_formatting": OP4_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_top_k": OP12_SQL,
 }
