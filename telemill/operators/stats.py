@@ -70,13 +70,11 @@ def drift(rows: DataFrame, speed: str, order: str, *by: str) -> DataFrame:
     """Percent change of mean speed from the first half (at least one) to the rest, in order, without nulls; one value: 0, none: null."""
     from telemill.sources.tables import running
 
-    groups = rows.groupBy(*by).agg(F.count(speed).alias("_n"))
-    r = running(rows.filter(F.col(speed).isNotNull()).withColumn("_one", F.lit(1)), "_one", by, (order,), F.floor(F.col(order) / 65536))
-    r = r.join(groups, list(by)) if by else r.crossJoin(groups)  # one row
+    r = running(rows.withColumn("_one", F.col(speed).isNotNull().cast("int")), "_one", by, (order,), F.floor(F.col(order) / 65536)).withColumn("_by", F.struct(F.lit(0), *by))
+    r = r.join(rows.groupBy(F.struct(F.lit(0), *by).alias("_by")).agg(F.count(speed).alias("_n")), "_by")
     head = F.col("running") <= F.greatest(F.floor(F.col("_n") / 2), F.lit(1))
     a, b = F.avg(F.when(head, F.col(speed))), F.avg(F.when(~head, F.col(speed)))
-    g = r.groupBy(*by).agg(((F.coalesce(b, a) - a) / F.nullif(a, F.lit(0.0)) * 100).alias("drift_percent"))
-    return groups.drop("_n").join(g, list(by), "left") if by else g
+    return r.groupBy(*by).agg(((F.coalesce(b, a) - a) / F.nullif(a, F.lit(0.0)) * 100).alias("drift_percent"))
 
 
 def energy(rows: DataFrame, power: str, at: str, *by: str) -> DataFrame:

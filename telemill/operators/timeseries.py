@@ -32,15 +32,16 @@ def within(samples: DataFrame, at: str, secs: int) -> DataFrame:
 
 def beside(samples: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...], later: bool = False) -> DataFrame:
     """samples with `_near`: a struct of the columns of the sample before (or after) in the series, null if there is none."""
-    d = samples.withColumn("_day", F.to_date("ts"))
+    d = samples.withColumn("_cell", F.struct(*keys, F.to_date("ts").alias("_day")))  # never null itself, so that it joins
     own = F.struct(*columns)
     edge = (F.min_by if later else F.max_by)(own, F.col("ts"))
-    days = d.groupBy(*keys, "_day").agg(edge.alias("_edge"))
-    series = Window.partitionBy(*keys).orderBy(F.desc("_day") if later else F.asc("_day"))
+    days = d.groupBy("_cell").agg(edge.alias("_edge"))
+    day = F.col("_cell._day")
+    series = Window.partitionBy(*[f"_cell.{k}" for k in keys]).orderBy(day.desc() if later else day.asc())
     days = days.withColumn("_edge", F.lag("_edge").over(series))
-    inside = Window.partitionBy(*keys, "_day").orderBy(F.desc("ts") if later else F.asc("ts"))
+    inside = Window.partitionBy("_cell").orderBy(F.desc("ts") if later else F.asc("ts"))
     near = F.lag(own).over(inside)
-    return d.join(days, [*keys, "_day"]).withColumn("_near", F.coalesce(near, "_edge")).drop("_day", "_edge")
+    return d.join(days, "_cell").withColumn("_near", F.coalesce(near, "_edge")).drop("_cell", "_edge")
 
 
 def _step() -> Column:
@@ -118,8 +119,8 @@ def multi_select(vector: DataFrame, label: str, chosen: list[str] | None, needs_
 
 
 def ratio(left: DataFrame, right: DataFrame, on: tuple[str, ...], floor: float | None = None) -> DataFrame:
-    """One-to-one matching on labels; the divisor may have a floor."""
-    j = left.join(right.withColumnRenamed("value", "_d"), list(on))
+    """One-to-one matching on labels, of which both sides may lack one; the divisor may have a floor."""
+    j = left.withColumn("_on", F.struct(*on)).join(right.select(F.struct(*on).alias("_on"), F.col("value").alias("_d")), "_on")
     d = clamp_min(F.col("_d"), floor) if floor is not None else F.nullif(F.col("_d"), F.lit(0.0))
     return j.select(*on, (F.col("value") / d).alias("value"))
 
@@ -141,7 +142,7 @@ def outer_table(frames: dict[str, DataFrame], key: str) -> DataFrame:
 
 
 def also_in(vector: DataFrame, other: DataFrame, on: tuple[str, ...]) -> DataFrame:
-    return vector.join(other.select(*on).distinct(), list(on), "left_semi")
+    return vector.withColumn("_on", F.struct(*on)).join(other.select(F.struct(*on).alias("_on")), "_on", "left_semi").drop("_on")
 
 
 def label_values(samples: DataFrame, label: str) -> DataFrame:
@@ -180,8 +181,8 @@ def alerts(conditions: DataFrame, keys: tuple[str, ...], hold_seconds: int) -> D
 
 def firing_at(conditions: DataFrame, keys: tuple[str, ...], hold_seconds: int, at: str) -> DataFrame:
     """Series whose current run (up to `at`) has held long enough."""
-    upto = conditions.filter(F.col("ts") <= at_time(at))
+    upto = conditions.filter(F.col("ts") <= at_time(at)).withColumn("_series", F.struct(*keys))
     last_no = F.max(F.when(~F.col("firing"), F.col("ts")))
-    g = upto.groupBy(*keys).agg(last_no.alias("_no"), F.max(F.when(F.col("firing"), F.col("ts"))).alias("_yes"))
-    first = upto.filter("firing").join(g, list(keys)).filter("(_no is null or ts > _no) and _yes is not null").groupBy(*keys).agg(F.min("ts").alias("since"))
+    g = upto.groupBy("_series").agg(last_no.alias("_no"))
+    first = upto.filter("firing").join(g, "_series").filter("_no is null or ts > _no").groupBy(*keys).agg(F.min("ts").alias("since"))
     return first.filter(F.unix_micros(at_time(at)) - F.unix_micros("since") >= hold_seconds * 1_000_000)

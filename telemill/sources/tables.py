@@ -43,13 +43,13 @@ def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running(df: DataFrame, value: str, keys: tuple[str, ...], order: tuple[str, ...], stretch) -> DataFrame:
-    """df with `running`: the sum of a value so far in each series. Stretches of the order (such as days) are summed first, so that no series is one task."""
-    d = df.withColumn("_day", stretch)
-    days = d.groupBy(*keys, "_day").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    """df with `running`: the sum of a value so far in each series. Stretches of the order (such as days) are summed first, so that no series is one task; keys may be null, which is a series too."""
+    d = df.withColumn("_cell", F.struct(*keys, stretch.alias("_day")))  # never null itself, so that it joins
+    days = d.groupBy("_cell").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*[f"_cell.{k}" for k in keys]).orderBy("_cell._day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*keys, "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return d.join(days, [*keys, "_day"]).withColumn("running", F.col("_base") + F.sum(value).over(inside)).drop("_day", "_base")
+    inside = Window.partitionBy("_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return d.join(days, "_cell").withColumn("running", F.col("_base") + F.sum(value).over(inside)).drop("_cell", "_base")
 
 
 def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
