@@ -11,7 +11,9 @@ A row is one document; repeated rows are documents each. Null texts have no word
 Hosts may be null. An empty table gives no rows. Ties: a line in just as many
 documents as the limit stays. A host or line with a third of all rows meets only
 partial aggregates and a join whose other side has one row a (host, line). The
-(host, line, document) rows are written once, as a table in the shared folder.
+(host, line, document, place) rows are written once, as a table in the shared folder.
+Lines are taken out of a text by their places, so that time grows with the number of
+lines, removed or not. Equal (host, text) are told apart by two 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,11 +39,6 @@ def _lines():
     return F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
 
 
-def _line_table():
-    """(hash, words) of each of `_lines`."""
-    return F.transform("_lines", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words(x)).alias("n")))
-
-
 def base_stats(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
@@ -72,7 +69,7 @@ def base_stats(docs: DataFrame) -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.when(F.col("_odd"), covered).otherwise(F.lit(0)).cast("long"),
         }
-    ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))).drop("_w", "_h", "_g", "_odd", "_p", "_m")
+    ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))).drop("_w", "_h", "_lines", "_g", "_odd", "_p", "_m")
 
 
 def normal_line(line):
@@ -87,30 +84,31 @@ def assess(docs: DataFrame, host: str = "source", max_docs: int = 20, max_share:
     Lines of under three words are never removed: they are labels and list
     marks. Added columns replace those of the same name.
     """
-    d = docs.withColumn("_host", F.col(host))
-    d = base_stats(d)
-    # line table of a document: (hash, words) in order; _line_id identifies equal rows, which have equal verdicts
-    d = d.withColumn("_ln", _line_table())
-    d = d.withColumn("_row", F.xxhash64("_host", "text")).drop("_lines")
-    held = docs.withColumn("_host", F.col(host)).withColumn("_row", F.xxhash64("_host", "text"))
-    held = held.withColumn("_lines", _lines()).withColumn("_ln", _line_table())
-    held = held.select("_host", "_row", F.explode(F.array_distinct(F.transform(F.filter("_ln", lambda x: x["n"] >= 3), lambda x: x["h"]))).alias("_line"))
-    held = Tables(docs.sparkSession).keep(held.groupBy("_host", "_line", "_row").agg(F.count(F.lit(1)).alias("_n")))
-    counts = held.groupBy("_host", "_line").agg(F.sum("_n").alias("_docs"))
-    size = docs.groupBy(F.col(host).alias("_sh")).agg((F.count(F.lit(1)) * max_share).alias("_size"))
+    row = F.struct(F.xxhash64("_host", "text").alias("a"), F.xxhash64(F.lit("row"), "text", "_host").alias("b"))
+    docs = docs.withColumn("_host", F.col(host)).withColumn("_row", row)
+    held = docs.select("_host", "_row", F.monotonically_increasing_id().alias("_doc"), F.posexplode(F.split("text", "\n", -1)).alias("_at", "_line"))
+    held = held.withColumn("_n", F.regexp_count("_line", F.lit(r"[^\x20\x09-\x0D]++"))).filter("_n >= 3").withColumn("_line", F.xxhash64(normal_line(F.col("_line"))))
+    held = Tables(docs.sparkSession).keep(held)
+    counts = held.select("_host", "_line", "_doc").distinct().groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs"))
+    size = docs.groupBy(F.col("_host").alias("_sh")).agg((F.count(F.lit(1)) * max_share).alias("_size"))
     common = counts.filter(F.col("_docs") > max_docs).join(size, F.col("_host").eqNullSafe(F.col("_sh"))).filter("_docs > _size").select(F.col("_host").alias("_ch"), F.col("_line").alias("_cl"))
     bad = held.join(common, held["_host"].eqNullSafe(F.col("_ch")) & (held["_line"] == F.col("_cl")), "left_semi")
-    bad = bad.groupBy("_row").agg(F.collect_set("_line").alias("_bad")).withColumnRenamed("_row", "_br")
+    # equal rows have equal lines, so their places are one set
+    bad = bad.groupBy(F.col("_row").alias("_br")).agg(F.collect_set(F.struct("_at", "_n")).alias("_bad"))
+    d = base_stats(docs)
     d = d.join(bad, d["_row"] == bad["_br"], "left").drop("_br")
-    keep = lambda x: ~F.coalesce(F.array_contains("_bad", x["h"]), F.lit(False))
-    left = F.filter("_ln", keep)
-    d = d.withColumn("n_removed_lines", (F.size("_ln") - F.size(left)).cast("long"))
-    d = d.withColumn("n_kept_words", F.aggregate(left, F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    gone = F.coalesce(F.aggregate("_bad", F.lit(0).cast("long"), lambda a, x: a + x["_n"]), F.lit(0))
+    d = d.withColumn("n_removed_lines", F.coalesce(F.size("_bad"), F.lit(0)).cast("long"))
+    d = d.withColumn("n_kept_words", F.col("n_words") - gone)
     d = d.withColumn("depleted", (F.col("n_kept_words") < MIN_WORDS) | (F.col("n_kept_words") < min_kept * F.col("n_words")))
     d = d.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
-    lines = F.filter(F.split(F.col("text"), "\n", -1), lambda x: ~F.coalesce(F.array_contains("_bad", F.xxhash64(normal_line(x))), F.lit(False)))
-    d = d.withColumn("clean_text", F.when(F.col("kept"), F.when(F.col("n_removed_lines") > 0, F.array_join(lines, "\n")).otherwise(F.col("text"))))
-    return d.drop("_host", "_row", "_ln", "_bad")
+    lines = F.split("text", "\n", -1)
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform("_bad", lambda x: x["_at"]))
+    d = d.withColumn("_lines", F.when(F.col("kept") & (F.col("n_removed_lines") > 0), lines))
+    d = d.withColumn("_places", F.when(F.col("_lines").isNotNull(), places))
+    clean = F.array_join(F.transform("_places", lambda i: F.get("_lines", i)), "\n")
+    d = d.withColumn("clean_text", F.when(F.col("kept"), F.when(F.col("n_removed_lines") > 0, clean).otherwise(F.col("text"))))
+    return d.drop("_host", "_row", "_bad", "_lines", "_places")
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -998,3 +998,28 @@ def test_quality_repeated_rows_and_null_hosts(frame):
     got = quality.assess(frame(rows).withColumn("kept", F.lit("mine"))).collect()
     assert len(got) == 23 and all(r["n_removed_lines"] == 2 for r in got if r["doc_id"] == 1)  # repeated documents are documents
     assert not any(r["kept"] for r in got)
+
+
+def test_quality_is_linear_in_removed_lines(frame):
+    """Documents of thousands of lines that all of them hold; the rest of each text stays in order."""
+    import time
+
+    took = []
+    for n in (2000, 8000, 16000):
+        common = [f"common line number {'x' * (k % 50)} {''.join(chr(97 + int(c)) for c in str(k))}" for k in range(n)]
+        own = lambda i: [f"own {''.join(chr(97 + int(c)) for c in str(i))} {''.join(chr(97 + int(c)) for c in str(k))}" for k in range(3 * n)]
+        rows = []
+        for i in range(24):
+            mine = own(1000 + i)
+            rows.append((i, "\n".join(x for k in range(n) for x in (mine[3 * k], common[k], "", mine[3 * k + 1], mine[3 * k + 2])), None, "h"))
+        docs = frame(rows).repartition(2).cache()
+        docs.count()
+        began = time.time()
+        got = {r["doc_id"]: r for r in quality.assess(docs).collect()}
+        took.append(time.time() - began)
+        for i in range(24):
+            mine = own(1000 + i)
+            assert got[i]["n_removed_lines"] == n and got[i]["kept"]
+            assert got[i]["clean_text"] == "\n".join(x for k in range(n) for x in (mine[3 * k], "", mine[3 * k + 1], mine[3 * k + 2]))
+        docs.unpersist()
+    assert took[2] <= 2.5 * took[1]
