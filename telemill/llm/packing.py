@@ -4,7 +4,8 @@ A sequence has three limits: tokens, segments and loss-bearing tokens. Each
 document is tokenised and closed by an end id; runs of `capacity` tokens, or of as
 many as `max_loss` allows, are cut off, and the remainder is one item. Runs of
 `capacity` tokens fill a sequence each; other pieces are items. Items are packed
-within bounded windows of one input partition, so nothing is shuffled: for an open
+within bounded windows of one input partition, so nothing is shuffled (unless an order
+of documents is given, which sequences then keep): for an open
 sequence the item that fits and has the largest dot product of its demand with
 the sequence's remaining room (both as shares of the limits) goes in next; ties
 go to the earlier item. Output depends only on the order of rows in a partition.
@@ -283,7 +284,7 @@ def _marks(text: str, ids: np.ndarray, width: np.ndarray, spans: list) -> np.nda
 ADDED = ("start", "length", "doc_tokens", "n_loss", "sequence_id", "offset", "ids", "loss_mask")
 
 
-def _packer(shared, text, capacity, max_segments, max_loss, end_id, extra, loss):
+def _packer(shared, text, capacity, max_segments, max_loss, end_id, extra, loss, ordered):
     def run(batches):
         from pyspark import TaskContext
 
@@ -310,7 +311,13 @@ def _packer(shared, text, capacity, max_segments, max_loss, end_id, extra, loss)
         def place():
             nonlocal sequence, items
             size, bears = (np.array([x[k] for x in items], np.int64) for k in (1, 2))
-            bins, n = pack(size, np.ones(len(size), np.int64), bears, (capacity, max_segments, max_loss))
+            bins, part = np.zeros(len(size), np.int64), np.flatnonzero(size < capacity)
+            bins[part], n = pack(size[part], np.ones(len(part), np.int64), bears[part], (capacity, max_segments, max_loss))
+            bins[size == capacity] = n + np.arange(len(size) - len(part))
+            n += len(size) - len(part)
+            if ordered:  # sequences in order of their first items
+                _, first = np.unique(bins, return_index=True)
+                bins = np.argsort(np.argsort(first))[bins]
             used = np.zeros(n, np.int64)
             for (doc, k, own, start, total, raw, mask), b in zip(items, bins.tolist(), strict=True):
                 add([*doc, start, k, total, own, sequence + b, int(used[b]), raw, mask])
@@ -341,7 +348,7 @@ def _packer(shared, text, capacity, max_segments, max_loss, end_id, extra, loss)
                             b = min(b, int(np.searchsorted(before, before[a] + max_loss, "right")) - 1)
                             bears, mask = int(before[b] - before[a]), marks[a:b].astype(np.uint8).tobytes()
                         raw = own[a:b].tobytes()
-                        if b - a == capacity:
+                        if b - a == capacity and not ordered:
                             add([*doc, a, capacity, len(own), bears, sequence, 0, raw, mask])
                             sequence += 1
                         else:
@@ -359,11 +366,12 @@ def _packer(shared, text, capacity, max_segments, max_loss, end_id, extra, loss)
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",), capacity: int = 2048, max_segments: int = 256, max_loss: int = 2048, end_id: int = 1, text: str = "text", loss: str | None = None
+    docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...] = ("doc_id",), capacity: int = 2048, max_segments: int = 256, max_loss: int = 2048, end_id: int = 1, text: str = "text", loss: str | None = None, order: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row a piece: the kept columns, start, length, doc_tokens, n_loss, sequence_id, offset, ids (little-endian unsigned 32-bit) and, with `loss`, loss_mask (a byte a token).
 
     loss: a column of spans, array of (start, end) in code points of the text, whose tokens bear loss.
+    order: columns that documents are range-sorted by first; then sequence_id rises with the least place, in that order, of a sequence's pieces.
     """
     no_clash(keep, ADDED)
     if min(capacity, max_segments, max_loss) < 1:
@@ -371,8 +379,11 @@ def pack_documents(
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast({"content": f.read(), "classes": char_classes()})
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    inner = docs.select(*keep, F.col(text).alias("_text"), *([F.col(loss).alias("_loss")] if loss else []))
-    run = _packer(shared, "_text", capacity, max_segments, max_loss, end_id, list(keep), "_loss" if loss else None)
+    inner = docs.select(*keep, F.col(text).alias("_text"), *([F.col(loss).alias("_loss")] if loss else []), *[F.col(c).alias(f"_order_{i}") for i, c in enumerate(order)])
+    if order:
+        by = [F.col(f"_order_{i}") for i in range(len(order))]
+        inner = inner.repartitionByRange(*by).sortWithinPartitions(*by).drop(*[f"_order_{i}" for i in range(len(order))])
+    run = _packer(shared, "_text", capacity, max_segments, max_loss, end_id, list(keep), "_loss" if loss else None, bool(order))
     added = ", ".join(f"{c} {'binary' if c in ('ids', 'loss_mask') else 'long'}" for c in ADDED)
     return inner.mapInArrow(tidied(run), f"{kinds}, {added}")
 

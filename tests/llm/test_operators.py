@@ -923,6 +923,54 @@ def test_each_limit_binds(spark, limits, binding):
             assert [bool(x) for p in pieces for x in p[2]] == mask
 
 
+def test_sequences_follow_an_order(frame, documents, monkeypatch):
+    """Sequence numbers rise with the least place of their pieces, over windows and partitions."""
+    monkeypatch.setattr(packing, "WINDOW_ITEMS", 50)
+    rng = random.Random(3)
+    places = list(range(len(documents)))
+    rng.shuffle(places)
+    rows = [(k, r["text"], None, None) for k, r in zip(places, documents.values(), strict=True)]
+    docs = frame(rows).withColumn("n", F.col("doc_id") % 7).repartition(5)
+    got = packing.pack_documents(docs, packing.default_tokenizer(), keep=("doc_id", "n"), order=("n", "doc_id")).collect()
+    least: dict = {}
+    for r in got:
+        least[r["sequence_id"]] = min((r["n"], r["doc_id"], r["start"]), least.get(r["sequence_id"], (9,)))
+    found = [x for _, x in sorted(least.items())]
+    assert len(found) > 60 and found == sorted(found)
+    assert sum(r["length"] for r in got) == sum(r["doc_tokens"] for r in got if r["start"] == 0)
+
+
+def loop_pack(items, limits):
+    """The dot-product choice written as plain loops; items are (tokens, segments, loss)."""
+    share = [[x / m for x, m in zip(item, limits, strict=True)] for item in items]
+    waiting = sorted(range(len(items)), key=lambda i: (-sum(share[i]), i))
+    place, n = {}, 0
+    while waiting:
+        room = list(limits)
+        pick = waiting[0]
+        while pick is not None:
+            place[pick] = n
+            waiting.remove(pick)
+            room = [a - b for a, b in zip(room, items[pick], strict=True)]
+            pick, most = None, -1.0
+            for i in waiting:
+                if all(a <= b for a, b in zip(items[i], room, strict=True)):
+                    value = sum(s * a / m for s, a, m in zip(share[i], room, limits, strict=True))
+                    if value > most + 1e-12:
+                        pick, most = i, value
+        n += 1
+    return [place[i] for i in range(len(items))], n
+
+
+def test_bins_are_those_of_the_loops():
+    for seed in range(20):
+        rng = random.Random(seed)
+        limits = rng.choice([(64, 4, 32), (256, 128, 64), (128, 8, 16)])  # shares without rounding
+        items = [(t, 1, rng.randint(0, min(t, limits[2]))) for t in (rng.randint(1, limits[0]) for _ in range(60))]
+        bins, n = packing.pack(*(np.array(x) for x in zip(*items, strict=True)), limits)
+        assert (bins.tolist(), n) == loop_pack(items, limits)
+
+
 def test_packing_edges(frame):
     docs = frame([(1, "word " * 400_000, None, None), (2, None, None, None), (3, "q" * 300_000, None, None), (4, "a", None, None), (4, "a", None, None)])
     rows = packing.pack_documents(docs, packing.default_tokenizer(), ("doc_id", "score", "kind")).collect()

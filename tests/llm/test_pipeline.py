@@ -61,6 +61,26 @@ def test_packing_holds_every_mixed_document(stages):
     assert sorted(taken) == sorted(starts)
 
 
+def test_training_order_is_kept(stages):
+    """The mixture's files hold rows in order of position, and sequences follow it."""
+    rows = stages["mixing"].select("doc_id", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).collect()
+    ids = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["f"], r["i"]))]
+    once = {i for i in ids if ids.count(i) == 1}
+    position = {r["doc_id"]: r["position"] for r in mixing.mix(stages["pii"]).collect() if r["doc_id"] in once}
+    found = [position[i] for i in ids if i in once]
+    assert len(found) > 60 and found == sorted(found)
+    place = {i: k for k, i in enumerate(ids)}
+    least: dict = {}
+    for r in stages["packing"].collect():
+        if r["doc_id"] in once:
+            least[r["sequence_id"]] = min(place[r["doc_id"]], least.get(r["sequence_id"], len(ids)))
+        else:
+            least.setdefault(r["sequence_id"], len(ids))
+    known = [(s, p) for s, p in sorted(least.items()) if p < len(ids)]
+    near = sum(a[1] <= b[1] for a, b in zip(known, known[1:], strict=False))
+    assert len(known) > 50 and near >= 0.5 * len(known)  # pieces of repeated documents, which come first in some, aren't known
+
+
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
