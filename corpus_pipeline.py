@@ -4,7 +4,11 @@ toxicity      documents that the classifier rejects go
 ngram_join    of each component of near duplicates one row stays
 pii           personal data in texts is replaced by [KIND]; n_chars follows
 mixing        documents are taken as often as their source's target asks, and range-sorted by curriculum position
-packing       whole texts become pieces of sequences of 2048 tokens
+packing       whole texts become pieces of sequences of 2048 tokens, numbered in the curriculum's order
+
+The mixture's files and their rows stand in order of curriculum position; the packing
+takes that place of each row from the files it reads, as Spark itself deals files to
+tasks by size. Frames that aren't read from files are packed as they come.
 
 Every stage decides by row: doc_ids may be null or repeat. Null and empty texts pass
 the first three stages; the mixture takes no words from them. Columns other than
@@ -16,6 +20,7 @@ ORACLE_SQL is None: SQL can express neither the classifier nor the tokenizer.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +73,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack_documents(docs, packing.default_tokenizer()))
+    try:  # only files have a place
+        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return packing.digest(packing.pack_documents(docs, packing.default_tokenizer()))
+    number = F.regexp_extract("_file", r"part-(\d+)", 1).try_cast("long")
+    placed = placed.withColumn("_number", number)
+    return packing.digest(packing.pack_documents(placed, packing.default_tokenizer(), order=("_number", "_file", "_at")))
 
 
 STAGES = [
