@@ -63,10 +63,15 @@ def rate_grid(samples: DataFrame, start: str, end: str, step: int, secs: int, ke
     """(keys, at, value): the rate on a step grid. Each step's samples are found by equi-assignment to the grid points whose window holds them."""
     s = samples.filter((F.col("ts") > at_time(start) - F.make_dt_interval(secs=F.lit(secs))) & (F.col("ts") <= at_time(end)))
     s = beside(s, keys, ("value", "ts")).select(*keys, "ts", _step().alias("delta"), F.col("_near.ts").alias("before"))
+    return grid_of_steps(s, start, end, step, secs, keys)
+
+
+def grid_of_steps(steps: DataFrame, start: str, end: str, step: int, secs: int, keys: tuple[str, ...]) -> DataFrame:
+    """The rate on a step grid from steps (keys, ts, before, delta) of each series."""
     t0, n = F.unix_micros(at_time(start)), F.lit(step * 1_000_000)
     first = F.greatest(F.lit(0), F.ceil((F.unix_micros("ts") - t0) / n).cast("bigint"))
     last = F.least(F.floor((F.unix_micros(at_time(end)) - t0) / n).cast("bigint"), F.ceil((F.unix_micros("ts") + secs * 1_000_000 - t0) / n).cast("bigint") - 1)
-    s = s.withColumns({"_a": first, "_b": last}).filter("_a <= _b").withColumn("k", F.explode(F.sequence("_a", "_b")))
+    s = steps.withColumns({"_a": first, "_b": last}).filter("_a <= _b").withColumn("k", F.explode(F.sequence("_a", "_b")))
     at = F.timestamp_micros(t0 + F.col("k") * n)
     inside = F.col("before") > F.col("at") - F.make_dt_interval(secs=F.lit(secs))
     g = s.withColumn("at", at).groupBy(*keys, "at").agg((F.coalesce(F.sum(F.when(inside, F.col("delta"))), F.lit(0.0)) / secs).alias("value"), F.count(F.lit(1)).alias("_n"))
