@@ -1,4 +1,4 @@
-"""Dashboard panels as data, evaluated at an instant over one samples table.
+"""Dashboard panels as data, evaluated over one samples table at an instant or at each step of a range.
 
 Samples: (metric, labels map, ts, value). A panel names a shape and its metrics;
 panels that differ only in how they are drawn share an entry.
@@ -99,53 +99,84 @@ PANELS = (
 )
 
 
-def _pick(samples: DataFrame, metric: str, where: dict) -> DataFrame:
+def _pick(samples: DataFrame, metric: str, where: dict, by: tuple[str, ...] = ()) -> DataFrame:
+    """Samples of a metric with `series`, two hashes of the label map in order of its keys, and the labels that a panel goes by (empty if absent)."""
     s = samples.filter(F.col("metric") == metric)
+    label = lambda name: F.coalesce(F.get(F.array(F.try_element_at("labels", F.lit(name))), F.lit(0)), F.lit(""))
     for name, (op, value) in where.items():
-        c = F.coalesce(F.get(F.array(F.try_element_at("labels", F.lit(name))), F.lit(0)), F.lit(""))
+        c = label(name)
         s = s.filter({"=": c == value, "=~": full_match(c, value), "!~": ~full_match(c, value)}[op])
-    return s.withColumn("series", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("labels")))))
+    entries = F.array_sort(F.map_entries("labels"))
+    series = F.struct(F.xxhash64(entries).alias("a"), F.xxhash64(F.lit("series"), entries).alias("b"))
+    return s.select(series.alias("series"), *[label(b).alias(b) for b in by], "ts", "value")
 
 
-def _labelled(v: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    kind = "map<string,string>"
-    return v.withColumns({b: F.coalesce(F.try_element_at(F.from_json("series", kind), F.lit(b)), F.lit("")) for b in by})
+@dataclass(frozen=True)
+class _Clock:
+    """How a panel is seen: at an instant, or at each step of a range, whose time is then the column `at`."""
+
+    at: str
+    start: str = ""
+    step: int = 0
+
+    @property
+    def keys(self) -> tuple[str, ...]:
+        return ("at",) if self.step else ()
+
+    def now(self, samples: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        keys = ("series", *by)
+        return timeseries.step_grid(samples, self.start, self.at, self.step, keys) if self.step else timeseries.instant(samples, self.at, keys)
+
+    def rates(self, samples: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        keys = ("series", *by)
+        return timeseries.rate_grid(samples, self.start, self.at, self.step, WINDOW, keys) if self.step else timeseries.rate(samples, self.at, WINDOW, keys)
+
+    def seconds(self):
+        return F.unix_micros("at" if self.step else timeseries.at_time(self.at)) / 1e6
 
 
 def evaluate(panel: Panel, samples: DataFrame, at: str) -> DataFrame:
-    """(by..., value) of a panel. Divisors have the panels' usual floors: 1, or 0.001 requests a second."""
-    by = panel.by
-    own = _pick(samples, panel.metric, panel.where)
-    now = lambda s: _labelled(timeseries.instant(s, at, ("series",)), by)
-    rates = lambda s, labels: _labelled(timeseries.rate(s, at, WINDOW, ("series",)), labels)
-    summed = lambda v, *labels: v.groupBy(*labels).agg(F.sum("value").alias("value"))
+    """(by..., value) of a panel at an instant. Divisors have the panels' usual floors: 1, or 0.001 requests a second."""
+    return _evaluate(panel, samples, _Clock(at))
+
+
+def evaluate_range(panel: Panel, samples: DataFrame, start: str, end: str, step: int) -> DataFrame:
+    """(at, by..., value) of a panel at each step (seconds) from start to end, in one pass over the samples of each metric."""
+    return _evaluate(panel, samples, _Clock(end, start, step))
+
+
+def _evaluate(panel: Panel, samples: DataFrame, clock: _Clock) -> DataFrame:
+    by, t = panel.by, clock.keys
+    own = lambda *labels: _pick(samples, panel.metric, panel.where, (*by, *labels))
+    other = lambda labels=(), where=panel.where: _pick(samples, panel.other, where, labels)
+    summed = lambda v, *labels: v.groupBy(*t, *labels).agg(F.sum("value").alias("value"))
     if panel.shape == "instant":
-        return now(own).select(*by, "value")
+        return clock.now(own(), by).select(*t, *by, "value")
     if panel.shape == "rate":
-        return summed(rates(own, by), *by)
+        return summed(clock.rates(own(), by), *by)
     if panel.shape == "errors":
-        v = rates(own, ("status",))
-        return timeseries.error_ratio(v, 0.001)
+        return timeseries.error_ratio(clock.rates(own("status"), ("status",)), 0.001, *t)
     if panel.shape == "quantile":
-        v = rates(own, (*by, "le")).withColumn("le", F.when(F.col("le") == "+Inf", float("inf")).otherwise(F.col("le").try_cast("double")))
-        return timeseries.histogram_quantile(summed(v, *by, "le"), panel.q, *by)
+        v = clock.rates(own("le"), (*by, "le")).withColumn("le", F.when(F.col("le") == "+Inf", float("inf")).otherwise(F.col("le").try_cast("double")))
+        return timeseries.histogram_quantile(summed(v, *by, "le"), panel.q, *t, *by)
     if panel.shape == "busy":
-        return rates(own, ()).agg((1 - F.avg("value")).alias("value"))
+        return clock.rates(own(), ()).groupBy(*t).agg((1 - F.avg("value")).alias("value"))
     if panel.shape == "age":
-        return now(own).select((F.unix_micros(timeseries.at_time(at)) / 1e6 - F.col("value")).alias("value"))
+        return clock.now(own(), ()).select(*t, (clock.seconds() - F.col("value")).alias("value"))
     if panel.shape == "up":
-        return now(own).agg((F.sum("value") / F.greatest(F.count("value"), F.lit(1))).alias("value"))
+        return clock.now(own(), ()).groupBy(*t).agg((F.sum("value") / F.greatest(F.count("value"), F.lit(1))).alias("value"))
     if panel.shape == "load_cost":  # joined on the model, as the two sides' other labels differ
-        asked = summed(rates(_pick(samples, panel.other, {}), by), *by)
-        return timeseries.ratio(summed(rates(own, by), *by), asked, by, 0.001)
-    if panel.shape == "per_cpu":  # one row of CPUs, whatever the labels
-        cpus = timeseries.instant(_pick(samples, panel.other, panel.where), at, ("series",)).agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))
-        return timeseries.instant(_pick(samples, panel.metric, {}), at, ("series",)).crossJoin(cpus).select((F.col("value") / F.col("n")).alias("value"))
-    right = timeseries.instant(_pick(samples, panel.other, panel.where), at, ("series",)).withColumnRenamed("value", "_d")
-    both = now(own).join(right, "series")
+        asked = summed(clock.rates(other(by, {}), by), *by)
+        return timeseries.ratio(summed(clock.rates(own(), by), *by), asked, (*t, *by), 0.001)
+    if panel.shape == "per_cpu":  # one row of CPUs a time, whatever the labels
+        cpus = clock.now(other(), ()).groupBy(*t).agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))
+        load = clock.now(_pick(samples, panel.metric, {}), ())
+        return (load.join(cpus, list(t)) if t else load.crossJoin(cpus)).select(*t, (F.col("value") / F.col("n")).alias("value"))
+    right = clock.now(other(), ()).select("series", *t, F.col("value").alias("_d"))
+    both = clock.now(own(), by).join(right, ["series", *t])
     value = {
         "ratio": F.col("value") / clamp_min(F.col("_d"), 1.0),
         "rest": 1 - F.col("value") / clamp_min(F.col("_d"), 1.0),
         "difference": F.col("value") - F.col("_d"),
     }[panel.shape]
-    return both.select(*by, value.alias("value"))
+    return both.select(*t, *by, value.alias("value"))
