@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.plans.registry import ORACLES, micros, query
+from telemill.plans.queries import ORACLES
+from telemill.plans.registry import micros, query
 from telemill.plans.sql import GAUGES, INV, LOGS
 from telemill.sources import tables
 from telemill.sources.scratch import folder

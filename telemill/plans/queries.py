@@ -704,4 +704,4 @@ def pan_vram_share(spark, d):
     return r6(evaluate(_panel("VRAM share"), squeezed(panel_samples(spark, d)), NOON), "value")
 
 
-from telemill.plans import coverage, durable, labels, live, ranges, streams  # noqa: E402, F401  they register more
+from telemill.plans import coverage, durable, labels, live, ranges, stored, streams  # noqa: E402, F401  they register more
