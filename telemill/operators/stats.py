@@ -6,52 +6,98 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.functions.text import json_equal, normalized_answer, numeric_answer, stripped
+from telemill.sources.scratch import folder
 
 
-#: Half the width, in ranks, of the bracket in which an exact percentile is looked for; the sketch that gives it errs by a tenth of this.
+#: Half the width, in ranks, of the bracket in which an exact percentile is looked for at first; the sketch that gives it errs by a tenth of this.
 BRACKET, ACCURACY = 0.001, 10_000
+#: Values of a bracket that are put in order in one task; a bracket that holds more is cut into so many pieces, counted, and narrowed to those that matter.
+IN_ORDER, PIECES = 10_000, 1024
 
 
-def percentiles(rows: DataFrame, value: str, shares: dict[str, float], *by: str) -> DataFrame:
-    """(by, a column a share): exact percentiles, interpolated at (n - 1) * share, of the non-null values.
+def _sketched(rows: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...], also: tuple[Column, ...]) -> DataFrame:
+    """A stored row a group: `also`, the number, least and greatest of the values, and a bracket of each share."""
+    v = F.col(value).cast("double")
+    edges = [min(1.0, max(0.0, q + d)) for q in shares.values() for d in (-BRACKET, BRACKET)]
+    got = rows.groupBy(*by).agg(F.percentile_approx(v, edges, ACCURACY).alias("_e"), F.count(v).alias("_n"), F.min(v).alias("_least"), F.max(v).alias("_most"), *also)
+    path = f"{folder(rows.sparkSession, 'sketch')}/groups"
+    got.write.parquet(path)
+    return rows.sparkSession.read.schema(got.schema).parquet(path)
 
-    A mergeable sketch brackets each; only the values in a bracket, counted by value,
-    are put in order, so no task holds the distinct values of a group.
-    """
-    names, qs = list(shares), list(shares.values())
-    v = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    edges = [min(1.0, max(0.0, q + d)) for q in qs for d in (-BRACKET, BRACKET)]
-    sketch = v.groupBy(*by).agg(F.percentile_approx("_v", edges, ACCURACY).alias("_e"), F.count(F.lit(1)).alias("_n"))
+
+def _among(values: DataFrame, brackets: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Values beside each bracket of their group, without those beyond it; null where a value lies below it."""
     same = F.lit(True)
     for b in by:
         same &= F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}"))
-    j = v.alias("l").join(sketch.alias("r"), same).select(*[F.col(f"l.{b}").alias(b) for b in by], "_v", "_e", "_n")
-    edge = lambda i, end: F.when(F.col("_n") * BRACKET < 4, float(end)).otherwise(F.col("_e")[i])  # noqa: E731  few values: all of them
-    each = F.inline(F.array(*[F.struct(F.lit(i).alias("_q"), edge(2 * i, "-inf").alias("_lo"), edge(2 * i + 1, "inf").alias("_hi")) for i in range(len(qs))]))
-    near = j.select(*by, "_v", "_n", each).filter("_v <= _hi")
-    counted = near.groupBy(*by, "_q", "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))  # what lies below the bracket is one row
+    lists = brackets.groupBy(*by).agg(F.collect_list(F.struct("_q", "_n", "_lo", "_hi")).alias("_x"))  # one a share
+    j = values.alias("l").join(lists.alias("r"), same).select(*[F.col(f"l.{b}").alias(b) for b in by], "_v", F.inline("_x")).filter("_v <= _hi")
+    return j.withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
+
+
+def _ranks(qs: list[float]) -> tuple[Column, Column, Column]:
+    """The two places in order that a share falls between, and how far it is from the first."""
+    at = (F.col("_n") - 1) * F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("_q") + 1)
+    return F.floor(at), F.ceil(at), at - F.floor(at)
+
+
+def _narrowed(values: DataFrame, brackets: DataFrame, by: tuple[str, ...], qs: list[float]) -> tuple[DataFrame, int]:
+    """Brackets cut to the pieces that hold the two places, and the greatest number of values in one that still has different ones."""
+    piece = F.when(F.col("_v").isNull(), -1).when(F.col("_hi") > F.col("_lo"), F.least(F.lit(PIECES - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PIECES))).otherwise(0)
+    counted = _among(values, brackets, by).groupBy(*by, "_q", "_n", piece.alias("_piece")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    upto = Window.partitionBy(*by, "_q").orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumn("_upto", F.sum("_c").over(upto))  # over PIECES + 1 rows
+    first, second, _ = _ranks(qs)
+    begins = F.col("_upto") > first
+    ends = F.col("_upto") - F.col("_c") <= second
+    got = counted.filter(begins & ends & (F.col("_piece") >= 0)).groupBy(*by, "_q", "_n").agg(F.min("_a").alias("_lo"), F.max("_b").alias("_hi"), F.sum("_c").alias("_held"))
+    path = f"{folder(values.sparkSession, 'bracket')}/groups"
+    got.write.parquet(path)
+    out = values.sparkSession.read.schema(got.schema).parquet(path)
+    return out, out.agg(F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_held")))).first()[0] or 0  # one row
+
+
+def percentiles(rows: DataFrame, value: str, shares: dict[str, float], *by: str, also: tuple[Column, ...] = ()) -> DataFrame:
+    """(by, a column a share, and the aggregates `also`): exact percentiles, interpolated at (n - 1) * share, of the non-null values; null if there are none.
+
+    A mergeable sketch brackets each. Brackets that may hold more values than one task
+    should put in order are narrowed by counting, a scan a round, each a thousand times
+    finer; then only the values in a bracket, counted by value, are put in order.
+    """
+    names, qs = list(shares), list(shares.values())
+    values = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    groups = _sketched(rows, value, shares, by, also)
+    few = F.col("_n") * BRACKET < 4  # all of them
+    each = [F.struct(F.lit(i).alias("_q"), F.when(few, F.col("_least")).otherwise(F.col("_e")[2 * i]).alias("_lo"), F.when(few, F.col("_most")).otherwise(F.col("_e")[2 * i + 1]).alias("_hi")) for i in range(len(qs))]
+    brackets = groups.filter("_n > 0").select(*by, "_n", F.inline(F.array(*each)))
+    held = (groups.agg(F.max("_n")).first()[0] or 0) * 2.2 * BRACKET  # one row
+    while held > IN_ORDER:
+        brackets, less = _narrowed(values, brackets, by, qs)
+        if less >= held:  # few values, each many times
+            break
+        held = less
+    counted = _among(values, brackets, by).groupBy(*by, "_q", "_n", "_v").agg(F.count(F.lit(1)).alias("_c"))  # what lies below a bracket is one row
     upto = Window.partitionBy(*by, "_q").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
     counted = counted.withColumn("_upto", F.sum("_c").over(upto))
-    share = F.element_at(F.array(*[F.lit(q) for q in qs]), F.col("_q") + 1)
-    counted = counted.withColumn("_at", (F.col("_n") - 1) * share)
+    first, second, part = _ranks(qs)
     at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_v")))
-    got = counted.groupBy(*by, "_q").agg(at(F.floor("_at")).alias("_a"), at(F.ceil("_at")).alias("_b"), F.max(F.col("_at") - F.floor("_at")).alias("_f"))
+    got = counted.groupBy(*by, "_q").agg(at(first).alias("_a"), at(second).alias("_b"), F.max(part).alias("_f"))
     exact = got.withColumn("_x", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
-    return exact.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == i, F.col("_x"))).alias(n) for i, n in enumerate(names)])
+    exact = exact.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == i, F.col("_x"))).alias(n) for i, n in enumerate(names)])
+    same = F.lit(True)
+    for b in by:
+        same &= F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}"))
+    own = [F.col(f"l.{c}").alias(c) for c in groups.columns if c not in ("_e", "_n", "_least", "_most")]
+    return groups.alias("l").join(exact.alias("r"), same, "left").select(*own, *names)
 
 
 def summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """count, min, mean, median, p95, max, sample deviation and variation of the non-null values; nothing but the count if there are none."""
     v = F.col(value)
     sd, mean = F.stddev_samp(v), F.avg(v)
-    plain = rows.groupBy(*by).agg(
-        F.count(v).alias("count"), F.min(v).alias("min"), mean.alias("mean"), F.max(v).alias("max"), sd.alias("standard_deviation"), (sd / F.nullif(mean, F.lit(0.0)) * 100).alias("coefficient_of_variation_percent")
-    )
-    exact = percentiles(rows, value, {"median": 0.5, "p95": 0.95}, *by)
-    same = F.lit(True)
-    for b in by:
-        same &= F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}"))
-    return plain.alias("l").join(exact.alias("r"), same, "left").select(*[F.col(f"l.{b}").alias(b) for b in by], "count", "min", "mean", "median", "p95", "max", "standard_deviation", "coefficient_of_variation_percent")
+    plain = (F.count(v).alias("count"), F.min(v).alias("min"), mean.alias("mean"), F.max(v).alias("max"), sd.alias("standard_deviation"), (sd / F.nullif(mean, F.lit(0.0)) * 100).alias("coefficient_of_variation_percent"))
+    got = percentiles(rows, value, {"median": 0.5, "p95": 0.95}, *by, also=plain)
+    return got.select(*by, "count", "min", "mean", "median", "p95", "max", "standard_deviation", "coefficient_of_variation_percent")
 
 
 def generation_summary(rows: DataFrame, *by: str) -> DataFrame:

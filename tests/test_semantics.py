@@ -236,6 +236,30 @@ def test_percentiles_of_many_rows_and_groups(spark):
     assert s["none"]["count"] == 0 and s["none"]["median"] is None and s["a"]["p95"] == got["a"]["p95"]
 
 
+def test_percentiles_in_rounds(spark, monkeypatch):
+    """With room for a few values only, brackets are narrowed by counting; skewed values, heavy ties and tiny ranges included."""
+    seen = []
+    real = stats._among
+    for name, x in (("IN_ORDER", 20), ("PIECES", 8), ("BRACKET", 0.05)):
+        monkeypatch.setattr(stats, name, x)
+    monkeypatch.setattr(stats, "_among", lambda *a: seen.append(real(*a)) or seen[-1])
+    rng = np.random.default_rng(5)
+    kinds = {
+        "skewed": np.exp(rng.normal(size=30_000) * 4),
+        "ties": rng.integers(0, 3, 30_000).astype(float),
+        "narrow": 1e6 + rng.integers(0, 20_000, 30_000) * 2.0**-33,
+        "one": np.full(20_000, 7.0),
+        "few": np.array([3.0, 1.0, 2.0]),
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, x in kinds.items() for v in x], "g string, v double")
+    qs = {"p0": 0.0, "p1": 0.001, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["g"]: r for r in stats.percentiles(df, "v", qs, "g").collect()}
+    assert all(got[k][n] == pytest.approx(np.quantile(x, q), rel=1e-15) for k, x in kinds.items() for n, q in qs.items())
+    assert len(seen) >= 4
+    in_order = seen[-1].filter("_v is not null").groupBy("g", "_q").agg(F.count_distinct("_v").alias("n"))
+    assert in_order.agg(F.max("n")).first()[0] <= 20
+
+
 def test_neighbours_of_samples_across_days(spark):
     """The sample before and after, over empty days, as one sort of the series gives them."""
     rng = np.random.default_rng(4)
