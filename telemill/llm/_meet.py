@@ -50,8 +50,8 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def meet(rows: DataFrame, asked: DataFrame, cells: tuple[str, ...], score, schema: str, tables: Tables) -> DataFrame:
     """score(block, chunk) for all blocks of rows and chunks of those that ask of a cell.
 
-    Both are stored tables; their number of cells is bounded by the caller, and so is the
-    broadcast table of their sizes. Rows are dealt by their place in the table, so that
+    Both are stored tables, or come from one row by row; their number of cells is bounded
+    by the caller, and so is the broadcast table of their sizes. Rows are dealt by their place in the table, so that
     rows alike, or a cell with a large share of all rows, spread over many groups.
     """
     per = lambda df, most, name: df.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))

@@ -4,7 +4,8 @@ A rotation learned on a bounded sample (principal axes, then iterative
 quantisation) turns vectors into binary codes of up to 64 bits. A code is cut into
 m substrings of about log2(n) bits, and each has an index: rows stand under the
 number and the leading bits of the substring, which name a bucket; a bucket of more
-rows than a task should hold is several blocks. A code within Hamming radius r of
+rows than a task should hold is several blocks, and so are the queries that come to it.
+Vectors are encoded once. A code within Hamming radius r of
 a query's is within r // m bits of it in one of the substrings at least, so a query
 goes to just those buckets whose leading bits are within r // m of its own, looks up
 the substring values within r // m bits, keeps the codes within r, each in the first
@@ -33,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemill.llm import _meet
 from telemill.llm._text import Tables, tidied
 
-BLOCK_ROWS = 16384
 SAMPLE = 8192
 #: Leading bits of a substring that name a bucket, at most.
 BUCKET_BITS = 16
@@ -185,7 +186,7 @@ def _one_length(vectors: DataFrame, queries: DataFrame, width: int, k: int, tabl
     model = learn(_vectors(taken.column("vector").combine_chunks(), width), n, taken.column("vec_id").to_numpy(), k)
     shared = spark.sparkContext.broadcast(model)
     m, bits = len(model["cuts"]) - 1, model["bits"]
-    lead = max(0, min(BUCKET_BITS, int(np.ceil(np.log2(max(1, n / BLOCK_ROWS))))))
+    lead = max(0, min(BUCKET_BITS, int(np.ceil(np.log2(max(1, n / _meet.BLOCK_ROWS))))))
     first = int(min(lead, model["cuts"][1] - model["cuts"][0]))
 
     def coded(batches):
@@ -193,22 +194,16 @@ def _one_length(vectors: DataFrame, queries: DataFrame, width: int, k: int, tabl
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(encode(shared.value, _vectors(batch.column("vector"), width)).view(np.int64))], ["vec_id", "vector", "code"])
 
-    def indexed(numbers):
-        def run(batches):
-            for batch in batches:
-                codes = batch.column("code").to_numpy().view(np.uint64)
-                for j in numbers:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), j, np.int32)), pa.array(bucket(shared.value, codes, j, lead)), *batch.columns], ["j", "g", "vec_id", "vector", "code"])
-
-        return run
-
-    rows = vectors.mapInArrow(tidied(coded), f"vec_id long, vector {kind}, code long")
+    rows = tables.keep(vectors.mapInArrow(tidied(coded), f"vec_id long, vector {kind}, code long"))
 
-    def index(numbers) -> tuple[DataFrame, DataFrame]:
-        """Index rows with their block, and the table of the number of blocks: at most m * 2^BUCKET_BITS rows."""
-        own = rows.mapInArrow(tidied(indexed(numbers)), f"j int, g long, vec_id long, vector {kind}, code long")
-        sizes = tables.keep(own.groupBy("j", "g").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")))
-        return own.join(F.broadcast(sizes), ["j", "g"]).withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks"), sizes
+    def index(numbers) -> DataFrame:
+        """A row of each substring under its number and leading bits (see `bucket`); there are m * 2^BUCKET_BITS of these at most."""
+        places = []
+        for j in numbers:
+            a, b = (int(x) for x in model["cuts"][j : j + 2])
+            own = F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << b - a) - 1 if b - a < 64 else -1))
+            places.append(F.struct(F.lit(j).cast("int").alias("j"), F.shiftrightunsigned(own, max(0, b - a - lead)).cast("long").alias("g")))
+        return rows.select("vec_id", "vector", "code", F.inline(F.array(*places)))
 
     def bounded(batches):
         """Queries with their code and their k-th distance in the sample."""
@@ -262,10 +257,8 @@ def _one_length(vectors: DataFrame, queries: DataFrame, width: int, k: int, tabl
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64()), "probed": pa.array(out[3], pa.int64())})
 
     def round_of(asked: DataFrame, numbers, whole: bool = False) -> DataFrame:
-        own, sizes = index(numbers)
-        to = asked.mapInArrow(tidied(probes(numbers, whole)), f"j int, g long, vec_id long, vector {kind}, code long, bound double, radius int, most int").join(F.broadcast(sizes), ["j", "g"])
-        to = to.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        found = own.groupBy("j", "g", "b").cogroup(to.groupBy("j", "g", "b")).applyInArrow(block, "query_id long, vec_id long, score double, probed long")
+        to = tables.keep(asked.mapInArrow(tidied(probes(numbers, whole)), f"j int, g long, vec_id long, vector {kind}, code long, bound double, radius int, most int"))
+        found = _meet.meet(index(numbers), to, ("j", "g"), block, "query_id long, vec_id long, score double, probed long", tables)
         total = Window.partitionBy("query_id")
         best = found.withColumn("rank", F.row_number().over(total.orderBy("score", "vec_id"))).withColumn("n_probed", F.sum("probed").over(total))
         return tables.keep(best.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "n_probed"))

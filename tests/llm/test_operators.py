@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from telemill.llm import chat, langid, mixing, neighbours, packing, pii, quality, queries, secrets, setjoin, toxicity
+from telemill.llm import _meet, chat, langid, mixing, neighbours, packing, pii, quality, queries, secrets, setjoin, toxicity
 from telemill.llm._text import span_hashes, words
 
 DIR = "/root/testdata/sf0.001"
@@ -422,7 +422,8 @@ def recall_of(got, ids, x, k=10):
 
 def test_probing_is_selective_on_clustered_vectors(spark, monkeypatch):
     """100,000 vectors in clusters: recall of 0.9 and few rows looked at, in many buckets and blocks; one vector is a tenth of all."""
-    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 4096)
+    monkeypatch.setattr(_meet, "BLOCK_ROWS", 4096)
+    monkeypatch.setattr(_meet, "CHUNK_ROWS", 16)
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(1500, 32)).astype(np.float32)
     x = centres[rng.integers(0, 1500, 100_000)] + 0.08 * rng.normal(size=(100_000, 32)).astype(np.float32)

@@ -1,10 +1,12 @@
 """Exact top-k search and hard negatives against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from telemill.llm import _meet, annuli, dualtree, queries
+from telemill.llm._text import Tables
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double, cell int"
 ODD = [(9001, None, 1), (9002, [0.1, None], 1), (9003, [float("nan"), 0.1], 1), (9004, [float("inf"), 1.0], 1), (9005, [], 1), (None, [0.5, 0.5], 1), (9100, None, None)]
@@ -85,6 +87,22 @@ def test_small_groups_and_many_cells_give_the_same(spark, monkeypatch):
     assert got == brute_negatives(rows, lambda i: i % 20 == 0)
 
 
+def test_groups_hold_a_set_number_of_rows_on_either_side(spark, monkeypatch):
+    """A cell of rows alike and one of many that ask: each pair meets once, in groups of bounded size."""
+    monkeypatch.setattr(_meet, "BLOCK_ROWS", 500)
+    monkeypatch.setattr(_meet, "CHUNK_ROWS", 50)
+    rows = spark.createDataFrame([(0 if i % 3 else 1 + i % 4, 7) for i in range(6000)], "cell int, vec_id long")
+    asked = spark.createDataFrame([(i % 2, 9) for i in range(800)] + [(77, 9)], "cell int, query_id long")
+
+    def score(left, right):
+        return pa.table({"cell": pa.array([(left if left.num_rows else right).column("cell")[0].as_py()], pa.int32()), "l": [left.num_rows], "r": [right.num_rows]})
+
+    got = _meet.meet(rows, asked, ("cell",), score, "cell int, l long, r long", Tables(spark)).collect()
+    assert max(r["l"] for r in got) <= 750 and max(r["r"] for r in got) <= 100 and len(got) > 40
+    pairs = {c: sum(r["l"] * r["r"] for r in got if r["cell"] == c) for c in (0, 1)}
+    assert pairs == {0: 4000 * 400, 1: rows.filter("cell = 1").count() * 400}
+
+
 def test_clustered_vectors_are_scored_in_part(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(60, 16))
