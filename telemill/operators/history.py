@@ -92,8 +92,8 @@ def metadata(inv: DataFrame) -> DataFrame:
 
 
 def measurement(inv: DataFrame) -> DataFrame:
-    """What may be published of a record: neither who asked, nor what was asked and said."""
-    return inv.select("id", "status", "duration", "ttft", "prompt_tokens", "generated_tokens", "truncated", "error")
+    """A record as reports hold it: all but the response's text."""
+    return inv.drop("response")
 
 
 def pager(inv: DataFrame, s: Search) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,11 @@ def append_logs(lines: DataFrame, path: str) -> None:
     lines.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(path)
 
 
+def write_samples(samples: DataFrame, path: str) -> None:
+    """Appends scraped samples by job."""
+    samples.write.mode("append").partitionBy("job").parquet(path)
+
+
 def download(inv: DataFrame, identifier: str) -> DataFrame:
     """One record as JSON, nulls kept."""
     from telemill.operators.history import detail
@@ -23,7 +28,8 @@ def download(inv: DataFrame, identifier: str) -> DataFrame:
     return detail(inv, identifier).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("document"))
 
 
-def first_named(items: DataFrame, name: str, column: str = "name") -> DataFrame:
+def first_named(items: DataFrame, name: str | Column, column: str = "name") -> DataFrame:
+    """An entry of that name; a column may be a scalar subquery."""
     return items.filter(F.col(column) == name).limit(1)
 
 

@@ -112,6 +112,13 @@ def generation_summary(rows: DataFrame, *by: str) -> DataFrame:
     ).drop("_t")
 
 
+def run_list(rows: DataFrame, order: str, fields: tuple[str, ...], *by: str, size: int = 100) -> DataFrame:
+    """(by, page, runs): the runs of a summary as an array of structs in order, `size` numbers of the order a page."""
+    page = F.floor((F.col(order) - 1) / size).alias("page")
+    g = rows.groupBy(*by, page).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("runs"))
+    return g.select(*by, "page", "runs")
+
+
 def drift(rows: DataFrame, speed: str, order: str, *by: str) -> DataFrame:
     """Percent change of mean speed from the first half (at least one) to the rest, in order, without nulls; one value: 0, none: null."""
     from telemill.sources.tables import running

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.functions.events import as_text, calls_tools, error_text, event_text, final_measurement, is_object, opened, parsed, shown_content, shown_thinking, truthy
+from telemill.sources.tables import running
+
+#: Numbers of lines that one task folds of a stream.
+STRETCH = 16384
 
 
 def events(lines: DataFrame) -> DataFrame:
@@ -24,18 +28,20 @@ def texts(lines: DataFrame) -> DataFrame:
 def folded(lines: DataFrame) -> DataFrame:
     """(id, text, content, thinking, events, first_seq, first_at, complete, error, measurement): last measurement and last non-empty error win.
 
-    Lines are dealt by id before they are parsed, so that parsing is spread and the
-    fold needs no further exchange. first_at is the time of the first text, if
-    lines have `at`.
+    Lines are dealt by id and stretch of seq before they are parsed, so that parsing is
+    spread however long a stream is; stretches are folded where they are, and one row
+    each goes on to the fold of the stream. first_at is the time of the first text,
+    if lines have `at`.
     """
     x = F.col("x")
     at = F.col("at") if "at" in lines.columns else F.lit(None).cast("double")
     known = F.col("event").isNotNull()
-    e = opened(events(lines.withColumn("at", at).repartition("id")))
+    e = opened(events(lines.withColumns({"at": at, "_part": F.floor(F.col("seq") / STRETCH)}).repartition("id", "_part")))
     # the higher-order function keeps this projection out of whole-stage code, where it would be one method too long to be compiled
     seq = F.transform(F.array("seq"), lambda s: s)[0]
     e = e.select(
         "id",
+        "_part",
         seq.alias("seq"),
         "at",
         "is_done_mark",
@@ -49,14 +55,27 @@ def folded(lines: DataFrame) -> DataFrame:
     )
     said = (F.col("text") != "") | (F.col("content") != "") | (F.col("thinking") != "")
     joined = lambda c: F.array_join(F.transform("said", lambda r: r[c]), "").alias(c)
-    g = e.groupBy("id").agg(
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}_seq")
+    part = e.groupBy("id", "_part").agg(
         F.array_sort(F.collect_list(F.when(said, F.struct("seq", "text", "content", "thinking")))).alias("said"),
         F.count_if("known").alias("events"),
         F.min(F.when(F.col("text") != "", F.col("seq"))).alias("first_seq"),
         F.min_by("at", F.when(F.col("text") != "", F.col("seq"))).alias("first_at"),
         F.bool_or(F.col("is_done_mark") | F.col("done")).alias("complete"),
-        F.max_by("err", F.when(F.col("err").isNotNull(), F.col("seq"))).alias("error"),
-        F.max_by("m", F.when(F.col("m").isNotNull(), F.col("seq"))).alias("measurement"),
+        F.max_by("err", F.when(F.col("err").isNotNull(), F.col("seq"))).alias("err"),
+        F.max_by("m", F.when(F.col("m").isNotNull(), F.col("seq"))).alias("m"),
+        last("err"),
+        last("m"),
+    )
+    part = part.select("id", "_part", joined("text"), joined("content"), joined("thinking"), *[c for c in part.columns if c not in ("id", "_part", "said")])
+    g = part.groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("_part", "text", "content", "thinking"))).alias("said"),
+        F.sum("events").alias("events"),
+        F.min("first_seq").alias("first_seq"),
+        F.min_by("first_at", "first_seq").alias("first_at"),
+        F.bool_or("complete").alias("complete"),
+        F.max_by("err", "_err_seq").alias("error"),
+        F.max_by("m", "_m_seq").alias("measurement"),
     )
     return g.select("id", joined("text"), joined("content"), joined("thinking"), *[c for c in g.columns if c not in ("id", "said")])
 
@@ -78,9 +97,7 @@ def captured(lines: DataFrame, limit: int) -> DataFrame:
     """(id, response, truncated): the first `limit` bytes of each stream, a cut character replaced."""
     from telemill.functions.text import clipped_bytes
 
-    w = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length("line") + 1
-    kept = lines.withColumns({"_n": size, "_before": F.coalesce(F.sum(size).over(w), F.lit(0))})
+    kept = running(lines.withColumn("_n", F.octet_length("line") + 1), "_n", ("id",), ("seq",), F.floor(F.col("seq") / STRETCH)).withColumn("_before", F.col("running") - F.col("_n"))
     g = kept.groupBy("id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_before") < limit, F.struct("seq", "line")))), lambda x: F.concat(x["line"], F.lit("\n"))), "").alias("body"),
         F.sum("_n").alias("total"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemill.cases import CASES, cases
@@ -81,10 +81,10 @@ def inv_inserted(spark, d):
     return history.folded(inv, inv.limit(0)).filter("status is null and response is null").select("id", "started", "model", "endpoint", "source", "purpose", "state")
 
 
-@query(f"WITH {INV} SELECT id, status, duration, ttft, prompt_tokens, generated_tokens, truncated, error FROM inv")
+@query(f"WITH {INV} SELECT * EXCLUDE (response, finish_seq) FROM inv")
 def inv_measurement(spark, d):
-    """What is published of a record's measurement: all but who asked, what was asked and what was said."""
-    return history.measurement(tables.invocations(spark, d))
+    """A record's measurement: all but the response's text."""
+    return history.measurement(tables.invocations(spark, d).drop("finish_seq"))
 
 
 # --- metrics ------------------------------------------------------------------
@@ -168,8 +168,7 @@ def fn_new_id(spark, d):
 def met_first_named(spark, d):
     """The entry of a list that has a name."""
     p = tables.table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("size"))
-    first = p.agg(F.min("name")).first()[0]
-    return sinks.first_named(p, first)
+    return sinks.first_named(p, p.agg(F.min("name")).scalar())
 
 
 # --- raw inputs ---------------------------------------------------------------
@@ -190,13 +189,29 @@ def src_cards(spark, d):
     return readers.card_rows(s.select(F.format_string("%s, %d, %d MiB,  %d W", "s_name", "s_nationkey", "s_suppkey", (F.col("s_suppkey") % 400)).alias("value")))
 
 
-@query("SELECT event_type AS metric, CAST(user_id % 3 AS VARCHAR) AS instance, count(*) AS samples, max(value) AS most FROM events GROUP BY ALL")
+_SCRAPED = "CASE WHEN event_type IN ('click', 'view') THEN 'gpu' ELSE 'node' END"
+
+
+@query(f"SELECT {_SCRAPED} AS job, event_type AS metric, CAST(user_id % 3 AS VARCHAR) AS instance, count(*) AS samples, max(value) AS most FROM events WHERE {_SCRAPED} = 'gpu' GROUP BY ALL")
 def src_samples(spark, d):
-    """Scraped samples written by job and read back with their labels."""
-    g = tables.gauge_samples(spark, d)
+    """Scraped samples written by job; those of one job are read back with their labels."""
+    g = tables.gauge_samples(spark, d).withColumn("job", F.when(F.col("metric").isin("click", "view"), "gpu").otherwise("node"))
     home = folder(spark, "samples")
-    g.select("metric", F.create_map(F.lit("instance"), F.col("instance")).alias("labels"), "ts", "value").write.parquet(home)
-    return readers.samples(spark, home).groupBy("metric", F.col("labels")["instance"].alias("instance")).agg(F.count(F.lit(1)).alias("samples"), F.max("value").alias("most"))
+    sinks.write_samples(g.select("metric", F.create_map(F.lit("instance"), F.col("instance")).alias("labels"), "ts", "value", "job"), home)
+    return readers.samples(spark, home, "gpu").groupBy("job", "metric", F.col("labels")["instance"].alias("instance")).agg(F.count(F.lit(1)).alias("samples"), F.max("value").alias("most"))
+
+
+@query("SELECT event_type, count(*) AS lines, CAST(sum(event_id) AS BIGINT) AS total, true AS in_order FROM events GROUP BY ALL")
+def src_lines(spark, d):
+    """Lines of text files in the order of each file."""
+    e = tables.table(spark, d, "events").select(F.to_json(F.struct("event_id", "event_type")).alias("value"), "event_id")
+    home = folder(spark, "lines")
+    e.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("value").write.text(home)
+    n = F.get_json_object("line", "$.event_id").cast("long")
+    lines = readers.ndjson_lines(spark, home).withColumns({"n": n, "event_type": F.get_json_object("line", "$.event_type")})
+    before = F.lag("n").over(Window.partitionBy("id").orderBy("seq"))
+    lines = lines.withColumn("rises", F.coalesce(F.col("n") > before, F.lit(True)))
+    return lines.groupBy("event_type").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("total"), F.bool_and("rises").alias("in_order"))
 
 
 @query("SELECT CAST(s_suppkey % 7 AS VARCHAR) AS target, count(*) AS probes, round(avg(CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 1 END), 6) AS success FROM supplier GROUP BY ALL")
@@ -308,17 +323,31 @@ _ORDER = ", ".join(f"({i}, '{c[1]}')" for i, c in enumerate(CASES))
 
 
 @query(
-    f"""WITH a AS (SELECT i, category, i % 4 <> 3 AS passed FROM (VALUES {_ORDER}) t(i, category))
+    f"""WITH a AS (SELECT category, (item_id // {len(CASES)}) % 4 <> 3 AS passed FROM benchmark JOIN (VALUES {_ORDER}) t(i, category) ON item_id % {len(CASES)} = i)
     SELECT category, count(*) FILTER (passed) AS passed, count(*) AS total, round(100.0::DOUBLE * count(*) FILTER (passed) / count(*), 6) AS accuracy_percent FROM a GROUP BY ROLLUP (category)"""
 )
 def st_quality_cases(spark, d):
-    """The twenty quality cases with answers in three good spellings and a bad one in turn."""
-    place = spark.createDataFrame([(c[0], i) for i, c in enumerate(CASES)], "case_id string, i int")
-    x, i = F.col("expected"), F.col("i") % 4
+    """Each item of the benchmark asks one of the quality cases; answers come in three good spellings and a bad one in turn."""
+    place = spark.createDataFrame([(c[0], i) for i, c in enumerate(CASES)], "name string, i int")  # twenty rows
+    b = tables.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("item"), (F.col("item_id") % len(CASES)).alias("i"), (F.floor(F.col("item_id") / len(CASES)) % 4).alias("k"))
+    asked = b.join(place, "i").join(cases(spark).withColumnRenamed("case_id", "name"), "name").select(F.col("item").alias("case_id"), "category", "prompt", "expected", "scorer", "k")
+    x, k = F.col("expected"), F.col("k")
     loose = F.col("scorer").isin("number", "normalized")
-    said = F.when(i == 0, x).when(i == 1, F.when(loose, F.concat(F.lit("Answer: "), x)).otherwise(F.concat(F.lit(" "), x))).when(i == 2, F.when(loose, F.concat(x, F.lit("."))).otherwise(F.concat(x, F.lit("\n")))).otherwise("none of these")
-    answers = cases(spark).join(place, "case_id").select("case_id", said.alias("actual"))
-    return r6(stats.accuracy(stats.measured_cases(cases(spark), answers)), "accuracy_percent")
+    said = F.when(k == 0, x).when(k == 1, F.when(loose, F.concat(F.lit("Answer: "), x)).otherwise(F.concat(F.lit(" "), x))).when(k == 2, F.when(loose, F.concat(x, F.lit("."))).otherwise(F.concat(x, F.lit("\n")))).otherwise("none of these")
+    return r6(stats.accuracy(stats.measured_cases(asked.drop("k"), asked.select("case_id", said.alias("actual")))), "accuracy_percent")
+
+
+@query(
+    f"""WITH {RUNS} SELECT phase, (seq - 1) // 100 AS page, CAST(count(*) AS BIGINT) AS runs, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, min(seq) AS first_seq, max(seq) AS last_seq,
+      arg_max(coalesce(prompt_tokens, -1) || ' ' || done_reason, seq) AS last_run FROM runs GROUP BY ALL"""
+)
+def st_run_list(spark, d):
+    """The runs of each phase as arrays of structs, a hundred a page; the arrays are in order."""
+    pages = stats.run_list(tables.runs(spark, d), "seq", ("prompt_tokens", "output_tokens", "done_reason", "decode_seconds"), "phase")
+    last = F.element_at("runs", -1)
+    total = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["output_tokens"])
+    said = F.concat(F.coalesce(last["prompt_tokens"], F.lit(-1)).cast("string"), F.lit(" "), last["done_reason"])
+    return pages.select("phase", "page", F.size("runs").cast("long").alias("runs"), total.alias("output_tokens"), F.element_at("runs", 1)["seq"].alias("first_seq"), last["seq"].alias("last_seq"), said.alias("last_run"))
 
 
 # --- rules --------------------------------------------------------------------

@@ -391,13 +391,17 @@ def st_score_json(spark, d):
 
 
 @query(
-    """WITH c(seq, words, position, code, fraction) AS (VALUES (1, 512, 0.10, 'KESTREL-512', 0.15), (2, 2048, 0.50, 'ORCHID-2048', 0.40), (3, 6144, 0.90, 'SUMMIT-6144', 0.70)),
-    t AS (SELECT *, CAST(least(words, floor(8192 * fraction)) AS INT) AS target FROM c), n AS (SELECT *, CAST(ceil(greatest(target - 60, 1) / 4.0) AS INT) * 4 AS n FROM t)
-    SELECT seq, target, n + 7 AS prompt_words, CAST(floor(n * position::DOUBLE) AS INT) AS words_before FROM n WHERE target >= 128"""
+    """WITH c AS (SELECT item_id AS seq, (item_id * 37) % 6000 + 100 AS words, (item_id % 10) / 10.0::DOUBLE AS position, CASE item_id % 3 WHEN 0 THEN 0.15::DOUBLE WHEN 1 THEN 0.4::DOUBLE ELSE 0.7::DOUBLE END AS fraction FROM benchmark),
+    t AS (SELECT *, CAST(least(words, floor(8192 * fraction)) AS INT) AS target FROM c QUALIFY row_number() OVER (PARTITION BY CAST(least(words, floor(8192 * fraction)) AS INT) ORDER BY seq) = 1),
+    n AS (SELECT *, CAST(ceil(greatest(target - 60, 1) / 4.0) AS INT) * 4 AS n FROM t)
+    SELECT seq, target, n + 7 AS prompt_words, CAST(floor(n * position) AS INT) AS words_before FROM n WHERE target >= 128"""
 )
 def st_context_prompt(spark, d):
-    rows = [(1, 512, 0.10, "KESTREL-512", 0.15), (2, 2048, 0.50, "ORCHID-2048", 0.40), (3, 6144, 0.90, "SUMMIT-6144", 0.70)]
-    c = stats.context_cases(spark.createDataFrame(rows, "seq int, words int, position double, code string, fraction double"), 8192)
+    """A context case for each item of the benchmark: targets are admitted once, and the record stands at its share of the words."""
+    i = F.col("item_id")
+    fraction = F.when(i % 3 == 0, 0.15).when(i % 3 == 1, 0.4).otherwise(0.7)
+    asked = tables.table(spark, d, "benchmark").select(i.alias("seq"), ((i * 37) % 6000 + 100).cast("int").alias("words"), ((i % 10) / 10.0).alias("position"), F.concat(F.lit("C-"), i.cast("string")).alias("code"), fraction.alias("fraction"))
+    c = stats.context_cases(asked, 8192)
     body = F.split(F.split_part(stats.context_prompt(F.col("target"), F.col("position"), F.col("code")), F.lit("\n\n"), F.lit(2)), " ")
     return c.select("seq", "target", F.size(body).alias("prompt_words"), (F.array_position(body, stats.RECORD[0]) - 1).cast("int").alias("words_before"))
 

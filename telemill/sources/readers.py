@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from telemill.schemas import INVOCATION, STREAM_LINE
 
@@ -55,8 +56,9 @@ def probe_samples(probes: DataFrame) -> DataFrame:
     return probes.select("target", F.coalesce((F.col("status") >= 200) & (F.col("status") < 300), F.lit(False)).cast("double").alias("value"))
 
 
-def samples(spark: SparkSession, path: str) -> DataFrame:
-    """Metric samples (metric, labels, ts, value), partitioned by job where they were written so."""
+def samples(spark: SparkSession, path: str, job: str | None = None) -> DataFrame:
+    """Metric samples (metric, labels, ts, value, job) that were written by job; of one job only its partition is read."""
     from telemill.schemas import SAMPLE
 
-    return spark.read.schema(SAMPLE).parquet(path)
+    s = spark.read.schema(StructType([*SAMPLE.fields, StructField("job", StringType())])).parquet(path)
+    return s if job is None else s.filter(F.col("job") == job)
