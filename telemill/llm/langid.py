@@ -319,11 +319,34 @@ def _scorer(model: dict, table: np.ndarray, extra: list[str]):
     return score
 
 
-def train(docs: DataFrame, max_grams: int = 2_000_000, calibration_docs: int = 3000) -> dict | None:
+def _calibration(model: dict, held: DataFrame, most_bytes: int) -> dict:
+    """What `calibrated` adds to a model, found by one task of an executor over rows (text, lang, o) in order of o until their texts come to `most_bytes`, one row at least."""
+    rows = held.withColumn("_size", F.octet_length("text").cast("long")).repartition(1).sortWithinPartitions("o").select("text", "lang", "_size")
+    parts = {k: v for k, v in model.items() if k == "parts"}  # broadcasts themselves
+    shared = held.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "parts"})
+    table = _letters()
+
+    def run(batches):
+        texts, truth, size = [], [], 0
+        for batch in batches:
+            upto = size + np.cumsum(batch.column("_size").to_numpy())
+            n = int(np.searchsorted(upto, most_bytes, "right")) or int(not texts and len(upto) > 0)
+            texts += batch.column("text").slice(0, n).to_pylist()
+            truth += batch.column("lang").slice(0, n).to_pylist()
+            size = int(upto[-1]) if len(upto) else size
+        m = calibrated(shared.value | parts, texts, truth, table)
+        yield pa.RecordBatch.from_arrays([pa.array([m["sharp"]]), pa.array([m["limit"]], pa.list_(pa.float64()))], ["sharp", "limit"])
+
+    got = rows.mapInArrow(tidied(run), "sharp double, limit array<double>").collect()  # one row
+    return model | ({"sharp": got[0]["sharp"], "limit": list(got[0]["limit"])} if got else calibrated(model, [], [], table))
+
+
+def train(docs: DataFrame, max_grams: int = 2_000_000, calibration_docs: int = 3000, calibration_bytes: int = 32_000_000) -> dict | None:
     """A model from docs (doc_id, text, lang), or None without training rows.
 
     Every row is counted. A slice by hash of the doc_id, of about `calibration_docs`
-    rows, calibrates a model of the other rows first. A model of more than
+    rows and, in order of that hash, at most `calibration_bytes` of text, calibrates a
+    model of the other rows first, in a task of an executor. A model of more than
     `max_grams` (language, gram) pairs is kept in parts of about so many rows.
     """
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -332,11 +355,11 @@ def train(docs: DataFrame, max_grams: int = 2_000_000, calibration_docs: int = 3
     slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("calibration")), F.lit(1 << 20))
     tables = Tables(docs.sparkSession)
     counts = tables.keep(gram_counts(docs.filter(slot >= share)))
-    table = _letters()
-    held = docs.filter(slot < share).select("text", "lang").limit(2 * calibration_docs).toArrow()
+    order = F.struct(slot, "doc_id", F.md5("text")).alias("o")
+    held = docs.filter(slot < share).select("text", "lang", order).orderBy("o", "lang").limit(2 * calibration_docs)
     first = _model_of(counts, max_grams) or {"langs": []}
-    scale = calibrated(first, held.column("text").to_pylist() if first["langs"] else [], held.column("lang").to_pylist(), table)
-    if held.num_rows == 0:
+    scale = _calibration(first, held, calibration_bytes) if first["langs"] else calibrated(first, [], [], _letters())
+    if docs.filter(slot < share).isEmpty():
         return scale if scale["langs"] else None
     every = tables.keep(counts.unionByName(gram_counts(docs.filter(slot < share))).groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     model = _model_of(every, max_grams)

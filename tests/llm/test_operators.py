@@ -95,6 +95,14 @@ def test_large_models_lose_nothing(spark, frame):
     assert held["limit"] == pytest.approx(langid.train(docs)["limit"], rel=1e-5)
 
 
+def test_calibration_is_bounded_in_bytes_and_repeatable(spark, frame):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    a, b = (langid.train(docs.repartition(n), calibration_docs=100) for n in (2, 5))
+    assert a["sharp"] == b["sharp"] and a["limit"] == b["limit"] and any(np.isfinite(a["limit"]))
+    few = langid.train(docs, calibration_docs=100, calibration_bytes=1)  # one row: no limit can be told from it
+    assert not any(np.isfinite(few["limit"])) and few["langs"] == a["langs"]
+
+
 def brute_kneser_ney(texts, alphabet):
     """{gram: probability} by dictionaries and recursion, for one language."""
     grams: dict = {}
