@@ -15,7 +15,8 @@ many instead of holding all. Null texts are empty. Base spans are never changed;
 further spans never overlap them. A pattern of two kinds has the one it is surer of,
 then the one with more seeds, then the first listed; a token with patterns of several
 kinds the first listed. Repeated rows have the same spans; an empty table gives no
-rows, and none teach nothing. A column `pii` is replaced.
+rows, and none teach nothing. A column `pii` is replaced. A text is worked on whole: its
+words take some 34 times its bytes of memory, about 100 times in text full of numbers.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ and by byte; if one fails, the slice is worked on again with exact word numbers
 further hashes modulo primes, of new bases, until all hold.
 
 Rows are worked on where they are, nothing is shuffled. Memory: a slice of texts (2 MB,
-or one longer text: some 40 bytes a word) and PAIRS pairs. A null or empty text, or one
+or one longer text: some 50 bytes a word) and PAIRS pairs. A null or empty text, or one
 without words, has no run and the collapsed text is empty; repeated rows are rows each;
 an empty table gives no rows. `keep` columns must not have the names of added ones.
 """
