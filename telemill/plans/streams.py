@@ -112,3 +112,31 @@ def str_lines(spark, d):
     """The streaming twin of line parsing: events counted a stream as lines arrive."""
     lines = shaped_lines(twins.Streamed(spark, d, "conversations"), d)
     return twins.collected(twins.event_counts(lines), "complete")
+
+
+#: Lines as a table that both engines build alike; what they say is read by each engine's own JSON functions.
+LINES = """l AS (SELECT CAST(user_id AS VARCHAR) AS id, event_id AS seq, CASE event_id % 5 WHEN 0 THEN '{"response": "' || event_type || ' "}' WHEN 1 THEN 'data: {"choices":[{"delta":{"content":"' || event_type || '"}}]}'
+    WHEN 2 THEN props WHEN 3 THEN '  data: {"message":{"content":"m' || event_type || '"},"prompt_eval_count":' || event_id % 50 || '}' ELSE 'data: oops ' || event_type END AS line FROM events),
+  j AS (SELECT id, seq, regexp_replace(trim(line), '^data:\\s*', '') AS body FROM l),
+  p AS (SELECT id, seq, CASE WHEN json_valid(body) THEN body END AS body FROM j),
+  x AS (SELECT id, seq, body IS NOT NULL AS known, coalesce(json_extract_string(body, '$.response'), json_extract_string(body, '$.choices[0].delta.content'), json_extract_string(body, '$.message.content'), '') AS text,
+    CAST(json_extract_string(body, '$.prompt_eval_count') AS BIGINT) AS tokens FROM p)"""
+
+
+@query(
+    f"""WITH {LINES} SELECT id, coalesce(string_agg(text, '' ORDER BY seq), '') AS text, CAST(count(*) FILTER (known) AS BIGINT) AS events, min(seq) FILTER (text <> '') AS first_seq,
+      arg_max(tokens, seq) FILTER (tokens IS NOT NULL) AS prompt_tokens FROM x GROUP BY id"""
+)
+def ev_parsed(spark, d):
+    """Streams of every shape, whose expected texts come from parsing the same lines."""
+    e = tables.table(spark, d, "events").withColumn("k", F.col("event_id") % 5)
+    t, props, k = F.col("event_type"), F.col("props"), F.col("k")
+    line = (
+        F.when(k == 0, F.concat(F.lit('{"response": "'), t, F.lit(' "}')))
+        .when(k == 1, F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), t, F.lit('"}}]}')))
+        .when(k == 2, props)
+        .when(k == 3, F.concat(F.lit('  data: {"message":{"content":"m'), t, F.lit('"},"prompt_eval_count":'), (F.col("event_id") % 50).cast("string"), F.lit("}")))
+        .otherwise(F.concat(F.lit("data: oops "), t))
+    )
+    out = stream.folded(e.select(F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq"), line.alias("line")))
+    return out.select("id", "text", "events", "first_seq", F.col("measurement.prompt_tokens").alias("prompt_tokens"))
