@@ -6,7 +6,7 @@ import logging
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -32,43 +32,78 @@ def log_volume(lines: DataFrame, step_seconds: int, label: str, late_seconds: in
     return g.select(F.col("window.start").alias("at"), label, "value")
 
 
+#: Groups that open requests are dealt to by a hash of their id: a group's rows are folded at once, as a call of Python a request costs a millisecond.
+GROUPS = 1024
+OPEN = "ids array<string>, started array<double>, seen array<long>"
+
+
+def group_of(identifier: str = "id") -> Column:
+    return F.pmod(F.xxhash64(identifier), F.lit(GROUPS)).cast("int")
+
+
+def earlier(a: float, b: float) -> float:
+    return b if a != a or b < a else a
+
+
+def news(batches: Iterator[pd.DataFrame]) -> tuple[dict, dict]:
+    """Of each id the first start, and (at, status) of the last finish: of those at the same time the last row, and one without a time comes last."""
+    first, last = {}, {}
+    for pdf in batches:
+        for k, kind, at, status in zip(*[pdf[c].tolist() for c in ("id", "kind", "at", "status")], strict=True):
+            if kind != "finish":
+                first[k] = earlier(first.get(k, at), at)
+            elif k not in last or at != at or at >= last[k][0]:
+                last[k] = (at, None if status is None or status != status else int(status))
+    return first, last
+
+
+def terminal(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["id", "state", "started", "finished", "status"]).astype({"started": float, "finished": float, "status": "Int32"})
+
+
+def ended(last: dict, first: dict) -> pd.DataFrame:
+    """Terminal rows of finishes, whose starts may be unknown."""
+    return terminal([(k, "error" if (status or 0) >= 400 else "completed", first.get(k), at, status) for k, (at, status) in last.items()])
+
+
+def interrupted(opened: dict) -> pd.DataFrame:
+    return terminal([(k, "interrupted", started, None, None) for k, started in opened.items()])
+
+
 def _advance(limit_ms: int | None):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (identifier,) = key
-        started = state.get[0] if state.exists else None
+        now = state.getCurrentProcessingTimeMs() if limit_ms is not None else 0
+        held = {k: (started, seen) for k, started, seen in zip(*state.get, strict=True)} if state.exists else {}
         if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"id": [identifier], "state": ["interrupted"], "started": [started], "finished": [None], "status": [None]})
-            return
-        finish = None
-        for pdf in batches:
-            begins = pdf.loc[pdf["kind"] == "start", "at"]
-            if len(begins):
-                started = float(begins.min()) if started is None else min(started, float(begins.min()))
-            ends = pdf.loc[pdf["kind"] == "finish"].sort_values("at")
-            if len(ends):
-                finish = ends.iloc[-1]
-        if finish is None:
-            state.update((started,))
-            if limit_ms is not None:
-                state.setTimeoutDuration(limit_ms)
+            over = {k: x for k, x in held.items() if x[1] + limit_ms <= now}
+            yield interrupted({k: x[0] for k, x in over.items()})
+            held = {k: x for k, x in held.items() if k not in over}
+        else:
+            first, last = news(batches)
+            for k, started in first.items():
+                held[k] = (earlier(held.get(k, (started,))[0], started), now)
+            if last:
+                yield ended(last, {k: x[0] for k, x in held.items() if k in last})
+            held = {k: x for k, x in held.items() if k not in last}
+        if not held:
+            if state.exists:
+                state.remove()
             return
-        if state.exists:
-            state.remove()
-        status = int(finish["status"])
-        yield pd.DataFrame({"id": [identifier], "state": ["error" if status >= 400 else "completed"], "started": [started], "finished": [float(finish["at"])], "status": [status]})
+        state.update(tuple(map(list, zip(*[(k, *x) for k, x in held.items()], strict=True))))
+        if limit_ms is not None:
+            state.setTimeoutDuration(max(1, min(x[1] for x in held.values()) + limit_ms - now))
 
     return step
 
 
 def lifecycle(transitions: DataFrame, limit_ms: int | None = None) -> DataFrame:
-    """Rows (id, kind start or finish, at, status) to one terminal row a request; state holds only open requests.
+    """Rows (id, kind start or finish, at, status) to one terminal row a request; state holds only open requests, in GROUPS lists.
 
     With `limit_ms`, a request without an end for so long becomes interrupted;
     for a continuous trigger, as such a stream always has a next batch.
     """
     timeout = GroupStateTimeout.NoTimeout if limit_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return transitions.groupBy("id").applyInPandasWithState(_advance(limit_ms), LIFECYCLE, "started double", "append", timeout)
+    return transitions.withColumn("_group", group_of()).groupBy("_group").applyInPandasWithState(_advance(limit_ms), LIFECYCLE, OPEN, "append", timeout)
 
 
 def transitions(inv: DataFrame) -> DataFrame:

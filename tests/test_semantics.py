@@ -363,3 +363,46 @@ def test_partitioned_sinks(spark, tmp_path):
 
     sinks.write_history(invocations(spark), str(tmp_path / "h"))
     assert spark.read.parquet(str(tmp_path / "h")).filter("started_date = '1970-01-01'").count() == 3
+
+
+class Kept:
+    """A stand-in for a group's state, at a processing time."""
+
+    def __init__(self):
+        self.x, self.now, self.hasTimedOut, self.due = None, 0, False, None
+
+    exists = property(lambda self: self.x is not None)
+    get = property(lambda self: self.x)
+
+    def update(self, x):
+        self.x = x
+
+    def remove(self):
+        self.x = self.due = None
+
+    def getCurrentProcessingTimeMs(self):  # noqa: N802
+        return self.now
+
+    def setTimeoutDuration(self, ms):  # noqa: N802
+        self.due = self.now + ms
+
+
+def test_many_requests_are_folded_in_one_call():
+    """A group of requests takes one call a batch, and each is what it would be alone."""
+    import pandas as pd
+
+    step, state = twins._advance(100), Kept()
+    batch = lambda *rows: pd.DataFrame(rows, columns=["id", "kind", "at", "status"])
+
+    def go(now, *frames):
+        state.now = now
+        return {r[0]: r[1:] for f in step((0,), iter(frames), state) for r in f.astype(object).where(f.notna(), None).itertuples(index=False)}
+
+    assert go(0, batch(("a", "start", 2.0, None), ("b", "start", 3.0, None)), batch(("a", "start", 1.0, None), ("b", "finish", 5.0, 200), ("b", "finish", 4.0, 500), ("c", "finish", 9.0, 500))) == {"b": ("completed", 3.0, 5.0, 200), "c": ("error", None, 9.0, 500)}
+    assert state.x == (["a"], [1.0], [0]) and state.due == 100
+    assert go(60, batch(("d", "start", 7.0, None), ("e", "start", 8.0, None))) == {} and state.due == 100
+    state.hasTimedOut = True
+    assert go(100) == {"a": ("interrupted", 1.0, None, None)} and state.due == 160
+    state.hasTimedOut = False
+    assert go(120, batch(("d", "finish", 7.5, 200), ("e", "finish", 8.5, 200), ("e", "finish", 8.5, 404))) == {"d": ("completed", 7.0, 7.5, 200), "e": ("error", 8.0, 8.5, 404)}
+    assert not state.exists
