@@ -13,10 +13,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from telemill.streaming import twins
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LIFECYCLE = "id string, state string, started double, finished double, status int"
 CAPTURED = "id string, response string, truncated boolean"
@@ -78,10 +81,66 @@ class Lifecycle(StatefulProcessor):
         pass
 
 
+class Lifecycles(StatefulProcessor):
+    """What Lifecycle does, for the ids of a group at once: frames of rows with `id` in, open requests as one list, and a timer for the next that is due."""
+
+    def __init__(self, limit: float):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "id string, started double")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def due(self, started: float) -> float:
+        return int((started + self.limit) * 1000) if started == started else float("inf")
+
+    def held(self) -> dict:
+        return {r[0]: r[1] for r in self.open.get()} if self.open.exists() else {}
+
+    def hold(self, held: dict) -> None:
+        if held:
+            self.open.put(list(held.items()))
+        else:
+            self.open.clear()
+        was = self.timer.get()[0] if self.timer.exists() else None
+        due = min(map(self.due, held.values()), default=float("inf"))
+        if due != was:
+            if was is not None:
+                self.handle.deleteTimer(was)
+                self.timer.clear()
+            if due < float("inf"):
+                self.handle.registerTimer(due)
+                self.timer.update((due,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = was = self.held()
+        first, last = twins.news(rows)
+        if first:
+            held = held | {k: twins.earlier(held.get(k, at), at) for k, at in first.items()}
+        if last:
+            yield twins.ended(last, held)
+            held = {k: at for k, at in held.items() if k not in last}
+        if held != was:
+            self.hold(held)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = max(timerValues.getCurrentWatermarkInMs() - 1, expiredTimerInfo.getExpiryTimeInMs())
+        held = self.held()
+        over = {k: at for k, at in held.items() if self.due(at) <= passed}
+        self.timer.clear()  # it goes by itself
+        self.hold({k: at for k, at in held.items() if k not in over})
+        if over:
+            yield twins.interrupted(over)
+
+    def close(self) -> None:
+        pass
+
+
 def lifecycle(transitions: DataFrame, limit: float, late: str = "1 hour") -> DataFrame:
-    """Terminal rows of (id, kind, at, status, ts); ts is the event time."""
-    rows = transitions.withWatermark("ts", late).groupBy("id")
-    return rows.transformWithState(Lifecycle(limit), LIFECYCLE, "append", "EventTime")
+    """Terminal rows of (id, kind, at, status, ts); ts is the event time. Ids are dealt to groups, as each call of Python and of its state costs as much as many rows."""
+    rows = transitions.withWatermark("ts", late).withColumn("_group", twins.group_of()).groupBy("_group")
+    return rows.transformWithStateInPandas(Lifecycles(limit), LIFECYCLE, "append", "EventTime")
 
 
 class Capture(StatefulProcessor):

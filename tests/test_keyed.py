@@ -156,3 +156,28 @@ def test_alerts_in_any_batches(seed):
     out += d.batch([], before, 2000)
     got = sorted(((r["kind"], r["at"], r["since"], r["until"], r["samples"]) for r in out), key=str)
     assert got == brute_alerts(rows, 30_000, 2_000_000)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_lifecycles_of_a_group_are_those_of_its_ids(seed):
+    """One call and one state for all ids of a group; the rows are those of a processor for each id."""
+    import pandas as pd
+
+    rng = random.Random(seed)
+    group, alone, before, want, got = keyed.Lifecycles(10), {k: Driven(keyed.Lifecycle(10)) for k in "abcdef"}, 0, [], []
+    h, plain = Handle(), lambda r: tuple(None if x is None or x != x else x for x in (r[c] for c in ("state", "started", "finished", "status")))
+    group.init(h)
+    for n in range(12):
+        rows = [(rng.choice("abcdef"), *((k := rng.choice(["start", "start", "finish"])), n * 3 + rng.randint(0, 5) + 0.5, rng.choice([200, 500]) if k == "finish" else None)) for _ in range(rng.randint(0, 8))]
+        after = before + rng.randint(0, 6000)
+        for k, d in alone.items():
+            want += [(n, k, *plain(r)) for r in d.batch([go(*r[1:]) for r in rows if r[0] == k], before, after)]
+        frames = list(group.handleInputRows((0,), iter([pd.DataFrame(rows[:3], columns=["id", "kind", "at", "status"]), pd.DataFrame(rows[3:], columns=["id", "kind", "at", "status"])]), Times(before))) if rows else []
+        for t in sorted(t for t in h.timers if t < after):
+            h.timers.discard(t)
+            frames += group.handleExpiredTimer((0,), Times(after), Times(t))
+        assert len(h.timers) <= 1 and min(h.timers, default=after) >= after
+        got += [(n, r["id"], *plain(r)) for f in frames for r in f.astype(object).where(f.notna(), None).to_dict("records")]
+        before = after
+    key = lambda x: tuple(map(str, x))
+    assert sorted(got, key=key) == sorted(want, key=key) and want
