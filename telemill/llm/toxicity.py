@@ -5,13 +5,17 @@ all ASCII punctuation at both ends, unless they are nothing else. A word's
 embedding is the sum of those of three hash buckets: the word, its first 4 and its
 first 6 bytes, so that inflected and compound forms share evidence. Filters of
 widths 1, 2 and 3 slide over the embeddings; the maximum of each filter over the
-whole text feeds a logistic output. Training is numpy, in one task of an executor,
-on a bounded sample of labelled rows (`sample_docs`, and of those as many as come to
-`sample_bytes` of text); only the model reaches the driver. The score is Platt-scaled
-on a held-out part of the sample, and thresholds by language come from the same part.
+whole text feeds a logistic output. All labelled rows train, in shards of about
+`shard_docs` rows, and of each as many at a time as come to `shard_bytes` of text: an
+epoch fits a copy of the model to every shard, in a task each, and takes the mean of
+the copies, of a bucket's embedding weighted by how often a shard has it. Where all
+rows make one shard, its task does all epochs. Only the model, whose size the number
+of buckets bounds, reaches the driver. The score is Platt-scaled on a fifth of the
+rows, which do not train, and thresholds by language come from the same rows, all of
+them: both from sums that Spark makes.
 
 Because pooling takes a maximum, buckets seen in fewer than `min_df` training
-texts share the zero vector: a word never learned cannot raise a score, however
+texts (and fewer than one in RARE) share the zero vector: a word never learned cannot raise a score, however
 long the text. Null and empty texts have the score of no evidence. Without
 labelled rows of both classes every score is 0. Repeated rows have the same score;
 exact copies train once; of several labels of a doc_id the largest counts. An empty
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm._text import U64, flat, lower_ascii, slices, span_hashes, tidied, words
+from telemill.llm._text import U64, Tables, flat, lower_ascii, slices, span_hashes, tidied, words
 
 BITS, DIM, FILTERS, WIDTHS, PREFIXES = 18, 8, 8, (1, 2, 3), (4, 6)
 
@@ -40,6 +44,9 @@ def _trim() -> np.ndarray:
 
 
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
+EPOCHS, MIN_DF, SEED = 8, 8, 7
+#: Beyond RARE times MIN_DF texts a bucket must be in one of so many: chance alone gives every bucket some words of many texts.
+RARE = 600
 #: Bytes of a text that are hashed at once.
 PIECE = 4_000_000
 
@@ -136,37 +143,36 @@ def _logit(model: dict, pooled: np.ndarray) -> np.ndarray:
     return np.maximum(pooled + model["bias"], 0) @ model["out"] + model["base"]
 
 
-def fit(texts: list[str], toxic: np.ndarray, langs: list, epochs: int = 8, min_df: int = 8, seed: int = 7) -> dict | None:
-    """Adam on log loss over minibatches; the last fifth calibrates. Exact copies train once."""
-    once = list({t: i for i, t in reversed(list(enumerate(texts)))}.values())[::-1]
-    if not once or len(set(toxic[once].tolist())) < 2:
-        return None
-    rng = np.random.default_rng(seed)
-    once = rng.permutation(once)
-    cut = max(1, len(once) // 5)
-    hold, use = once[:cut], once[cut:]
-    ids, off = _gathered([texts[i] for i in use])
-    y = toxic[use].astype(np.float32)
-    df = np.zeros((1 << BITS) + 1, np.int64)
-    for i in range(len(use)):
-        df[np.unique(ids[off[i] : off[i + 1]])] += 1
-    known = np.flatnonzero(df >= min_df)
+def _fresh(known: np.ndarray, rate: float, rng: np.random.Generator) -> dict:
+    """A model before training, for the buckets that are known and a share of toxic texts."""
     where = np.zeros((1 << BITS) + 1, np.int32)
     where[known] = np.arange(1, len(known) + 1)
-    model = {
+    return {
         "map": where,
         "emb": np.concatenate([np.zeros((1, DIM)), rng.normal(0, 0.1, (len(known), DIM))]).astype(np.float32),
         "kernels": [rng.normal(0, 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS],
         "bias": np.zeros(FILTERS * len(WIDTHS), np.float32),
         "out": np.abs(rng.normal(0, 0.3, FILTERS * len(WIDTHS))).astype(np.float32),
-        "base": np.float32(np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3))),
+        "base": np.float32(np.log(max(rate, 1e-3) / max(1 - rate, 1e-3))),
     }
+
+
+def _document_counts(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The number of texts that have each bucket."""
+    df = np.zeros((1 << BITS) + 1, np.int64)
+    for i in range(len(off) - 1):
+        df[np.unique(ids[off[i] : off[i + 1]])] += 1
+    return df
+
+
+def _adam(model: dict, ids: np.ndarray, off: np.ndarray, y: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
+    """Adam on log loss over minibatches; it changes the model."""
     params = {"emb": model["emb"], "bias": model["bias"], "out": model["out"], **{f"k{i}": k for i, k in enumerate(model["kernels"])}}
     m = {k: np.zeros_like(v) for k, v in params.items()}
     v = {k: np.zeros_like(p) for k, p in params.items()}
     step = 0
     for _ in range(epochs):
-        order = rng.permutation(len(use))
+        order = rng.permutation(len(y))
         for a in range(0, len(order), 64):
             rows = order[a : a + 64]
             sizes = (off[1:] - off[:-1])[rows]
@@ -196,6 +202,21 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list, epochs: int = 8, min_d
                 m[k] += 0.1 * (g[k] - m[k])
                 v[k] += 0.01 * (g[k] ** 2 - v[k])
                 q -= (0.02 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6) + 1e-3 * q).astype(np.float32)
+
+
+def fit(texts: list[str], toxic: np.ndarray, langs: list, epochs: int = EPOCHS, min_df: int = MIN_DF, seed: int = SEED) -> dict | None:
+    """All epochs over one shard; the last fifth calibrates. Exact copies train once."""
+    once = list({t: i for i, t in reversed(list(enumerate(texts)))}.values())[::-1]
+    if not once or len(set(toxic[once].tolist())) < 2:
+        return None
+    rng = np.random.default_rng(seed)
+    once = rng.permutation(once)
+    cut = max(1, len(once) // 5)
+    hold, use = once[:cut], once[cut:]
+    ids, off = _gathered([texts[i] for i in use])
+    y = toxic[use].astype(np.float32)
+    model = _fresh(np.flatnonzero(_document_counts(ids, off) >= min_df), y.mean(), rng)
+    _adam(model, ids, off, y, epochs, rng)
     return _calibrate(model, [texts[i] for i in hold], toxic[hold], [langs[i] for i in hold])
 
 
@@ -227,34 +248,178 @@ def scores(model: dict, column) -> np.ndarray:
     return 1 / (1 + np.exp(-(model["a"] * z.astype(float) + model["b"])))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 6000, sample_bytes: int = 64_000_000) -> dict | None:
-    """Fits on about `sample_docs` labelled rows, chosen by a hash of doc_id; a document with several labels takes the largest.
+#: Parameters travel as whole numbers of this part of one, so that their sums do not depend on the order of shards.
+UNIT = 2.0**-24
+
 
-    A single task fits; it takes rows in order of that hash until their texts come to `sample_bytes` of UTF-8.
+def _shards(batches, most: int):
+    """(shard, texts, labels) of a task's rows, which come by shard; a shard of more than `most` bytes in pieces."""
+    shard, texts, y, size = None, [], [], 0
+    for batch in batches:
+        for k, text, label in zip(*[batch.column(c).to_pylist() for c in ("shard", "text", "toxic")], strict=True):
+            n = len(text.encode())
+            if texts and (k != shard or size + n > most):
+                yield shard, texts, np.array(y, np.float32)
+                texts, y, size = [], [], 0
+            shard, size = k, size + n
+            texts.append(text)
+            y.append(label)
+    if texts:
+        yield shard, texts, np.array(y, np.float32)
+
+
+def _dense(model: dict) -> np.ndarray:
+    """The parameters that every text has a part in, in rows of DIM."""
+    flat_ = np.concatenate([*[k.ravel() for k in model["kernels"]], model["bias"], model["out"], [model["base"]]])
+    return np.append(flat_, np.zeros(-len(flat_) % DIM)).reshape(-1, DIM)
+
+
+def _with_dense(model: dict, rows: np.ndarray) -> dict:
+    flat_, at, kernels = rows.ravel().astype(np.float32), 0, []
+    for k in model["kernels"]:
+        kernels.append(flat_[at : at + k.size].reshape(k.shape))
+        at += k.size
+    n = FILTERS * len(WIDTHS)
+    return model | {"kernels": kernels, "bias": flat_[at : at + n].copy(), "out": flat_[at + n : at + 2 * n].copy(), "base": flat_[at + 2 * n]}
+
+
+def _counted(rows: DataFrame, most: int) -> np.ndarray:
+    """Texts that have each bucket, over all rows."""
+
+    def run(batches):
+        df = np.zeros((1 << BITS) + 1, np.int64)
+        for _, texts, _ in _shards(batches, most):
+            df += _document_counts(*_gathered(texts))
+        has = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(df[has])], ["bucket", "n"])
+
+    got = rows.mapInArrow(tidied(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((1 << BITS) + 1, np.int64)
+    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _averaged(rows: DataFrame, model: dict, number: int, most: int) -> dict:
+    """The model after an epoch: the mean of what it becomes on each shard. Buckets that a shard lacks take no part in it."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    names = [f"v{i}" for i in range(DIM)]
+
+    def run(batches):
+        whole = shared.value
+        for shard, texts, y in _shards(batches, most):
+            ids, off = _gathered(texts)
+            times = np.bincount(whole["map"][ids].ravel(), minlength=len(whole["emb"]))
+            times[0] = 0
+            own = np.flatnonzero(times)
+            place = np.zeros(len(whole["emb"]), np.int32)
+            place[own] = np.arange(1, len(own) + 1)
+            mine = _with_dense(whole, _dense(whole)) | {"map": place[whole["map"]], "emb": whole["emb"][np.append(0, own)]}
+            _adam(mine, ids, off, y, 1, np.random.default_rng([SEED, number, shard]))
+            dense = _dense(mine)
+            key = np.concatenate([own, -1 - np.arange(len(dense))])
+            weight = np.concatenate([times[own], np.full(len(dense), len(y))])
+            values = np.rint(np.concatenate([mine["emb"][1:], dense]).astype(float) / UNIT).astype(np.int64) * weight[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(weight), *map(pa.array, values.T.copy())], ["key", "weight", *names])
+
+    kinds = ", ".join(f"{n} long" for n in ("key", "weight", *names))
+    got = rows.mapInArrow(tidied(run), kinds).groupBy("key").agg(*[F.sum(n).alias(n) for n in ("weight", *names)]).toArrow()
+    shared.destroy()
+    key = got["key"].to_numpy()
+    mean = np.stack([got[n].to_numpy() for n in names], 1) / got["weight"].to_numpy()[:, None] * UNIT
+    emb, dense = model["emb"].copy(), _dense(model)
+    emb[key[key > 0]] = mean[key > 0]
+    dense[-1 - key[key < 0]] = mean[key < 0]
+    return _with_dense(model, dense) | {"emb": emb}
+
+
+def _calibrated(tables: Tables, held: DataFrame, model: dict) -> dict:
+    """_calibrate over rows of any number: Newton's method for the scale, with sums over all of them a step, and counts at each threshold by language."""
+    shared = held.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                z = _logit(shared.value, _scored(shared.value, *buckets(part.column("text")))).astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(z), part.column("toxic"), part.column("lang")], ["z", "y", "lang"])
+
+    seen = tables.keep(held.mapInArrow(tidied(run), "z double, y int, lang string"))
+    n, ones = seen.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    a, b = 1.0, 0.0
+    t = F.when(F.col("y") == 1, (ones + 1) / (ones + 2)).otherwise(1 / (n - ones + 2))
+    for _ in range(30 if n else 0):
+        p = 1 / (1 + F.exp(-(a * F.col("z") + b)))
+        w, z = p * (1 - p), F.col("z")
+        ga, gb, haa, hab, hbb = seen.agg(*map(F.avg, ((p - t) * z, p - t, w * z * z, w * z, w))).first()
+        step = np.linalg.solve([[haa + 1e-3, hab], [hab, hbb + 1e-9]], [ga + 1e-3 * (a - 1), gb])
+        step *= min(1.0, 1 / np.abs(step).max()) if step.any() else 1.0
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-7:
+            break
+    model = model | {"a": max(float(a), 0.05), "b": float(b), "thresholds": {}}
+    cuts = [float(c) for c in np.arange(0.3, 0.71, 0.05)]
+    p = 1 / (1 + F.exp(-(model["a"] * F.col("z") + model["b"])))
+    yes = lambda c: F.count_if(p >= c)
+    hit = lambda c: F.count_if((p >= c) & (F.col("y") == 1))
+    f1 = F.array(*[2 * hit(c) / (F.sum("y") + yes(c)) for c in cuts])
+    for lang, scores_ in seen.filter("lang is not null").groupBy("lang").agg(F.count("y").alias("n"), F.sum("y").alias("ones"), f1.alias("f1")).filter("n >= 20 and ones > 0 and ones < n").select("lang", "f1").collect():
+        good = np.array(cuts)[np.array(scores_) >= max(scores_) - 1e-12]
+        model["thresholds"][lang] = float(good[np.abs(good - 0.5).argmin()])
+    tables.drop(seen)
+    shared.destroy()
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, shard_docs: int = 6000, shard_bytes: int = 64_000_000, sample_bytes: int | None = None) -> dict | None:
+    """Fits on all labelled rows; a document with several labels takes the largest, and of exact copies the one first by a hash of doc_id trains.
+
+    A shard has about `shard_docs` rows, and a task works on at most `shard_bytes` of text
+    at once (`sample_bytes` is its former name; nothing is left out).
     """
-    labels = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = labels.count()
-    if n == 0:
-        return None
-    share = min(1.0, sample_docs / n)
-    chosen = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxic")), F.lit(1 << 20))
-    few = lambda d: d.filter(chosen < int(share * (1 << 20)))
+    shard_bytes = sample_bytes or shard_bytes
+    labels = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxic")), F.lit(1 << 20)).alias("place")
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = few(docs.filter(F.col("text").isNotNull()).select("doc_id", "text", lang.alias("lang"))).join(few(labels), "doc_id")
-    rows = rows.orderBy(chosen, "doc_id", F.md5("text")).limit(2 * sample_docs).repartition(1).sortWithinPartitions(chosen, "doc_id", F.md5("text")).select("text", "toxic", "lang")
+    texts = docs.filter(F.col("text").isNotNull()).select("doc_id", F.sha2("text", 256).alias("sha"), "text", lang.alias("lang"), place)
+    tables = Tables(docs.sparkSession)
+    first = tables.keep(texts.select("doc_id", "sha", "place").join(labels, "doc_id").groupBy("sha").agg(F.min(F.struct("place", "doc_id", "toxic")).alias("x")).select("sha", "x.doc_id", "x.toxic"))
+    n, kinds = first.agg(F.count("sha"), F.count_distinct("toxic")).first()
+    if kinds < 2:
+        tables.drop(first)
+        return None
+    shards = -(-n // shard_docs)
+    both = ("doc_id", "sha")  # texts move once
+    rows = texts.repartition(shards, *both).join(first.repartition(shards, *both), list(both)).dropDuplicates(list(both))
+    hold = (F.pmod(F.xxhash64("sha"), F.lit(5)) == 0).alias("hold")
+    rows = tables.keep(rows.select("text", "toxic", "lang", "place", "doc_id", "sha", F.spark_partition_id().alias("shard"), hold).sortWithinPartitions("place", "doc_id", "sha"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
+    if shards == 1 and size <= shard_bytes:
+        model = _fitted(rows)
+    else:
+        use = rows.filter("not hold").select("text", "toxic", "shard")
+        df, (m, ones) = _counted(use, shard_bytes), use.agg(F.count("toxic"), F.sum("toxic")).first()
+        model = None
+        if m and 0 < ones < m:
+            model = _fresh(np.flatnonzero(df >= max(MIN_DF, -(-m // RARE))), ones / m, np.random.default_rng(SEED))
+            for number in range(EPOCHS):
+                model = _averaged(use, model, number, shard_bytes)
+            model = _calibrated(tables, rows.filter("hold"), model)
+    tables.drop(first, rows)
+    return model
+
+
+def _fitted(rows: DataFrame) -> dict | None:
+    """fit() on rows that make one shard, in a task."""
+    order = ("place", "doc_id", "sha")
 
     def run(batches):
-        texts, toxic, langs, size = [], [], [], 0
+        texts, toxic, langs = [], [], []
         for batch in batches:
-            for text, y, language in zip(*[batch.column(c).to_pylist() for c in ("text", "toxic", "lang")], strict=True):
-                size += len(text.encode())
-                if size <= sample_bytes or not texts:
-                    texts.append(text)
-                    toxic.append(int(y))
-                    langs.append(language)
+            for column, name in ((texts, "text"), (toxic, "toxic"), (langs, "lang")):
+                column += batch.column(name).to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, np.array(toxic, np.int64), langs))], pa.binary())], ["model"])
 
-    got = rows.mapInArrow(tidied(run), "model binary").collect()
+    one = rows.repartition(1).sortWithinPartitions(*order).select("text", "toxic", "lang")
+    got = one.mapInArrow(tidied(run), "model binary").collect()
     return pickle.loads(bytes(got[0][0])) if got else None
 
 

@@ -560,6 +560,28 @@ def test_toxicity_clashing_and_repeated(spark, frame):
     assert small is None or 0 < small["emb"].shape[0]
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, frame):
+    """A word of a few rows counts wherever they lie, however small the shards; counts and the calibration are over all rows."""
+    rows = [(i, ("you rude fool here " if i % 4 == 0 else "a kind day here ") + f"n{i}" + (f" rare{i % 40}" * (i % 8 == 3)), "en" if i % 2 else None, "a") for i in range(1200)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(1200)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(frame(rows), labels, shard_docs=150)
+    hashed = frame(rows).select("text", (F.pmod(F.xxhash64(F.sha2("text", 256)), F.lit(5)) == 0).alias("hold")).collect()
+    use = [r["text"] for r in hashed if not r["hold"]]
+    df = toxicity._document_counts(*toxicity.buckets(pa.array(use)))
+    assert set(np.flatnonzero(model["map"]).tolist()) == set(np.flatnonzero(df >= 8).tolist())
+    assert 8 * 150 == len(rows) and len(use) > 6 * 150
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(frame(rows), model).collect()}
+    assert all((p >= 0.5) == (i % 4 == 0) for i, p in got.items())
+    held = [(r["text"], int("fool" in r["text"])) for r in hashed if r["hold"]]
+    z = toxicity._logit(model, toxicity._scored(model, *toxicity.buckets(pa.array([t for t, _ in held])))).astype(float)
+    y = np.array([y for _, y in held])
+    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    d = 1 / (1 + np.exp(-(model["a"] * z + model["b"]))) - t
+    assert abs(np.mean(d * z) + 1e-3 * (model["a"] - 1)) < 1e-5 and abs(np.mean(d)) < 1e-5
+    again = toxicity.train(frame(rows), labels, shard_docs=150)
+    assert (again["emb"] == model["emb"]).all()
+
+
 # --- 7 ------------------------------------------------------------------------
 
 SECRETS = (
