@@ -5,9 +5,9 @@ a fall being a reset that counts with its new value, over the window's length; a
 series with fewer than two samples has none. Grids take the latest sample not
 older than the lookback.
 
-What a sample needs of its neighbours in the series is found within a day, and the
-last or first sample of the nearest other day is joined to the day's edge, so a long
-series is many tasks.
+What a sample needs of its neighbours in the series is found within a stretch of time
+(a day, or a part of the window or range), and the last or first sample of the nearest
+other stretch is joined to its edge, so a long series is many tasks.
 """
 
 from __future__ import annotations
@@ -30,16 +30,29 @@ def within(samples: DataFrame, at: str, secs: int) -> DataFrame:
     return samples.filter((F.col("ts") > t - F.make_dt_interval(secs=F.lit(secs))) & (F.col("ts") <= t))
 
 
-def beside(samples: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...], later: bool = False) -> DataFrame:
-    """samples with `_near`: a struct of the columns of the sample before (or after) in the series, null if there is none."""
-    d = samples.withColumn("_cell", F.struct(*keys, F.to_date("ts").alias("_day")))  # never null itself, so that it joins
+#: Stretches that a window or range of samples is cut into.
+STRETCHES = 96
+
+
+def _stretch(start: Column, end: Column) -> Column:
+    """The number of the stretch of (start, end], microseconds, that a sample lies in."""
+    return F.floor((F.unix_micros("ts") - start) * STRETCHES / (end - start))
+
+
+def beside(samples: DataFrame, keys: tuple[str, ...], columns: tuple[str, ...], later: bool = False, stretch: Column | None = None) -> DataFrame:
+    """samples with `_near`: a struct of the columns of the sample before (or after) in the series, null if there is none.
+
+    Samples of the same time are in order of their values, so that a counter does not fall
+    between them. `stretch` grows with time: what is worked on at once, else a day.
+    """
+    d = samples.withColumn("_cell", F.struct(*keys, (F.to_date("ts") if stretch is None else stretch).alias("_day")))  # never null itself, so that it joins
     own = F.struct(*columns)
-    edge = (F.min_by if later else F.max_by)(own, F.col("ts"))
+    edge = (F.min_by if later else F.max_by)(own, F.struct("ts", "value"))
     days = d.groupBy("_cell").agg(edge.alias("_edge"))
     day = F.col("_cell._day")
     series = Window.partitionBy(*[f"_cell.{k}" for k in keys]).orderBy(day.desc() if later else day.asc())
     days = days.withColumn("_edge", F.lag("_edge").over(series))
-    inside = Window.partitionBy("_cell").orderBy(F.desc("ts") if later else F.asc("ts"))
+    inside = Window.partitionBy("_cell").orderBy(*[F.desc(c) if later else F.asc(c) for c in ("ts", "value")])
     near = F.lag(own).over(inside)
     return d.join(days, "_cell").withColumn("_near", F.coalesce(near, "_edge")).drop("_cell", "_edge")
 
@@ -55,14 +68,15 @@ def instant(samples: DataFrame, at: str, keys: tuple[str, ...], lookback: int =
 
 
 def rate(samples: DataFrame, at: str, secs: int, keys: tuple[str, ...]) -> DataFrame:
-    s = beside(within(samples, at, secs), keys, ("value",)).withColumn("step", _step())
+    t = F.unix_micros(at_time(at))
+    s = beside(within(samples, at, secs), keys, ("value",), stretch=_stretch(t - secs * 1_000_000, t)).withColumn("step", _step())
     return s.groupBy(*keys).agg((F.sum("step") / secs).alias("value"), F.count(F.lit(1)).alias("_n")).filter("_n >= 2").drop("_n")
 
 
 def rate_grid(samples: DataFrame, start: str, end: str, step: int, secs: int, keys: tuple[str, ...]) -> DataFrame:
     """(keys, at, value): the rate on a step grid. Each step's samples are found by equi-assignment to the grid points whose window holds them."""
     s = samples.filter((F.col("ts") > at_time(start) - F.make_dt_interval(secs=F.lit(secs))) & (F.col("ts") <= at_time(end)))
-    s = beside(s, keys, ("value", "ts")).select(*keys, "ts", _step().alias("delta"), F.col("_near.ts").alias("before"))
+    s = beside(s, keys, ("value", "ts"), stretch=_stretch(F.unix_micros(at_time(start)) - secs * 1_000_000, F.unix_micros(at_time(end)))).select(*keys, "ts", _step().alias("delta"), F.col("_near.ts").alias("before"))
     return grid_of_steps(s, start, end, step, secs, keys)
 
 
@@ -82,7 +96,7 @@ def step_grid(samples: DataFrame, start: str, end: str, step: int, keys: tuple[s
     """(keys, at, value): the latest sample at each grid point; an as-of lookup without a range join."""
     s = samples.filter((F.col("ts") > at_time(start) - F.make_dt_interval(secs=F.lit(lookback))) & (F.col("ts") <= at_time(end)))
     t0, n = F.unix_micros(at_time(start)), F.lit(step * 1_000_000)
-    s = beside(s, keys, ("ts",), later=True)
+    s = beside(s, keys, ("ts",), later=True, stretch=_stretch(t0 - lookback * 1_000_000, F.unix_micros(at_time(end))))
     first = F.greatest(F.lit(0), F.ceil((F.unix_micros("ts") - t0) / n).cast("bigint"))
     steps = F.floor((F.unix_micros(at_time(end)) - t0) / n).cast("bigint")
     stale = F.ceil((F.unix_micros("ts") + lookback * 1_000_000 - t0) / n).cast("bigint") - 1

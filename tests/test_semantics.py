@@ -406,3 +406,13 @@ def test_many_requests_are_folded_in_one_call():
     state.hasTimedOut = False
     assert go(120, batch(("d", "finish", 7.5, 200), ("e", "finish", 8.5, 200), ("e", "finish", 8.5, 404))) == {"d": ("completed", 7.0, 7.5, 200), "e": ("error", 8.0, 8.5, 404)}
     assert not state.exists
+
+
+def test_samples_of_the_same_time_do_not_reset_a_counter(spark):
+    """Cumulative counts of events at one time are in order of their values, whatever order they are read in."""
+    rows = [("a", "2024-01-01 00:00:10", 7.0), ("a", "2024-01-01 00:00:20", 12.0), ("a", "2024-01-01 00:00:20", 9.0), ("a", "2024-01-01 00:00:20", 11.0), ("a", "2024-01-01 00:00:30", 13.0)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "s string, t string, value double").withColumn("ts", F.col("t").cast("timestamp")).coalesce(1)
+        assert timeseries.rate(df, "2024-01-01 00:00:40", 60, ("s",)).first()["value"] == 6 / 60
+        grid = timeseries.rate_grid(df, "2024-01-01 00:00:40", "2024-01-01 00:00:40", 60, 60, ("s",))
+        assert grid.first()["value"] == 6 / 60
