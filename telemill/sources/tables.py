@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -44,12 +44,17 @@ def invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def running(df: DataFrame, value: str, keys: tuple[str, ...], order: tuple[str, ...], stretch) -> DataFrame:
     """df with `running`: the sum of a value so far in each series. Stretches of the order (such as days) are summed first, so that no series is one task; keys may be null, which is a series too."""
+    return all_running(df, {"running": F.col(value)}, keys, order, stretch)
+
+
+def all_running(df: DataFrame, values: dict[str, Column], keys: tuple[str, ...], order: tuple[str, ...], stretch) -> DataFrame:
+    """df with a column a value: what `running` is, of several values of a row in one pass."""
     d = df.withColumn("_cell", F.struct(*keys, stretch.alias("_day")))  # never null itself, so that it joins
-    days = d.groupBy("_cell").agg(F.sum(value).alias("_sum"))
+    days = d.groupBy("_cell").agg(F.struct(*[F.sum(v).alias(n) for n, v in values.items()]).alias("_sum"))
     before = Window.partitionBy(*[f"_cell.{k}" for k in keys]).orderBy("_cell._day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    days = days.select("_cell", F.struct(*[F.coalesce(F.sum(f"_sum.{n}").over(before), F.lit(0)).alias(n) for n in values]).alias("_base"))
     inside = Window.partitionBy("_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return d.join(days, "_cell").withColumn("running", F.col("_base") + F.sum(value).over(inside)).drop("_cell", "_base")
+    return d.join(days, "_cell").withColumns({n: F.col(f"_base.{n}") + F.sum(v).over(inside) for n, v in values.items()}).drop("_cell", "_base")
 
 
 def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,13 +69,14 @@ def gauge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bucket_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cumulative latency buckets: (instance, le, ts, value), a sample an event and bound."""
+    """Cumulative latency buckets: (instance, le, ts, value), a sample an event and bound. The counts of all bounds run side by side in an event's row, which becomes samples afterwards."""
     from telemill.schemas import BUCKETS
 
-    own = (F.col("user_id") % 3).cast("string").alias("instance")
-    e = _events(spark, sf_dir).select(own, "ts", "event_id", F.explode(F.array(*[F.struct(F.lit(b).alias("le"), (F.col("value") <= b).cast("int").alias("hit")) for b in (*BUCKETS, float("inf"))])).alias("x"))
-    e = e.select("instance", "x.le", "ts", "event_id", "x.hit")
-    return running(e, "hit", ("instance", "le"), ("ts", "event_id"), F.to_date("ts")).select("instance", "le", "ts", F.col("running").cast("double").alias("value"))
+    bounds = {f"_le{i}": b for i, b in enumerate((*BUCKETS, float("inf")))}
+    e = _events(spark, sf_dir).select((F.col("user_id") % 3).cast("string").alias("instance"), "ts", "event_id", F.col("value").alias("_v"))
+    e = all_running(e, {n: (F.col("_v") <= b).cast("int") for n, b in bounds.items()}, ("instance",), ("ts", "event_id"), F.date_trunc("hour", "ts"))
+    x = F.explode(F.array(*[F.struct(F.lit(b).alias("le"), F.col(n).cast("double").alias("value")) for n, b in bounds.items()]))
+    return e.select("instance", "ts", x.alias("x")).select("instance", "x.le", "ts", "x.value")
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -416,3 +416,13 @@ def test_samples_of_the_same_time_do_not_reset_a_counter(spark):
         assert timeseries.rate(df, "2024-01-01 00:00:40", 60, ("s",)).first()["value"] == 6 / 60
         grid = timeseries.rate_grid(df, "2024-01-01 00:00:40", "2024-01-01 00:00:40", 60, 60, ("s",))
         assert grid.first()["value"] == 6 / 60
+
+
+def test_bucket_samples_are_made_after_the_running_counts(spark):
+    """Windows sort an event once, not once a bound."""
+    from telemill.sources import tables
+
+    s = tables.bucket_samples(spark, "/root/testdata/sf0.001")
+    plan = s._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Window")
+    assert s.count() == 12 * 1000
