@@ -41,11 +41,11 @@ class Tables:
         self.files = self.path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.files.deleteOnExit(self.path(self.folder))
 
-    def keep(self, df):
-        """Writes a frame and reads it back, as a new one without lineage."""
+    def keep(self, df, **options):
+        """Writes a frame, with options of the format, and reads it back, as a new one without lineage."""
         self.number += 1
         path = f"{self.folder}/{self.number}"
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._telemill_path = path
         return out
@@ -96,8 +96,9 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
-    """Row slices of a batch of about `limit` bytes of the column each; a longer text stands alone."""
-    a = strings(batch.column(column))
+    """Row slices of a batch of about `limit` bytes of the column each, or elements of lists; a longer text stands alone."""
+    a = batch.column(column)
+    a = a if pa.types.is_list(a.type) else strings(a)
     if len(a) == 0:
         return
     off = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64)

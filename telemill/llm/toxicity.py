@@ -8,11 +8,12 @@ widths 1, 2 and 3 slide over the embeddings; the maximum of each filter over the
 whole text feeds a logistic output. All labelled rows train, in shards of about
 `shard_docs` rows, and of each as many at a time as come to `shard_bytes` of text: an
 epoch fits a copy of the model to every shard, in a task each, and takes the mean of
-the copies, of a bucket's embedding weighted by how often a shard has it. Where all
-rows make one shard, its task does all epochs. Only the model, whose size the number
-of buckets bounds, reaches the driver. The score is Platt-scaled on a fifth of the
-rows, which do not train, and thresholds by language come from the same rows, all of
-them: both from sums that Spark makes.
+the copies, of a bucket's embedding weighted by how often a shard has it. Epochs read
+a table of the words' buckets, which are found once. Where all rows make one shard,
+its task does all epochs. Only the model, whose size the number of buckets bounds,
+reaches the driver. The score is Platt-scaled on a fifth of the rows, which do not
+train, and thresholds by language come from the same rows, all of them: both from
+sums that Spark makes.
 
 Because pooling takes a maximum, buckets seen in fewer than `min_df` training
 texts (and fewer than one in RARE) share the zero vector: a word never learned cannot raise a score, however
@@ -53,11 +54,13 @@ PIECE = 4_000_000
 
 def _stripped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans of words without the marks at either end; words of marks alone as they are."""
-    inner = np.flatnonzero(~_trim()[data])
-    a, b = np.searchsorted(inner, starts), np.searchsorted(inner, ends) - 1
+    mark = _trim()[data]
+    marked = np.flatnonzero(mark[starts] | mark[ends - 1])
+    inner = np.flatnonzero(~mark)
+    a, b = np.searchsorted(inner, starts[marked]), np.searchsorted(inner, ends[marked]) - 1
     some = a <= b
     out = starts.copy(), ends.copy()
-    out[0][some], out[1][some] = inner[a[some]], inner[b[some]] + 1
+    out[0][marked[some]], out[1][marked[some]] = inner[a[some]], inner[b[some]] + 1
     return out
 
 
@@ -101,8 +104,16 @@ def _pad(ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, off[:-1] + 2 * np.arange(n)
 
 
-#: Positions that filters are laid over at once when scoring.
-POSITIONS = 1 << 18
+#: Positions that filters are laid over at once when scoring; their outputs stay in a core's cache.
+POSITIONS = 1 << 14
+
+
+def _embedded(emb: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sums of the embeddings of each word's buckets."""
+    e = emb.take(x[:, 0], 0)
+    for c in range(1, x.shape[1]):
+        e += emb.take(x[:, c], 0)
+    return e
 
 
 def _scored(model: dict, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -112,7 +123,7 @@ def _scored(model: dict, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
     out = np.full((len(first), FILTERS * len(WIDTHS)), -np.inf, np.float32)
     for a in range(0, n, POSITIONS):
         b = min(n, a + POSITIONS)
-        e = model["emb"][x[a : b + 2]].sum(1)
+        e = _embedded(model["emb"], x[a : b + 2])
         lo, hi = np.searchsorted(first, a, "right") - 1, np.searchsorted(first, b)
         cuts = np.maximum(first[lo:hi], a) - a
         y = [sum(e[k : k + b - a] @ kernel[k] for k in range(w)) for w, kernel in zip(WIDTHS, model["kernels"], strict=True)]
@@ -120,23 +131,23 @@ def _scored(model: dict, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pooled(model: dict, ids: np.ndarray, off: np.ndarray):
-    """Largest filter outputs a width (texts, filters), their positions, and the padded buckets."""
-    x, first = _pad(model["map"][ids], off)
+def _pooled(model: dict, known: np.ndarray, off: np.ndarray):
+    """Largest filter outputs a width (texts, filters), their first positions, the padded buckets and their embeddings; buckets are those of the model."""
+    x, first = _pad(known, off)
     n = len(x) - 2
-    e = model["emb"][x].sum(1)
-    own = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+    e = _embedded(model["emb"], x)
+    sizes = np.diff(np.append(first, n))
+    own = np.repeat(np.arange(len(first)), sizes)
     best, places = [], []
     for w, kernel in zip(WIDTHS, model["kernels"], strict=True):
         y = sum(e[k : n + k] @ kernel[k] for k in range(w))
         top = np.maximum.reduceat(y, first, axis=0)
         best.append(top)
         at = np.zeros(top.shape, np.int64)
-        for f in range(FILTERS):
-            hit = np.flatnonzero(y[:, f] == top[own, f])
-            at[own[hit][::-1], f] = hit[::-1]
+        hit, f = np.divmod(np.flatnonzero(y == np.repeat(top, sizes, 0))[::-1], FILTERS)
+        at[own[hit], f] = hit
         places.append(at)
-    return best, places, x
+    return best, places, x, e
 
 
 def _logit(model: dict, pooled: np.ndarray) -> np.ndarray:
@@ -159,49 +170,82 @@ def _fresh(known: np.ndarray, rate: float, rng: np.random.Generator) -> dict:
 
 def _document_counts(ids: np.ndarray, off: np.ndarray) -> np.ndarray:
     """The number of texts that have each bucket."""
-    df = np.zeros((1 << BITS) + 1, np.int64)
+    df, last = np.zeros((1 << BITS) + 1, np.int64), np.zeros((1 << BITS) + 1, np.int32)
     for i in range(len(off) - 1):
-        df[np.unique(ids[off[i] : off[i + 1]])] += 1
+        own = ids[off[i] : off[i + 1]].ravel()
+        at = np.arange(len(own), dtype=np.int32)
+        last[own] = at
+        df[own[last[own] == at]] += 1
     return df
 
 
-def _adam(model: dict, ids: np.ndarray, off: np.ndarray, y: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
-    """Adam on log loss over minibatches; it changes the model."""
+#: Numbers of a parameter that are changed at once, in a core's cache.
+BLOCK = 1 << 14
+
+
+def _step(q: np.ndarray, g: np.ndarray, m: np.ndarray, v: np.ndarray, number: int) -> None:
+    """A step of Adam with weight decay, in place."""
+    q, g, m, v = (a.reshape(-1) for a in (q, g, m, v))
+    for a in range(0, len(q), BLOCK):
+        qa, ga, ma, va = (x[a : a + BLOCK] for x in (q, g, m, v))
+        t = ga - ma
+        t *= 0.1
+        ma += t
+        np.square(ga, out=t)
+        t -= va
+        t *= 0.01
+        va += t
+        np.divide(va, 1 - 0.99**number, out=t)
+        np.sqrt(t, out=t)
+        t += 1e-6
+        u = ma / (1 - 0.9**number)
+        u *= 0.02
+        u /= t
+        np.multiply(qa, 1e-3, out=t)
+        u += t
+        qa -= u
+
+
+def _adam(model: dict, known: np.ndarray, off: np.ndarray, y: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
+    """Adam on log loss over minibatches; it changes the model. The buckets are those of the model."""
     params = {"emb": model["emb"], "bias": model["bias"], "out": model["out"], **{f"k{i}": k for i, k in enumerate(model["kernels"])}}
     m = {k: np.zeros_like(v) for k, v in params.items()}
     v = {k: np.zeros_like(p) for k, p in params.items()}
-    step = 0
+    step, lengths, gemb = 0, np.diff(off), np.zeros_like(model["emb"])
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for a in range(0, len(order), 64):
             rows = order[a : a + 64]
-            sizes = (off[1:] - off[:-1])[rows]
+            sizes = lengths[rows]
             take = np.repeat(off[rows] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            best, places, x = _pooled(model, ids[take], np.concatenate([[0], np.cumsum(sizes)]))
+            best, places, x, e = _pooled(model, known[take], np.concatenate([[0], np.cumsum(sizes)]))
             pooled = np.concatenate(best, 1)
             act = np.maximum(pooled + model["bias"], 0)
             p = 1 / (1 + np.exp(-(act @ model["out"] + model["base"])))
             d = (p - y[rows]) / len(rows)
-            g = {"out": act.T @ d, "emb": np.zeros_like(model["emb"])}
+            g = {"out": act.T @ d, "emb": gemb}
             dz = (d[:, None] * model["out"]) * (act > 0)
             g["bias"] = dz.sum(0)
             model["base"] -= np.float32(0.05 * d.sum())
+            where, what = [], []
             for i, (w, kernel) in enumerate(zip(WIDTHS, model["kernels"], strict=True)):
                 dw = dz[:, i * FILTERS : (i + 1) * FILTERS]
                 gk = np.zeros_like(kernel)
                 for k in range(w):
-                    at = x[places[i] + k]  # (texts, filters, buckets)
+                    at = places[i] + k
                     for f in range(FILTERS):
-                        gk[k, :, f] = model["emb"][at[:, f]].sum(1).T @ dw[:, f]
-                        for c in range(at.shape[2]):
-                            np.add.at(g["emb"], at[:, f, c], dw[:, f, None] * kernel[k, :, f])
+                        gk[k, :, f] = e[at[:, f]].T @ dw[:, f]
+                    where.append(x[at].transpose(1, 2, 0))  # (filters, buckets, texts)
+                    part = dw.T[:, None, :, None] * kernel[k].T[:, None, None]
+                    what.append(np.broadcast_to(part, (*where[-1].shape, DIM)))
                 g[f"k{i}"] = gk
-            g["emb"][0] = 0
+            gemb[:] = 0
+            cells = np.concatenate([c.reshape(-1) for c in where])[:, None] * DIM + np.arange(DIM)
+            np.add.at(gemb.reshape(-1), cells.reshape(-1), np.concatenate([c.reshape(-1) for c in what]))
+            gemb[0] = 0
             step += 1
             for k, q in params.items():
-                m[k] += 0.1 * (g[k] - m[k])
-                v[k] += 0.01 * (g[k] ** 2 - v[k])
-                q -= (0.02 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6) + 1e-3 * q).astype(np.float32)
+                _step(q, g[k], m[k], v[k], step)
 
 
 def fit(texts: list[str], toxic: np.ndarray, langs: list, epochs: int = EPOCHS, min_df: int = MIN_DF, seed: int = SEED) -> dict | None:
@@ -216,7 +260,7 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list, epochs: int = EPOCHS,
     ids, off = _gathered([texts[i] for i in use])
     y = toxic[use].astype(np.float32)
     model = _fresh(np.flatnonzero(_document_counts(ids, off) >= min_df), y.mean(), rng)
-    _adam(model, ids, off, y, epochs, rng)
+    _adam(model, model["map"][ids], off, y, epochs, rng)
     return _calibrate(model, [texts[i] for i in hold], toxic[hold], [langs[i] for i in hold])
 
 
@@ -252,20 +296,61 @@ def scores(model: dict, column) -> np.ndarray:
 UNIT = 2.0**-24
 
 
+#: Room for the distinct words of a shard, so that its table is smaller than its texts.
+DICTIONARY = {"parquet.dictionary.page.size": 8_000_000}
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """Rows of labelled texts with their words in place of the text: the three buckets of a word as one number, few of which are distinct."""
+    kinds = "words array<bigint>, size long, toxic int, lang string, shard int, hold boolean"
+    names = ("size", "toxic", "lang", "shard", "hold")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids, off = buckets(part.column("text"))
+                packed = sum(ids[:, c].astype(np.int64) << (BITS + 1) * c for c in range(ids.shape[1]))
+                listed = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(packed))
+                yield pa.RecordBatch.from_arrays([listed, *map(part.column, names)], ["words", *names])
+
+    return rows.select("text", F.octet_length("text").cast("long").alias("size"), "toxic", "lang", "shard", "hold").mapInArrow(tidied(run), kinds)
+
+
+def _unhashed(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """buckets() of the texts, from their words as _hashed makes them."""
+    off = column.offsets.to_numpy().astype(np.int64)
+    packed = column.values.to_numpy()[off[0] : off[-1]]
+    ids = np.empty((len(packed), 1 + len(PREFIXES)), np.int32)
+    for c in range(ids.shape[1]):
+        ids[:, c] = packed >> (BITS + 1) * c & ((1 << BITS + 1) - 1)
+    return ids, off - off[0]
+
+
 def _shards(batches, most: int):
-    """(shard, texts, labels) of a task's rows, which come by shard; a shard of more than `most` bytes in pieces."""
-    shard, texts, y, size = None, [], [], 0
+    """(shard, buckets, word offsets, labels) of a task's hashed rows, which come by shard; a shard of more than `most` bytes of text in pieces."""
+    shard, parts, counts, y, size = None, [], [], [], 0
+
+    def taken():
+        got = parts[0] if len(parts) == 1 else np.concatenate(parts), np.cumsum([0, *counts]), np.array(y, np.float32)
+        for x in (parts, counts, y):
+            x.clear()
+        return got
+
     for batch in batches:
-        for k, text, label in zip(*[batch.column(c).to_pylist() for c in ("shard", "text", "toxic")], strict=True):
-            n = len(text.encode())
-            if texts and (k != shard or size + n > most):
-                yield shard, texts, np.array(y, np.float32)
-                texts, y, size = [], [], 0
+        ids, off = _unhashed(batch.column("words"))
+        at = 0
+        for i, (k, n, label) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("shard", "size", "toxic")], strict=True)):
+            if y and (k != shard or size + n > most):
+                parts.append(ids[off[at] : off[i]])
+                yield shard, *taken()
+                at, size = i, 0
             shard, size = k, size + n
-            texts.append(text)
+            counts.append(off[i + 1] - off[i])
             y.append(label)
-    if texts:
-        yield shard, texts, np.array(y, np.float32)
+        parts.append(ids[off[at] :])
+        del batch, ids
+    if y:
+        yield shard, *taken()
 
 
 def _dense(model: dict) -> np.ndarray:
@@ -288,8 +373,8 @@ def _counted(rows: DataFrame, most: int) -> np.ndarray:
 
     def run(batches):
         df = np.zeros((1 << BITS) + 1, np.int64)
-        for _, texts, _ in _shards(batches, most):
-            df += _document_counts(*_gathered(texts))
+        for _, ids, off, _ in _shards(batches, most):
+            df += _document_counts(ids, off)
         has = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(df[has])], ["bucket", "n"])
 
@@ -306,15 +391,17 @@ def _averaged(rows: DataFrame, model: dict, number: int, most: int) -> dict:
 
     def run(batches):
         whole = shared.value
-        for shard, texts, y in _shards(batches, most):
-            ids, off = _gathered(texts)
-            times = np.bincount(whole["map"][ids].ravel(), minlength=len(whole["emb"]))
+        for shard, ids, off, y in _shards(batches, most):
+            known = whole["map"][ids]
+            times = np.bincount(known.ravel(), minlength=len(whole["emb"]))
             times[0] = 0
             own = np.flatnonzero(times)
+            del ids
             place = np.zeros(len(whole["emb"]), np.int32)
             place[own] = np.arange(1, len(own) + 1)
-            mine = _with_dense(whole, _dense(whole)) | {"map": place[whole["map"]], "emb": whole["emb"][np.append(0, own)]}
-            _adam(mine, ids, off, y, 1, np.random.default_rng([SEED, number, shard]))
+            mine = _with_dense(whole, _dense(whole)) | {"emb": whole["emb"][np.append(0, own)]}
+            known = place[known]
+            _adam(mine, known, off, y, 1, np.random.default_rng([SEED, number, shard]))
             dense = _dense(mine)
             key = np.concatenate([own, -1 - np.arange(len(dense))])
             weight = np.concatenate([times[own], np.full(len(dense), len(y))])
@@ -338,8 +425,8 @@ def _calibrated(tables: Tables, held: DataFrame, model: dict) -> dict:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                z = _logit(shared.value, _scored(shared.value, *buckets(part.column("text")))).astype(float)
+            for part in slices(batch, "words"):
+                z = _logit(shared.value, _scored(shared.value, *_unhashed(part.column("words")))).astype(float)
                 yield pa.RecordBatch.from_arrays([pa.array(z), part.column("toxic"), part.column("lang")], ["z", "y", "lang"])
 
     seen = tables.keep(held.mapInArrow(tidied(run), "z double, y int, lang string"))
@@ -390,12 +477,15 @@ def train(docs: DataFrame, labels: DataFrame, shard_docs: int = 6000, shard_byte
     both = ("doc_id", "sha")  # texts move once
     rows = texts.repartition(shards, *both).join(first.repartition(shards, *both), list(both)).dropDuplicates(list(both))
     hold = (F.pmod(F.xxhash64("sha"), F.lit(5)) == 0).alias("hold")
-    rows = tables.keep(rows.select("text", "toxic", "lang", "place", "doc_id", "sha", F.spark_partition_id().alias("shard"), hold).sortWithinPartitions("place", "doc_id", "sha"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0]
-    if shards == 1 and size <= shard_bytes:
-        model = _fitted(rows)
+    rows = rows.select("text", "toxic", "lang", "place", "doc_id", "sha", F.spark_partition_id().alias("shard"), hold).sortWithinPartitions("place", "doc_id", "sha")
+    kept = [first, tables.keep(rows) if shards == 1 else tables.keep(_hashed(rows), **DICTIONARY)]
+    if shards == 1 and kept[-1].agg(F.sum(F.octet_length("text"))).first()[0] <= shard_bytes:
+        model = _fitted(kept[-1])
     else:
-        use = rows.filter("not hold").select("text", "toxic", "shard")
+        if shards == 1:
+            kept.append(tables.keep(_hashed(kept[-1]), **DICTIONARY))
+        rows = kept[-1]
+        use = rows.filter("not hold").select("words", "size", "toxic", "shard")
         df, (m, ones) = _counted(use, shard_bytes), use.agg(F.count("toxic"), F.sum("toxic")).first()
         model = None
         if m and 0 < ones < m:
@@ -403,7 +493,7 @@ def train(docs: DataFrame, labels: DataFrame, shard_docs: int = 6000, shard_byte
             for number in range(EPOCHS):
                 model = _averaged(use, model, number, shard_bytes)
             model = _calibrated(tables, rows.filter("hold"), model)
-    tables.drop(first, rows)
+    tables.drop(*kept)
     return model
 
 

@@ -582,6 +582,51 @@ def test_toxicity_learns_from_every_labelled_row(spark, frame):
     assert (again["emb"] == model["emb"]).all()
 
 
+def test_toxicity_epochs_read_words_hashed_once(spark, frame, monkeypatch):
+    seen, averaged = [], toxicity._averaged
+
+    def spy(rows, model, number, most):
+        if number in (0, 7):
+            seen.append((rows.columns, rows.toArrow()))
+        return averaged(rows, model, number, most)
+
+    monkeypatch.setattr(toxicity, "_averaged", spy)
+    rows = [(i, ("you rude fool here " if i % 4 == 0 else "a kind (day) here ") * (i % 3) + f"n{i}" * (i % 5 > 0), "en", "a") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    assert toxicity.train(frame(rows), labels, shard_docs=100) is not None
+    hashed = {tuple(map(tuple, toxicity.buckets(pa.array([t]))[0].tolist())) for _, t, _, _ in rows}
+    for columns, table in seen:
+        assert columns == ["words", "size", "toxic", "shard"] and table.num_rows > 200
+        ids, off = toxicity._unhashed(table.column("words").combine_chunks())
+        assert {tuple(map(tuple, ids[a:b].tolist())) for a, b in zip(off[:-1], off[1:], strict=True)} <= hashed
+
+
+def test_toxicity_shards_of_hashed_rows():
+    """Batches cut anywhere give the same shards, whose pieces end before they are too large."""
+    rng = np.random.default_rng(5)
+    words = [rng.integers(0, 1 << 57, n).tolist() for n in (3, 0, 5, 2, 0, 7, 1, 4)]
+    table = pa.table({"words": pa.array(words, pa.list_(pa.int64())), "size": [6, 0, 10, 4, 0, 14, 2, 8], "toxic": [1, 0, 0, 1, 1, 0, 0, 1], "shard": [0, 0, 0, 1, 1, 1, 1, 2]})
+    want = None
+    for rows in (1, 3, 8):
+        got = [(k, ids.tolist(), off.tolist(), y.tolist()) for k, ids, off, y in toxicity._shards(table.to_batches(rows), 15)]
+        assert [(k, off, y) for k, _, off, y in got] == [(0, [0, 3, 3], [1, 0]), (0, [0, 5], [0]), (1, [0, 2, 2], [1, 1]), (1, [0, 7], [0]), (1, [0, 1], [0]), (2, [0, 4], [1])]
+        want = want or got
+        assert got == want
+    assert [[r[0] | r[1] << 19 | r[2] << 38 for r in ids] for _, ids, _, _ in want] == [words[0], words[2], words[3], words[5], words[6], words[7]]
+
+
+def test_toxicity_steps_and_counts_are_the_plain_ones():
+    rng = np.random.default_rng(6)
+    q, g, m, v = (rng.normal(size=(toxicity.BLOCK // 8 + 3, 8)).astype(np.float32) ** 2 for _ in range(4))
+    pm, pv = m + 0.1 * (g - m), v + 0.01 * (g**2 - v)
+    plain = q - (0.02 * (pm / (1 - 0.9**3)) / (np.sqrt(pv / (1 - 0.99**3)) + 1e-6) + 1e-3 * q).astype(np.float32)
+    toxicity._step(q, g, m, v, 3)
+    assert (q == plain).all() and (m == pm).all() and (v == pv).all()
+    ids, off = rng.integers(1, 40, (60, 3)).astype(np.int32), np.array([0, 20, 20, 60])
+    df = toxicity._document_counts(ids, off)
+    assert all(df[b] == sum(b in ids[s:e] for s, e in ((0, 20), (20, 60))) for b in range(41))
+
+
 # --- 7 ------------------------------------------------------------------------
 
 SECRETS = (
